@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,18 @@ def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
     return size["n"] <= max_rows and size["b"] <= max_bytes
 
 
+def measured(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A hint for projections and filters of ``table``, measured once for all of them."""
+    return F.broadcast if is_small(table) else (lambda df: df)
+
+
+def local_if_small(df: DataFrame) -> DataFrame:
+    """A configuration table as literal rows of the plan, if it is small."""
+    if not is_small(df, max_rows=10_000, max_bytes=8 * 1024 * 1024):
+        return df
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def small_side(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The table with a broadcast hint if it is small, else as it is.
 

@@ -8,6 +8,8 @@ one row of facts per document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from pactspark import schemas
 from pactspark.functions.numbers import RATIO_TYPE, compare, first_percent
 from pactspark.functions.scope import let
 from pactspark.functions.text import quote_around, render_template
-from pactspark.operators.bounded import small_side
+from pactspark.operators.bounded import local_if_small, measured, small_side
 from pactspark.packs.fixed import CATEGORY_TO_CLAUSE_TYPE, GLOBAL_CLAUSE_LABEL, PROBATION_WORD
 
 HIT_COLUMNS = (
@@ -23,6 +25,7 @@ HIT_COLUMNS = (
     "suggestion", "clause_index", "quote", "evidence_detail", "rule_seq",
 )
 _CLAUSE_METRICS = ("penalty_ratio", "probation_pay_ratio")
+Side = Callable[[DataFrame], DataFrame]
 
 
 def _strings() -> Column:
@@ -85,7 +88,7 @@ def prepare(rules: DataFrame, templates: DataFrame) -> DataFrame:
     )
     own_patterns = values("regex")
     category_type = F.create_map(*(F.lit(x) for pair in CATEGORY_TO_CLAUSE_TYPE.items() for x in pair))
-    return cfg.select(
+    return local_if_small(cfg.select(
         "business_type", "rule_id", F.col("code").alias("rule_code"), F.col("name").alias("rule_name"),
         "category", "risk_level", "rule_type", F.col("seq").alias("rule_seq"),
         "result_template", "suggestion_template",
@@ -111,7 +114,7 @@ def prepare(rules: DataFrame, templates: DataFrame) -> DataFrame:
         F.filter(own_patterns, compiles).alias("entry_patterns"),
         F.coalesce(F.col("cfg.source"), F.lit("")).alias("list_source"),
         F.try_element_at(category_type, F.col("category")).alias("category_type"),
-    )
+    ))
 
 
 def applicable(docs: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -177,7 +180,7 @@ def _clause_finding() -> Column:
     )
 
 
-def clause_findings(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
+def clause_findings(clauses: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
     """Every (clause, rule) in which a clause rule finds something."""
     kind = F.col("rule_type")
     scoped = prepared.filter(
@@ -189,7 +192,7 @@ def clause_findings(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
         "doc_id", "business_type", F.col("seq").alias("clause_index"), "clause_no", "content",
         first_percent(F.col("content")).alias("ratio"),
     )
-    found = slim.join(small_side(scoped), "business_type").withColumn("found", _clause_finding())
+    found = slim.join(side(scoped), "business_type").withColumn("found", _clause_finding())
     return found.filter(F.col("found").isNotNull()).select(
         "doc_id", "rule_id", "clause_index", "clause_no", "found.quote", F.col("found.detail").alias("detail")
     )
@@ -202,7 +205,7 @@ def _first_per_rule(findings: DataFrame) -> DataFrame:
     )
 
 
-def asymmetry_findings(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
+def asymmetry_findings(clauses: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
     """Severe wording somewhere and mild wording, or a tiny ratio, somewhere."""
     rules = prepared.filter(
         (F.col("rule_type") == "threshold") & (F.col("metric") == "liability_asymmetry") & (F.size("severe") > 0)
@@ -211,7 +214,7 @@ def asymmetry_findings(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
         "doc_id", "business_type", "seq", "clause_no", "content", first_percent(F.col("content")).alias("ratio")
     )
     content = F.col("content")
-    marked = slim.join(small_side(rules), "business_type").select(
+    marked = slim.join(side(rules), "business_type").select(
         "doc_id", "rule_id", "seq", "clause_no", "mild_ratio_max",
         _first_in(F.col("severe"), lambda k: content.contains(k)).alias("severe_word"),
         _first_in(F.col("mild"), lambda k: content.contains(k)).alias("mild_word"),
@@ -266,7 +269,7 @@ def document_facts(docs: DataFrame, clauses: DataFrame, metadata: DataFrame) ->
     )
 
 
-def pattern_facts(clauses: DataFrame, rules: DataFrame) -> DataFrame:
+def pattern_facts(clauses: DataFrame, rules: DataFrame, side: Side = small_side) -> DataFrame:
     """Per (document, rule with a required pattern): where it is and where it lacks."""
     wanted = rules.filter("required_pattern is not null").select(
         "business_type", "rule_id", "required_pattern", "within", "anchor_keywords"
@@ -275,7 +278,7 @@ def pattern_facts(clauses: DataFrame, rules: DataFrame) -> DataFrame:
     inside = F.coalesce(F.col("clause_type") == F.col("within"), F.lit(False))
     place = F.struct("seq", "clause_no")
     liked = F.exists("anchor_keywords", lambda k: F.col("content").contains(k))
-    marked = clauses.join(small_side(wanted), "business_type").select(
+    marked = clauses.join(side(wanted), "business_type").select(
         "doc_id", "rule_id", has.alias("has"), inside.alias("inside"),
         F.when(inside & ~has, place).alias("lacking"),
         F.when(inside & ~has & liked, place).alias("preferred"),
@@ -289,16 +292,16 @@ def pattern_facts(clauses: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def presence_findings(facts: DataFrame, clauses: DataFrame, prepared: DataFrame) -> DataFrame:
+def presence_findings(facts: DataFrame, clauses: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
     """Missing clause types, metadata keys or wording; one finding per rule.
 
     A required pattern is a literal that stands within one clause.
     """
     rules = prepared.filter("rule_type = 'presence'")
-    base = facts.join(small_side(rules.select(
+    base = facts.join(side(rules.select(
         "business_type", "rule_id", "required_types", "required_keys", "required_pattern", "within",
         "anchor_type", "category_type")), "business_type")
-    joined = base.join(pattern_facts(clauses, rules), ["doc_id", "rule_id"], "left")
+    joined = base.join(pattern_facts(clauses, rules, side), ["doc_id", "rule_id"], "left")
 
     def known(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
@@ -334,13 +337,13 @@ def presence_findings(facts: DataFrame, clauses: DataFrame, prepared: DataFrame)
     )
 
 
-def amount_findings(facts: DataFrame, prepared: DataFrame) -> DataFrame:
+def amount_findings(facts: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
     rules = prepared.filter(
         (F.col("rule_type") == "threshold") & (F.col("metric") == "amount") & F.col("threshold").isNotNull()
     ).select("business_type", "rule_id", "threshold", "threshold_text", "direction")
     given = facts.select("doc_id", "business_type", F.try_element_at("meta", F.lit("amount")).alias("m"))
     amount = F.col("m.value_normalized").try_cast(RATIO_TYPE)
-    return given.filter("m is not null").join(small_side(rules), "business_type").filter(
+    return given.filter("m is not null").join(side(rules), "business_type").filter(
         compare(amount, F.col("threshold"), F.col("direction"))
     ).select(
         "doc_id", "rule_id", F.lit(None).cast("int").alias("clause_index"),
@@ -362,13 +365,13 @@ def listed_subjects(metadata: DataFrame, blacklist: DataFrame) -> DataFrame:
 
 
 def subject_findings(
-    docs: DataFrame, metadata: DataFrame, blacklist: DataFrame, prepared: DataFrame
+    docs: DataFrame, metadata: DataFrame, blacklist: DataFrame, prepared: DataFrame, side: Side = small_side
 ) -> DataFrame:
     rules = prepared.filter("rule_type = 'blacklist' and list_source = 'subject_blacklist'").select(
         "business_type", "rule_id"
     )
     listed = listed_subjects(metadata, blacklist).join(docs.select("doc_id", "business_type"), "doc_id")
-    return listed.join(small_side(rules), "business_type").select(
+    return listed.join(side(rules), "business_type").select(
         "doc_id", "rule_id", F.lit(None).cast("int").alias("clause_index"),
         F.lit(None).cast("string").alias("clause_no"), F.col("subject_name").alias("quote"),
         F.concat(F.lit("主体 "), shown(F.col("subject_name")), F.lit(" 命中黑名单，状态: "), F.col("status")).alias("detail"),
@@ -378,7 +381,7 @@ def subject_findings(
 # ---- all together --------------------------------------------------------------------
 
 
-def hits(findings: DataFrame, prepared: DataFrame) -> DataFrame:
+def hits(findings: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
     """Findings with the rule's names, levels and filled templates."""
     names = prepared.select(
         "rule_id", "rule_code", "rule_name", "category", "risk_level", "rule_seq", "threshold_text",
@@ -389,7 +392,7 @@ def hits(findings: DataFrame, prepared: DataFrame) -> DataFrame:
     def filled(template: str) -> Column:
         return render_template(F.col(template), F.col("threshold_text"), place, F.lit(None).cast("string"))
 
-    return findings.join(small_side(names), "rule_id").select(
+    return findings.join(side(names), "rule_id").select(
         "doc_id", "rule_id", "rule_code", "rule_name", "category", "risk_level",
         F.col("rule_name").alias("title"),
         F.coalesce(filled("result_template"), "rule_name").alias("reason"),
@@ -408,16 +411,17 @@ def evaluate(
     ``all_matches`` reports every clause a clause rule finds something in.
     """
     facts = document_facts(docs, clauses, metadata) if facts is None else facts
-    findings = clause_findings(clauses, prepared)
+    side = measured(prepared)
+    findings = clause_findings(clauses, prepared, side)
     columns = ["doc_id", "rule_id", "clause_index", "clause_no", "quote", "detail"]
     parts = [
         findings if all_matches else _first_per_rule(findings),
-        asymmetry_findings(clauses, prepared),
-        presence_findings(facts, clauses, prepared),
-        amount_findings(facts, prepared),
-        subject_findings(docs, metadata, blacklist, prepared),
+        asymmetry_findings(clauses, prepared, side),
+        presence_findings(facts, clauses, prepared, side),
+        amount_findings(facts, prepared, side),
+        subject_findings(docs, metadata, blacklist, prepared, side),
     ]
     union = parts[0].select(columns)
     for part in parts[1:]:
         union = union.unionByName(part.select(columns))
-    return hits(union, prepared)
+    return hits(union, prepared, side)

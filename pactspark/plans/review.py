@@ -66,8 +66,8 @@ def review(
     ``provider`` maps prompts (doc_id, batch_id, prompt) to responses (doc_id,
     batch_id, raw_text); the default replays fixed verdicts. ``clauses`` may come
     from a block table; by default they are cut from the text in place.
-    ``keep_tables`` writes the clauses and metadata to the shared folder once, so
-    that the branches below do not cut every text again.
+    ``keep_tables`` writes each stage to the shared folder once, so that no later
+    branch cuts a text or evaluates a rule again.
     """
     spark = docs.sparkSession
     rule_rows = contracts.rules(spark) if rule_rows is None else rule_rows
@@ -81,14 +81,14 @@ def review(
         cut = sections.sections_of_text(docs, keep=["business_type", "bounds"])
         clauses = cut.withColumn("page_no", pages.page_of(F.col("char_start"), F.col("bounds"))).drop("bounds")
     meta = metadata.extract(docs)
-    if keep_tables:
-        clauses, meta = materialise(clauses, "clauses"), materialise(meta, "metadata")
+    keep = materialise if keep_tables else (lambda df, label: df)
+    clauses, meta = keep(clauses, "clauses"), keep(meta, "metadata")
 
     prepared = rules.prepare(rule_rows, template_rows)
-    facts = rules.document_facts(docs, clauses, meta)
-    hits = rules.evaluate(docs, clauses, meta, blacklist_rows, prepared, facts=facts)
-    salvaged = verdicts.salvage(provider(verdicts.prompts(clauses)))
-    found = verdicts.locate_clauses(verdicts.parse(salvaged), clauses)
-    merged = merge.append_global(merge.merge(facts, hits, found))
+    facts = keep(rules.document_facts(docs, clauses, meta), "facts")
+    hits = keep(rules.evaluate(docs, clauses, meta, blacklist_rows, prepared, facts=facts), "hits")
+    salvaged = keep(verdicts.salvage(provider(verdicts.prompts(clauses))), "responses")
+    found = keep(verdicts.locate_clauses(verdicts.parse(salvaged), clauses), "verdicts")
+    merged = keep(merge.append_global(merge.merge(facts, hits, found)), "merged")
     gated = gate.apply(merged, docs, clauses, gate.known_sources(standard_rows), has_layout=has_layout)
-    return Review(clauses, meta, hits, found, verdicts.failures(salvaged), merge.outcome(gated))
+    return Review(clauses, meta, hits, found, verdicts.failures(salvaged), keep(merge.outcome(gated), "documents"))
