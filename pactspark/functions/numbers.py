@@ -7,7 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pactspark.functions.text import WS, strip
+from pactspark.functions.scope import let
+from pactspark.functions.text import is_space, strip
 from pactspark.packs.fixed import (
     CN_DIGIT_VALUES,
     CN_DIGITS,
@@ -89,24 +90,26 @@ def export_stamp(ts: Column) -> Column:
 # ---- geometry -------------------------------------------------------------------
 
 
-def box_of(chars: Column) -> Column:
-    """Smallest box around the characters that are not white space, else null."""
-    inked = F.filter(chars, lambda c: ~c["c"].rlike(rf"(?U)\A{WS}\z"))
-    return F.when(
-        F.size(inked) > 0,
-        F.struct(
-            F.array_min(F.transform(inked, lambda c: c["x0"])).alias("x0"),
-            F.array_min(F.transform(inked, lambda c: c["y0"])).alias("y0"),
-            F.array_max(F.transform(inked, lambda c: c["x1"])).alias("x1"),
-            F.array_max(F.transform(inked, lambda c: c["y1"])).alias("y1"),
-        ),
-    )
+BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 
 
 def box_for_range(chars: Column, start: Column, stop: Column) -> Column:
-    """Box of the characters in ``[start, stop)`` of a page."""
-    inside = F.slice(chars, start + 1, F.greatest(stop - start, F.lit(0)))
-    return F.when((start >= 0) & (start < stop), box_of(inside))
+    """Smallest box around the visible characters in ``[start, stop)``, else null.
+
+    One pass over the range; the rest of the page's characters is not touched.
+    """
+    none = F.struct(*(F.lit(None).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1"))).cast(BOX)
+
+    def grow(box: Column, c: Column) -> Column:
+        wider = F.struct(
+            F.least(box["x0"], c["x0"]).alias("x0"), F.least(box["y0"], c["y0"]).alias("y0"),
+            F.greatest(box["x1"], c["x1"]).alias("x1"), F.greatest(box["y1"], c["y1"]).alias("y1"),
+        )
+        return F.when(c["c"].isNull() | is_space(c["c"]), box).otherwise(wider)
+
+    places = F.when((start >= 0) & (start < stop), F.sequence(start, stop - 1))
+    union = F.aggregate(places, none, lambda box, i: let(F.get(chars, i), lambda c: grow(box, c)))
+    return let(union, lambda box: F.when(box["x0"].isNotNull(), box))
 
 
 def pixels_to_points(value: Column, dpi: int) -> Column:
@@ -124,30 +127,19 @@ def polygon_box(polygon: Column, dpi: int) -> Column:
 
 def split_line_box(text: Column, box: Column, given: Column) -> Column:
     """One box per character: the given ones when they fit, else equal widths."""
-    n = F.length(text)
-    step = (box["x1"] - box["x0"]) / n.cast("double")
-
-    def equal(i: Column) -> Column:
-        at = i.cast("double")
-        return F.struct(
-            F.substring(text, i + 1, F.lit(1)).alias("c"),
-            (box["x0"] + step * at).alias("x0"),
-            box["y0"].alias("y0"),
-            (box["x0"] + step * (at + F.lit(1.0))).alias("x1"),
-            box["y1"].alias("y1"),
-        )
 
-    def fitted(i: Column) -> Column:
-        own = F.get(given, i)
-        return F.struct(
-            F.substring(text, i + 1, F.lit(1)).alias("c"),
-            *(own[k].alias(k) for k in ("x0", "y0", "x1", "y1")),
-        )
+    def cut(chars: Column, step: Column) -> Column:
+        return F.transform(chars, lambda c, i: F.struct(
+            c.alias("c"), (box["x0"] + step * i.cast("double")).alias("x0"), box["y0"].alias("y0"),
+            (box["x0"] + step * (i.cast("double") + F.lit(1.0))).alias("x1"), box["y1"].alias("y1")))
 
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(F.coalesce(F.size(given), F.lit(-1)) == n, F.transform(places, fitted)).otherwise(
-        F.transform(places, equal)
-    )
+    def fitted(chars: Column) -> Column:
+        return F.zip_with(chars, given, lambda c, own: F.struct(
+            c.alias("c"), *(own[k].alias(k) for k in ("x0", "y0", "x1", "y1"))))
+
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    return let(letters, lambda chars: F.when(F.coalesce(F.size(given), F.lit(-1)) == F.size(chars), fitted(chars)).otherwise(
+        let((box["x1"] - box["x0"]) / F.greatest(F.size(chars), F.lit(1)).cast("double"), lambda step: cut(chars, step))))
 
 
 def repair_metrics(box: Column, baseline: Column, size: Column, ascender: Column, descender: Column) -> Column:

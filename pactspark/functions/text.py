@@ -29,6 +29,8 @@ from pactspark.packs.fixed import (
 # White space including NEL, NBSP, U+3000 and the information separators.
 WS = r"[\s\x{1c}-\x{1f}]"
 
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
 _PUNCT_FROM = "".join(PUNCTUATION_PAIRS)
@@ -54,6 +56,11 @@ def lstrip(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)\A{WS}+", "")
 
 
+def is_space(char: Column) -> Column:
+    """True for a single white space character."""
+    return (char != "") & F.contains(F.lit(WS_CHARS), char)
+
+
 def strip_whitespace(col: Column) -> Column:
     """Drop all white space."""
     return F.regexp_replace(col, rf"(?U){WS}+", "")

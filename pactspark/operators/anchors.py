@@ -178,6 +178,9 @@ def residue_places(texts: pd.Series, quotes: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
+residue_places = residue_places.asNondeterministic()
+
+
 def locate(rows: DataFrame, quotes: str = "quotes", text: str = "text") -> DataFrame:
     """Add ``places``: the place of every quote in the array column, or null.
 

@@ -25,6 +25,9 @@ def take_in_order(candidates: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="object")
 
 
+take_in_order = take_in_order.asNondeterministic()
+
+
 def match_expected(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row per expectation with the actual risk it was matched to.
 

@@ -38,10 +38,11 @@ def _given(words: Column) -> Column:
 
 
 def shown(text: Column) -> Column:
-    """A string in quotes, as it appears in evidence details."""
-    return F.when(text.contains("'"), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), text, F.lit("'"))
-    )
+    """A string in quotes with escapes, as it appears in evidence details."""
+    for raw, escaped in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        text = F.replace(text, F.lit(raw), F.lit(escaped))
+    return let(text, lambda t: F.when(t.contains("'") & ~t.contains('"'), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'"))))
 
 
 def shown_list(items: Column) -> Column:

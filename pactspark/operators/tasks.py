@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactspark.functions.scope import let
@@ -56,10 +56,14 @@ def replay(log: DataFrame, chunk: Column, initial: str = "pending") -> DataFrame
             chain = F.when(state == s, F.get(fn, F.lit(i))) if chain is None else chain.when(state == s, F.get(fn, F.lit(i)))
         return chain
 
-    before = Window.partitionBy("task_id").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = functions.select(
-        "task_id", "__chunk", "ev",
-        F.aggregate(F.collect_list("fn").over(before), F.lit(initial), lambda s, fn: apply(fn, s)).alias("start"))
+    per_task = functions.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("__chunk", "fn"))).alias("fns"))
+    starts = F.aggregate(
+        "fns", F.array(F.lit(initial)),
+        lambda acc, f: F.concat(acc, F.array(apply(f["fn"], F.get(acc, F.size(acc) - 1)))))
+    begun = per_task.select("task_id", "fns", starts.alias("starts")).select("task_id", F.inline(F.arrays_zip(
+        F.transform("fns", lambda f: f["__chunk"]).alias("__chunk"),
+        F.slice("starts", F.lit(1), F.size("fns")).alias("start"))))
+    chunks = functions.select("task_id", "__chunk", "ev").join(begun, ["task_id", "__chunk"])
     trail = F.aggregate(
         "ev",
         F.array(F.struct(F.lit(0).cast("bigint").alias("event_id"), F.col("start").alias("s"),
