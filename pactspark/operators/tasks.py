@@ -42,8 +42,8 @@ def replay(log: DataFrame, chunk: Column, initial: str = "pending") -> DataFrame
     task are composed, and every chunk is then replayed from its true start. A task
     with a very long log is spread over its chunks.
     """
-    split = log.withColumn("__chunk", chunk)
-    ordered = split.groupBy("task_id", "__chunk").agg(
+    split = log.withColumn("epoch", chunk)
+    ordered = split.groupBy("task_id", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("event_id", "to_status"))).alias("ev"))
     identity = F.array(*(F.lit(s) for s in STATES))
     functions = ordered.withColumn("fn", F.aggregate(
@@ -56,14 +56,14 @@ def replay(log: DataFrame, chunk: Column, initial: str = "pending") -> DataFrame
             chain = F.when(state == s, F.get(fn, F.lit(i))) if chain is None else chain.when(state == s, F.get(fn, F.lit(i)))
         return chain
 
-    per_task = functions.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("__chunk", "fn"))).alias("fns"))
+    per_task = functions.groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("epoch", "fn"))).alias("fns"))
     starts = F.aggregate(
         "fns", F.array(F.lit(initial)),
         lambda acc, f: F.concat(acc, F.array(apply(f["fn"], F.get(acc, F.size(acc) - 1)))))
     begun = per_task.select("task_id", "fns", starts.alias("starts")).select("task_id", F.inline(F.arrays_zip(
-        F.transform("fns", lambda f: f["__chunk"]).alias("__chunk"),
+        F.transform("fns", lambda f: f["epoch"]).alias("epoch"),
         F.slice("starts", F.lit(1), F.size("fns")).alias("start"))))
-    chunks = functions.select("task_id", "__chunk", "ev").join(begun, ["task_id", "__chunk"])
+    chunks = functions.select("task_id", "epoch", "ev").join(begun, ["task_id", "epoch"])
     trail = F.aggregate(
         "ev",
         F.array(F.struct(F.lit(0).cast("bigint").alias("event_id"), F.col("start").alias("s"),
@@ -72,12 +72,12 @@ def replay(log: DataFrame, chunk: Column, initial: str = "pending") -> DataFrame
             e["event_id"].cast("bigint").alias("event_id"), _step(s, e["to_status"]).alias("s"), s.alias("src"),
             allowed(s, e["to_status"]).alias("ok"))))),
     )
-    flat = chunks.select("task_id", "__chunk", F.explode(F.slice(trail, 2, F.greatest(F.size("ev"), F.lit(0)))).alias("t"))
-    replayed = flat.select("task_id", "__chunk", "t.event_id", F.col("t.src").alias("from_status"),
+    flat = chunks.select("task_id", "epoch", F.explode(F.slice(trail, 2, F.greatest(F.size("ev"), F.lit(0)))).alias("t"))
+    replayed = flat.select("task_id", "epoch", "t.event_id", F.col("t.src").alias("from_status"),
                            F.col("t.s").alias("status"), F.col("t.ok").alias("accepted"))
-    done = running_sum(replayed, ["task_id"], F.col("__chunk"), [F.col("event_id")],
+    done = running_sum(replayed, ["task_id"], F.col("epoch"), [F.col("event_id")],
                        {"version": F.col("accepted").cast("bigint")})
-    return done.withColumn("version", F.col("version") + F.col("accepted").cast("bigint")).drop("__chunk").join(
+    return done.withColumn("version", F.col("version") + F.col("accepted").cast("bigint")).drop("epoch").join(
         log.select("task_id", "event_id", *[c for c in log.columns if c not in ("task_id", "event_id")]),
         ["task_id", "event_id"])
 

@@ -339,7 +339,7 @@ _REPLAY_SQL = f"""
     union all select doc_id, batch_id, 1, 'phone number', 'medium', 'confidentiality', '555-', true from b where contains(body, '555-')
     union all select doc_id, batch_id, 2, 'license text', 'low', 'intellectual_property', 'icense', true from b where contains(body, 'icense')),
   v as (select *, cast(row_number() over (partition by doc_id, batch_id order by o) - 1 as int) as pos from v0),
-  vc as (select v.doc_id, v.batch_id, v.pos, title, risk_level, category, need_review, min(s.seq) as clause_index from v left join sections s
+  vc as (select v.doc_id, v.batch_id, v.pos, v.title, v.risk_level, v.category, v.need_review, min(s.seq) as clause_index from v left join sections s
     on s.doc_id = v.doc_id and s.seq // 8 = v.batch_id and contains(regexp_replace(content, '\\s', '', 'g'), q) group by all)"""
 
 

@@ -31,7 +31,8 @@ def accepted_events(raw: DataFrame, column: str, schema: str) -> tuple[DataFrame
 
 def deduplicated(deliveries: DataFrame, time: str, hash_column: str, delay: str = "1 hour") -> DataFrame:
     """Repeated deliveries within the watermark are dropped by content hash."""
-    return deliveries.withWatermark(time, delay).dropDuplicatesWithinWatermark([hash_column])
+    timed = deliveries.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, delay).dropDuplicatesWithinWatermark([hash_column])
 
 
 def intake_batches(stored_path: str, hash_column: str, key: str, then: Callable[[DataFrame], None] | None = None):
@@ -60,7 +61,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def call_volume_stream(log: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
-    return call_volume(log.withWatermark("created_at", delay), width)
+    timed = log.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return call_volume(timed.withWatermark("created_at", delay), width)
 
 
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

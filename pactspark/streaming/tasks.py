@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
 
@@ -105,7 +106,8 @@ class ProgressState(StatefulProcessor):
 def run_state_machine(events: DataFrame, *, stale_seconds: int = 0, delay: str = "10 minutes") -> DataFrame:
     """Apply the machine to a stream (task_id, event_id, to_status, created_at, …)."""
     timed = bool(stale_seconds)
-    source = events.withWatermark("created_at", delay) if timed else events
+    source = events.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    source = source.withWatermark("created_at", delay) if timed else source
     return source.groupBy("task_id").transformWithStateInPandas(
         TaskStateMachine(stale_seconds * 1000), OUTPUT, "Append", "EventTime" if timed else "None")
 
