@@ -1,8 +1,7 @@
 """Text normalisation and cutting as column expressions.
 
-Java's ``\\s`` and ``trim`` are ASCII-only unless told otherwise, so every pattern
-here carries ``(?U)`` and adds the four control characters that count as white
-space elsewhere.
+Java's ``\\s`` and ``trim`` know only ASCII white space, so white space is spelled
+out here: as a character class for patterns and as a set for trimming.
 """
 
 from __future__ import annotations
@@ -26,8 +25,10 @@ from pactspark.packs.fixed import (
     TITLE_STRIP,
 )
 
-# White space including NEL, NBSP, U+3000 and the information separators.
-WS = r"[\s\x{1c}-\x{1f}]"
+# White space of every script, with NEL, NBSP, U+3000 and the information separators.
+WS_SET = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS = f"[{WS_SET}]"
+VISIBLE = f"[^{WS_SET}]"
 
 WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -49,11 +50,11 @@ def char_class(chars: str, *, negate: bool = False) -> str:
 
 def strip(col: Column) -> Column:
     """Trim white space of every script from both ends."""
-    return F.regexp_replace(col, rf"(?U)\A{WS}+|{WS}+\z", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def lstrip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)\A{WS}+", "")
+    return F.ltrim(col, F.lit(WS_CHARS))
 
 
 def is_space(char: Column) -> Column:
@@ -63,7 +64,7 @@ def is_space(char: Column) -> Column:
 
 def strip_whitespace(col: Column) -> Column:
     """Drop all white space."""
-    return F.regexp_replace(col, rf"(?U){WS}+", "")
+    return F.regexp_replace(col, f"{WS}+", "")
 
 
 def to_halfwidth(col: Column) -> Column:
@@ -92,8 +93,8 @@ def normalize(col: Column, *, keep_punct: bool = True) -> Column:
     if keep_punct:
         text = unify_punctuation(text)
     else:
-        text = F.regexp_replace(text, rf"(?U)[\p{{P}}\s\x{{1c}}-\x{{1f}}]", "")
-    return strip(F.regexp_replace(text, rf"(?U){WS}+", " "))
+        text = F.regexp_replace(text, rf"[\p{{P}}{WS_SET}]", "")
+    return strip(F.regexp_replace(text, f"{WS}+", " "))
 
 
 def contains_any(text: Column, words: Sequence[str]) -> Column:
@@ -136,10 +137,7 @@ def clause_number(text: Column, patterns: Sequence[str]) -> Column:
 
 def clause_title(text: Column, number: Column, limit: int = 255) -> Column:
     """What follows the number, stripped of separators; empty becomes null."""
-    mark = char_class(TITLE_STRIP)
-    rest = F.regexp_replace(
-        F.substring(text, F.length(number) + 1, F.length(text)), rf"\A{mark}+|{mark}+\z", ""
-    )
+    rest = F.btrim(F.substring(text, F.length(number) + 1, F.length(text)), F.lit(TITLE_STRIP))
     return F.when(number.isNotNull(), F.nullif(F.substring(rest, 1, limit), F.lit("")))
 
 

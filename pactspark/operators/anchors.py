@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 from pactspark.functions.numbers import box_for_range
 from pactspark.functions.scope import let
 from pactspark.functions.similarity import SequenceMatcher
-from pactspark.functions.text import WS, strip, strip_whitespace
+from pactspark.functions.text import VISIBLE, WS, strip, strip_whitespace
 from pactspark.operators.pages import bound_of, split_by_page
 from pactspark.packs.fixed import (
     ELLIPSIS_PATTERN,
@@ -56,7 +56,7 @@ def _offset_of_visible(text: Column, n: Column) -> Column:
 
     The possessive repetition is matched in a loop, so long texts do not recurse.
     """
-    visible = F.concat(F.lit(rf"(?U)\A(?:{WS}*+[^\s\x{{1c}}-\x{{1f}}]){{"), n.cast("string"), F.lit("}+"))
+    visible = F.concat(F.lit(rf"\A(?:{WS}*+{VISIBLE}){{"), n.cast("string"), F.lit("}+"))
     return F.length(F.regexp_substr(text, visible))
 
 
@@ -229,7 +229,7 @@ def clause_anchors(place: Column, text: Column, bounds: Column, source: Column)
         source.alias("source"), s["confidence"].alias("confidence"), F.lit(False).alias("partial"),
         nothing.alias("para_index"),
     ))
-    return F.filter(pages, lambda a: a["quote_text"].rlike(r"(?U)[^\s\x{1c}-\x{1f}]"))
+    return F.filter(pages, lambda a: a["quote_text"].rlike(VISIBLE))
 
 
 def block_anchor(clause: Column, source: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from pactspark.functions.similarity import char_diff
-from pactspark.functions.text import strip, strip_whitespace
+from pactspark.functions.text import WS, strip, strip_whitespace
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -113,7 +113,7 @@ def anchor_coverage(anchors: DataFrame, spans: DataFrame, head: int = 6) -> Data
 
 def differences(pairs: DataFrame, before: str, after: str) -> DataFrame:
     """Character runs added, deleted and kept between two texts, one row per run."""
-    tidy = [strip(F.regexp_replace(c, r"(?U)\s+", " ")) for c in (before, after)]
+    tidy = [strip(F.regexp_replace(c, f"{WS}+", " ")) for c in (before, after)]
     return pairs.withColumn("segments", char_diff(*tidy)).select(
         *[c for c in pairs.columns if c not in (before, after)], F.posexplode("segments").alias("seg_no", "s")
     ).select("*", "s.kind", F.col("s.text").alias("seg_text")).drop("s")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactspark.functions.numbers import box_for_range
+from pactspark.functions.numbers import BOX, box_for_range
 from pactspark.functions.scope import let
 from pactspark.functions.text import block_kind, lstrip, strip
 from pactspark.operators.running import numbered, prefix_sums, running_sum
@@ -142,15 +142,26 @@ def lines_of(text: Column) -> Column:
 
 
 def line_blocks(pages: DataFrame) -> DataFrame:
-    """Every non-blank line as a block, numbered across its document."""
-    cut = pages.withColumn("lines", lines_of(F.col("text")))
-    base = page_offsets(cut, {"para_base": F.size("lines")})
-    flat = cut.join(base, ["doc_id", "page_no"]).select(
-        "doc_id", "page_no", "page_start", "para_base", "chars", F.posexplode("lines").alias("pos", "line")
+    """Every non-blank line as a block, numbered across its document.
+
+    Boxes are taken while the line is still beside its page's characters, so the
+    character arrays never travel; pages without them give blocks without boxes.
+    """
+    placed = pages.withColumn("lines", lines_of(F.col("text")))
+    if "chars" in pages.columns:
+        def boxed(chars: Column, x: Column) -> Column:
+            return x.withField("box", box_for_range(chars, x["start"].cast("int"), x["stop"].cast("int")))
+
+        # named once: an expression inside a lambda is evaluated for every element
+        line = let(F.col("chars"), lambda chars: F.transform("lines", lambda x: boxed(chars, x)))
+    else:
+        line = F.transform("lines", lambda x: x.withField("box", F.lit(None).cast(BOX)))
+    cut = placed.select("doc_id", "page_no", "text", line.alias("lines"))
+    base = page_offsets(placed.select("doc_id", "page_no", "text", "lines"), {"para_base": F.size("lines")})
+    flat = cut.select("doc_id", "page_no", "lines").join(base, ["doc_id", "page_no"]).select(
+        "doc_id", "page_no", "page_start", "para_base", F.posexplode("lines").alias("pos", "line")
     )
-    box = box_for_range(F.col("chars"), F.col("line.start").cast("int"), F.col("line.stop").cast("int"))
-    boxed = flat.withColumn("box", box)
-    return boxed.select(
+    return flat.select(
         "doc_id",
         (F.col("para_base") + F.col("pos")).alias("para_index"),
         block_kind(F.col("line.text")).alias("kind"),
@@ -159,7 +170,7 @@ def line_blocks(pages: DataFrame) -> DataFrame:
         F.col("page_no").alias("page_end"),
         (F.col("page_start") + F.col("line.start")).alias("char_start"),
         (F.col("page_start") + F.col("line.stop")).alias("char_end"),
-        *(F.col(f"box.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")),
+        *(F.col(f"line.box.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")),
     )
 
 

@@ -13,13 +13,19 @@ from pactspark.operators import anchors, evaluate, metadata, pages, sections
 from pactspark.packs import fixed, latin
 from pactspark.plans.registry import query
 from pactspark.plans.standins import load
+from pactspark.session import spread
 from pactspark.sources import intake
 
 LINES_PER_PAGE = 10
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, spread over the cores where the table is one small file."""
+    return spread(load(spark, sf, "documents"))
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    d = load(spark, sf, "documents")
+    d = texts(spark, sf)
     return d.select(
         "doc_id", F.col("lang").alias("business_type"), "text", pages.single_page_bounds(F.col("text")).alias("bounds"),
         F.lit("native_text").alias("source"))
@@ -32,7 +38,7 @@ def clauses(spark: SparkSession, sf: str) -> DataFrame:
 
 def paged(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut into pages of ten lines, with a box per character."""
-    d = load(spark, sf, "documents")
+    d = texts(spark, sf)
     cut = let(F.split("text", "\n"), lambda lines: F.transform(
         indexes(F.ceil(F.size(lines) / LINES_PER_PAGE).cast("int")),
         lambda p: F.array_join(F.slice(lines, p * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n")))
@@ -258,7 +264,7 @@ def sections_cut(spark, sf):
       cast((fi - 1) // {LINES_PER_PAGE} + 1 as int) as page_no, cast((li - 1) // {LINES_PER_PAGE} + 1 as int) as page_end
     from sections join (select doc_id, min(para) as para_index, min(i) as fi, max(i) as li from gl group by doc_id, g) using (doc_id, para_index)""")
 def sections_from_pages(spark, sf):
-    b = pages.line_blocks(paged(spark, sf))
+    b = pages.line_blocks(paged(spark, sf).drop("chars"))
     s = sections.sections_of_blocks(b, latin.SECTION_PATTERNS, latin.TYPE_KEYWORDS)
     return s.select("doc_id", "seq", "clause_no", "clause_type", F.md5("content").alias("digest"), "char_start", "char_end",
                     "page_no", "page_end")
@@ -538,7 +544,7 @@ def passages_located(spark, sf):
     words = F.split("text", r"(?U)\s+")
     inner = F.array_join(F.slice(words, 2, 5), " ")
     items = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), inner.alias("key"))
-    docs = load(spark, sf, "documents")
+    docs = texts(spark, sf)
     keys = let(words, lambda w: F.array_distinct(F.transform(
         indexes(F.greatest(F.size(w) - 4, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 5), " "))))
     candidates = docs.select("doc_id", F.explode(keys).alias("key")).join(

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pactspark import schemas
 from pactspark.operators import gate, merge, rule_audit, rules, verdicts
 from pactspark.packs import latin
-from pactspark.plans.document_queries import META_CTE, SECTIONS_CTE, clauses, documents, extracted
+from pactspark.plans import document_queries as base
+from pactspark.plans.document_queries import META_CTE, SECTIONS_CTE, documents
 from pactspark.plans.registry import query
 from pactspark.plans.standins import cte, load, table
 from pactspark.session import materialise
@@ -16,6 +17,15 @@ from pactspark.session import materialise
 ENABLED = ("en", "fr", "de")
 
 
+def clauses(spark: SparkSession, sf: str) -> DataFrame:
+    """The clause table, written once: every kind of rule reads it again."""
+    return materialise(base.clauses(spark, sf), "clauses")
+
+
+def extracted(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(base.extracted(spark, sf), "metadata")
+
+
 def prepared(spark: SparkSession) -> DataFrame:
     return rules.prepare(latin.rules(spark), latin.templates(spark))
 
@@ -442,7 +452,7 @@ def rule_review(spark: SparkSession, sf: str, keep: bool = False) -> DataFrame:
     """Review by rules and the required floor alone, anchored."""
     store = materialise if keep else (lambda df, label: df)
     docs = documents(spark, sf)
-    c, m = store(clauses(spark, sf), "clauses"), extracted(spark, sf)
+    c, m = clauses(spark, sf), extracted(spark, sf)
     keys = docs.select("doc_id", "business_type")
     facts = rules.document_facts(keys, c, m)
     hits = store(rules.evaluate(keys, c, m, latin.blacklist(spark), prepared(spark), facts=facts), "hits")
