@@ -63,20 +63,22 @@ def apply(rows: DataFrame, docs: DataFrame, clauses: DataFrame, sources: Column,
         p.isNull(), F.try_element_at(F.col("clauses"), r["clause_index"])["content"]))
     staged = located.withColumn("clause_places", let(wanted, lambda w: exact_places(text, w)))
 
-    def anchors_of(r: Column, i: Column) -> Column:
-        clause = F.try_element_at(F.col("clauses"), r["clause_index"])
-        none = F.filter(F.array(span_anchor(F.get("places", i), text, bounds, source)), lambda a: F.lit(False))
-        block = F.when(clause["content"].isNotNull(), F.array(block_anchor(clause, source))) if has_layout else None
+    def anchors_of(known: Column, r: Column, i: Column) -> Column:
+        place, clause_place = F.get(known["places"], i), F.get(known["clause_places"], i)
+        clause = F.try_element_at(known["clauses"], r["clause_index"])
+        none = F.filter(F.array(span_anchor(place, text, bounds, source)), lambda a: F.lit(False))
         whole = let(
-            F.when(F.get("clause_places", i).isNotNull(),
-                   clause_anchors(F.get("clause_places", i), text, bounds, source)),
+            F.when(clause_place.isNotNull(), clause_anchors(clause_place, text, bounds, source)),
             lambda w: F.when(F.size(w) > 0, w),
         )
-        chain = [F.when(F.get("places", i).isNotNull(), F.array(span_anchor(F.get("places", i), text, bounds, source))),
-                 whole, *([block] if has_layout else []), none]
-        return F.coalesce(*chain)
-
-    anchored = staged.withColumn("anchors", F.transform("risks", anchors_of))
+        block = F.when(clause["content"].isNotNull(), F.array(block_anchor(clause, source)))
+        quoted = F.when(place.isNotNull(), F.array(span_anchor(place, text, bounds, source)))
+        return F.coalesce(quoted, whole, *([block] if has_layout else []), none)
+
+    # named once: what a lambda mentions is evaluated for every element
+    found = F.struct("places", "clause_places", "clauses")
+    anchored = staged.withColumn("anchors", let(
+        found, lambda known: F.transform("risks", lambda r, i: anchors_of(known, r, i))))
     review = F.size(F.filter("risks", lambda r: F.exists(r["evidences"], lambda e: e["need_review"])))
     return anchored.select(
         *rows.columns, "anchors",
