@@ -1,6 +1,7 @@
 """Task state, streams, sinks, upserts and checks."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,10 +74,17 @@ def test_streaming_timeout_blocks_stuck_tasks(spark):
 
 
 def test_progress_stream(spark):
+    """State with a time to live never runs out of batches, so the query is stopped from here."""
     rows = [(1, 0, 3, 10), (1, 1, 12, 10)]
     df = spark.createDataFrame(rows, "task_id bigint, event_id bigint, parsed_pages bigint, total_pages bigint")
-    out = feeds.drain(machine.run_progress(write_log(spark, df), 3600), "progress", mode="update")
-    assert [(r["parsed_pages"], r["total_pages"]) for r in out.collect()] == [(10, 10)]
+    seen = []
+    query = machine.run_progress(write_log(spark, df), 3600).writeStream.outputMode("update").option(
+        "checkpointLocation", scratch_path(spark, "progress")).foreachBatch(lambda b, i: seen.extend(b.collect())).start()
+    deadline = time.time() + 60
+    while not seen and query.isActive and time.time() < deadline:
+        time.sleep(0.5)
+    query.stop()
+    assert [(r["parsed_pages"], r["total_pages"]) for r in seen] == [(10, 10)]
 
 
 def test_upsert_plan(spark):
