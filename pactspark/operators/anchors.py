@@ -173,6 +173,9 @@ def residue_places(texts: pd.Series, quotes: pd.Series) -> pd.Series:
     """Places of the quotes no exact match was found for; null keeps its position."""
     out = []
     for text, wanted in zip(texts, quotes):
+        if text is None or wanted is None:
+            out.append(None)
+            continue
         index = TextIndex(text)
         out.append([None if q is None else index.place(q) for q in wanted])
     return pd.Series(out, dtype="object")
@@ -190,10 +193,12 @@ def locate(rows: DataFrame, quotes: str = "quotes", text: str = "text") -> DataF
     usable = F.transform(quotes, lambda q: F.nullif(strip(q), F.lit("")))
     left = F.zip_with(usable, F.col("places"), lambda q, p: F.when(p.isNull(), q))
     marked = exact.withColumn("left", left)
-    open_rows = F.exists("left", lambda q: q.isNotNull())
-    tried = marked.filter(open_rows).withColumn("rest", residue_places(F.col(text), F.col("left")).cast(f"array<{PLACE}>"))
-    tried = tried.withColumn("places", F.zip_with("places", "rest", lambda p, r: F.coalesce(p, r))).drop("rest")
-    return marked.filter(~open_rows).unionByName(tried).drop("left")
+    open_row = F.exists("left", lambda q: q.isNotNull())
+    # a finished document sends nulls, so its text does not travel to Python
+    rest = residue_places(F.when(open_row, F.col(text)), F.when(open_row, F.col("left")))
+    tried = marked.withColumn("rest", rest)
+    return tried.withColumn("places", F.when(F.col("rest").isNull(), F.col("places")).otherwise(
+        F.zip_with("places", F.col("rest").cast(f"array<{PLACE}>"), lambda p, r: F.coalesce(p, r)))).drop("left", "rest")
 
 
 # ---- anchors ---------------------------------------------------------------------------

@@ -78,14 +78,15 @@ def by_document(docs: DataFrame, hits: DataFrame, verdicts: DataFrame) -> DataFr
 def with_pairs(rows: DataFrame) -> DataFrame:
     """Add ``pairs``: for each hit the index of the verdict it takes, or -1.
 
-    Only documents that have both kinds are sent to Python.
+    A document that lacks one of the two kinds sends empty arrays to Python.
     """
     both = (F.size("hits") > 0) & (F.size("verdicts") > 0)
 
     def column(source: str, field, kind: str) -> Column:
-        return F.transform(source, field).cast(f"array<{kind}>")
+        empty = F.array().cast(f"array<{kind}>")
+        return F.when(both, F.transform(source, field).cast(f"array<{kind}>")).otherwise(empty)
 
-    paired = rows.filter(both).withColumn("pairs", pair_hits(
+    paired = rows.withColumn("pairs", pair_hits(
         column("hits", lambda h: F.coalesce(h["clause_index"], F.lit(-1)), "int"),
         column("hits", lambda h: normalize(h["title"]), "string"),
         column("hits", lambda h: normalize(h["quote"]), "string"),
@@ -93,8 +94,7 @@ def with_pairs(rows: DataFrame) -> DataFrame:
         column("verdicts", lambda v: normalize(v["title"]), "string"),
         column("verdicts", lambda v: F.nullif(normalize(v["quote"]), F.lit("")), "string"),
     ))
-    alone = rows.filter(~both).withColumn("pairs", F.transform("hits", lambda h: F.lit(-1)))
-    return paired.unionByName(alone)
+    return paired.withColumn("pairs", F.when(both, F.col("pairs")).otherwise(F.transform("hits", lambda h: F.lit(-1))))
 
 
 def _evidence(kind: str, title: Column, detail: Column, snippet: Column, rule_id: Column, review: Column) -> Column:

@@ -65,9 +65,9 @@ def replay(prompt_rows: DataFrame, fixtures: Sequence[tuple[Sequence[str], Seque
 def salvage(responses: DataFrame, column: str = "raw_text") -> DataFrame:
     """Add ``json`` and ``strategy``; only what built-ins cannot read meets Python."""
     tried = responses.withColumn("s", whole_or_fenced(F.col(column)))
-    done = tried.filter("s is not null")
-    rest = tried.filter("s is null").withColumn("s", salvage_rest(F.col(column)))
-    return done.unionByName(rest).select(*responses.columns, "s.json", "s.strategy")
+    rest = tried.withColumn("r", salvage_rest(F.when(F.col("s").isNull(), F.col(column))))
+    return rest.select(*responses.columns, F.coalesce("s.json", "r.json").alias("json"),
+                       F.coalesce("s.strategy", "r.strategy").alias("strategy"))
 
 
 def risk_items(json: Column) -> Column:
