@@ -29,13 +29,6 @@ def reviewed_evidences(risk: Column, sources: Column) -> Column:
         e["evidence_type"] == "llm", e.withField("need_review", unknown)).otherwise(e))).otherwise(risk["evidences"])
 
 
-def clause_arrays(clauses: DataFrame) -> DataFrame:
-    """A document's clauses in order, one row; as large as the document."""
-    item = F.struct("seq", F.struct(*_CLAUSE).alias("c"))
-    return clauses.groupBy("doc_id").agg(
-        F.transform(F.sort_array(F.collect_list(item)), lambda s: s["c"]).alias("clauses"))
-
-
 def clauses_in_need(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     """Add ``clauses``: a map of only those clauses a risk refers to."""
     asked = rows.select("doc_id", F.explode(F.array_distinct(F.transform("risks", lambda r: r["clause_index"]))).alias("seq"))
