@@ -238,9 +238,9 @@ def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(outgoing(pd.concat(parts), False), ROW_SCHEMA)
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """Rows to their blocks, each read in order."""
-    return rows.repartition("a").sortWithinPartitions("a", "b", "doc", "crc", "start").mapInArrow(parse, MARK)
+def parsed(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows to their blocks, or with both keys to parts of blocks, each read in order."""
+    return rows.repartition(*keys).sortWithinPartitions("a", "b", "doc", "crc", "start").mapInArrow(parse, MARK)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -255,10 +255,10 @@ def spans_of(marks: DataFrame) -> DataFrame:
 def factors(docs: DataFrame) -> DataFrame:
     """(doc, crc, start, n): runs of n copied windows, from word ``start`` of the document."""
     rows = keyed(docs)
-    by_phrase = materialise(parsed(rows.select("doc", "crc", "text").mapInArrow(phrases, ROW)), "phrases")
+    by_phrase = materialise(parsed(rows.select("doc", "crc", "text").mapInArrow(phrases, ROW), "a"), "phrases")
     to_check = spans_of(by_phrase.where("check").select("doc", "crc", "start", "n").distinct())
     texts = rows.dropDuplicates(["doc", "crc"]).join(to_check, (F.col("doc") == F.col("_doc")) & (F.col("crc") == F.col("_crc"))).select("doc", "crc", "text", "spans")
-    by_window = parsed(texts.mapInArrow(windows, ROW)).where("not check")
+    by_window = parsed(texts.mapInArrow(windows, ROW), "a", "b").where("not check")
     return by_phrase.where("not check").select("doc", "crc", "start", "n").union(by_window.select("doc", "crc", "start", "n"))
 
 
