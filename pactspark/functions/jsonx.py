@@ -34,57 +34,40 @@ def whole_or_fenced(text: Column) -> Column:
     ))
 
 
-def _parses(text: str) -> bool:
+def value_at(text: str, start: int = 0) -> int | None:
+    """Where the JSON value that begins at ``start`` ends; null if none does, or it is a bare null."""
     try:
-        return json.loads(text) is not None
-    except ValueError:
-        return False
-
-
-def balanced_span(text: str) -> str | None:
-    """The first bracketed span that is balanced outside strings and parses."""
-    places = sorted((text.find(o), o, c) for o, c in ("{}", "[]") if o in text)
-    for start, opener, closer in places:
-        depth, quoted, skip = 0, False, False
-        for i in range(start, len(text)):
-            c = text[i]
-            if skip:
-                skip = False
-            elif c == "\\":
-                skip = True
-            elif c == '"':
-                quoted = not quoted
-            elif not quoted and c in (opener, closer):
-                depth += 1 if c == opener else -1
-                if depth == 0:
-                    if _parses(text[start:i + 1]):
-                        return text[start:i + 1]
-                    break
+        value, stop = json.JSONDecoder().raw_decode(text, start)
+    except (ValueError, RecursionError):
+        return None
+    return None if value is None else stop
+
+
+def embedded_value(text: str) -> str | None:
+    """The object or list at the first brace or bracket, whichever of them is read."""
+    for start in sorted(p for p in map(text.find, "{[") if p >= 0):
+        stop = value_at(text, start)
+        if stop is not None:
+            return text[start:stop]
     return None
 
 
-def leading_lines(text: str) -> str | None:
-    """The longest run of leading lines that parses."""
-    lines = text.splitlines()
-    for stop in range(len(lines), 0, -1):
-        part = "\n".join(lines[:stop]).strip()
-        if part and _parses(part):
-            return part
-    return None
+def leading_value(text: str) -> str | None:
+    """The value that the text begins with, if nothing else stands on its last line."""
+    stop = value_at(text)
+    if stop is None or text[stop:].partition("\n")[0].strip():
+        return None
+    return text[:stop]
 
 
 @F.pandas_udf(SALVAGED)
 def salvage_rest(texts: pd.Series) -> pd.DataFrame:
-    """Bracket scan, then leading lines, for texts the built-ins gave up on."""
+    """An embedded object or list, then a leading value, for texts the built-ins gave up on."""
     out = []
     for text in texts:
         body = (text or "").strip()
-        span = balanced_span(body) if body else None
-        if span is not None:
-            out.append((span, "balanced"))
-            continue
-        lines = leading_lines(body) if body[:1] in '{["-0123456789tf' and body else None
-        out.append((lines, "lines" if lines is not None else None))
+        finds = ((embedded_value(body), "balanced"), (leading_value(body), "lines"))
+        out.append(next((f for f in finds if f[0] is not None), (None, None)))
     return pd.DataFrame(out, columns=["json", "strategy"])
 
 

@@ -128,29 +128,40 @@ class TextIndex:
         at = self.solid.find(quote) if quote else -1
         return self._span(self.solid_at, at, len(quote)) if at >= 0 else None
 
+    def _starts(self, target: str) -> list[int]:
+        """Where a window like ``target`` may start, by every piece of it that the text holds.
+
+        The target is cut into short pieces. A window that is like enough leaves one of
+        them unchanged, within ``FUZZY_ALIGN`` characters of its place, wherever the
+        changes are; no occurrence is passed over.
+        """
+        found: set[int] = set()
+        last = len(self.spaced) - len(target)
+        size = min(FUZZY_SEED, len(target))
+        places = {*range(0, len(target) - size + 1, size), len(target) - size}
+        for place in places:
+            at = self.spaced.find(target[place : place + size])
+            while at >= 0:
+                middle = at - place
+                found.update(range(max(0, middle - FUZZY_ALIGN), min(last, middle + FUZZY_ALIGN) + 1))
+                at = self.spaced.find(target[place : place + size], at + 1)
+        return sorted(found)
+
     def fuzzy(self, quote: str) -> tuple[int, int] | None:
-        """Best window of the quote's length near any occurrence of its start."""
+        """The window of the quote's length that is most like it, the earliest of equals."""
         target = comparable(quote)
         if len(target) < FUZZY_MIN_LENGTH:
             return None
-        seed, best, best_score = target[:FUZZY_SEED], None, 0.0
-        matcher = SequenceMatcher(None)
-        seen: set[int] = set()
-        at = self.spaced.find(seed)
-        while at >= 0:
-            for start in range(max(0, at - FUZZY_ALIGN), at + FUZZY_ALIGN + 1):
-                if start + len(target) > len(self.spaced):
-                    break
-                if start in seen:
-                    continue
-                seen.add(start)
-                # the text window is the second sequence, as the measure is not symmetric
-                matcher.set_seqs(target, self.spaced[start:start + len(target)])
-                if matcher.quick_ratio() > best_score:
-                    score = matcher.ratio()
-                    if score > best_score:
-                        best, best_score = start, score
-            at = self.spaced.find(seed, at + 1)
+        best, best_score = None, 0.0
+        matcher = SequenceMatcher(None, autojunk=True)
+        for start in self._starts(target):
+            # the text window is the second sequence, as the measure is not symmetric
+            matcher.set_seqs(target, self.spaced[start : start + len(target)])
+            least = max(best_score, FUZZY_SIMILARITY - 1e-9)
+            if matcher.real_quick_ratio() > least and matcher.quick_ratio() > least:
+                score = matcher.ratio()
+                if score > best_score:
+                    best, best_score = start, score
         if best is None or best_score < FUZZY_SIMILARITY:
             return None
         return self._span(self.spaced_at, best, len(target))

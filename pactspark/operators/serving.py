@@ -54,8 +54,9 @@ def keyword_match(keyword: str, columns: Sequence[str], mode: str = "like") -> C
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20) -> DataFrame:
-    """One page of a list; a page has at most a hundred rows. ``order`` ends in a key."""
-    size = min(size, 100)
+    """One page of a list, of the size asked for. ``order`` ends in a key."""
+    if number < 1 or size < 1:
+        raise ValueError("pages and their sizes count from one")
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 

@@ -222,10 +222,6 @@ TRANSITIONS = (
 STALE_DETAIL = "进程重启或执行超时，任务被标记为受阻，可重试"
 PROGRESS_TTL_SECONDS = 24 * 3600
 
-# ---- differences (fixed values) -----------------------------------------------
-
-DIFF_MAX_CELLS = 1_440_000
-
 # ---- blacklist (fixed values; invented companies) ------------------------------
 
 BLACKLIST = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactspark.functions import numbers as N
@@ -536,20 +536,48 @@ def quotes_altered(spark, sf):
     select item_id, doc_id, strpos(d.text, b.text) - 1 as char_start, strpos(d.text, b.text) - 1 + length(b.text) as char_end
     from documents d join benchmark b on contains(d.text, b.text)""")
 def passages_located(spark, sf):
-    """Benchmark passages in documents, through a join on five inner words.
+    """Benchmark passages in documents."""
+    return _passages(load(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage")), texts(spark, sf).select("doc_id", "text"))
 
-    A verbatim copy holds the passage's inner words as whole words, so candidates
-    come from an equi-join on them; the text is compared only for candidates.
+
+@query("passages_located_short", r"""
+    with b as (select item_id * 10 + j as item_id, array_to_string(regexp_extract_all(text, '\S+')[1:j], ' ') as text from benchmark, range(1, 7) t(j))
+    select item_id, doc_id, strpos(d.text, b.text) - 1 as char_start, strpos(d.text, b.text) - 1 + length(b.text) as char_end
+    from documents d join b on contains(d.text, b.text) where b.text <> ''""")
+def passages_located_short(spark, sf):
+    """The first one to six words of every benchmark passage, in documents."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    starts = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda j: F.struct(
+        (F.col("item_id") * 10 + j).alias("item_id"), F.array_join(F.slice(words, F.lit(1), j), " ").alias("passage")))
+    return _passages(load(spark, sf, "benchmark").select(F.inline(starts)), texts(spark, sf).select("doc_id", "text"))
+
+
+def _passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item_id, doc_id, char_start, char_end): where passages of any length stand verbatim.
+
+    A copy holds the passage's inner words (without the first and the last, which a
+    longer word may continue) as whole words: five of them at most are a key. A passage
+    of one or two words has its first three characters as key. Which kinds and lengths
+    of key there are, at most eight, is read first; texts are compared for candidates.
     """
-    words = F.split("text", r"(?U)\s+")
-    inner = F.array_join(F.slice(words, 2, 5), " ")
-    items = load(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"), inner.alias("key"))
-    docs = texts(spark, sf)
-    keys = let(words, lambda w: F.array_distinct(F.transform(
-        indexes(F.greatest(F.size(w) - 4, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, 5), " "))))
-    candidates = docs.select("doc_id", F.explode(keys).alias("key")).join(
-        items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    joined = candidates.join(items.select("item_id", "passage"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    def split(name: str) -> Column:
+        return F.filter(F.split(name, r"(?U)\s+"), lambda w: w != "")
+
+    inner = F.least(F.size("words") - 2, F.lit(5))
+    shaped = items.where("passage <> ''").withColumn("words", split("passage")).withColumn("by_words", inner > 0).withColumn(
+        "n", F.when(inner > 0, inner).otherwise(F.least(F.char_length("passage"), F.lit(3))))
+    run = F.when(F.col("by_words"), F.array_join(F.slice("words", F.lit(2), F.col("n")), " ")).otherwise(F.substring("passage", F.lit(1), F.col("n")))
+    keyed = shaped.withColumn("key", F.concat(F.when(F.col("by_words"), F.lit("w")).otherwise(F.lit("c")), F.col("n").cast("string"), run))
+    shapes = sorted((r.by_words, r.n) for r in shaped.select("by_words", "n").distinct().collect())
+
+    def runs(by_words: bool, n: int) -> Column:
+        mark = F.lit(f"{'w' if by_words else 'c'}{n}")
+        return let(split("text") if by_words else F.split("text", ""), lambda w: F.transform(
+            indexes(F.greatest(F.size(w) - (n - 1), F.lit(0))), lambda i: F.concat(mark, F.array_join(F.slice(w, i + 1, n), " " if by_words else ""))))
+
+    keys = F.array_distinct(F.concat(F.array().cast("array<string>"), *[runs(*s) for s in shapes]))
+    found = docs.select("doc_id", F.explode(keys).alias("key")).join(keyed.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    joined = found.join(items, "item_id").join(docs, "doc_id")
     at = F.position("passage", "text").cast("bigint")
     return joined.withColumn("at", at).filter("at > 0").select(
         "item_id", "doc_id", (F.col("at") - 1).alias("char_start"), (F.col("at") - 1 + F.length("passage")).alias("char_end"))

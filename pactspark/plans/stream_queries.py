@@ -17,6 +17,13 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.stream_parquet(spark, sf, "events.parquet", load(spark, sf, "events").schema)
 
 
+def event_files(spark: SparkSession, sf: str, files: int = 3) -> DataFrame:
+    """The events as a stream of several files, one for each micro-batch."""
+    events, folder = load(spark, sf, "events"), scratch_path(spark, "event-files")
+    events.repartition(files, "event_id").write.parquet(folder)
+    return feeds.stream_parquet(spark, folder, "*.parquet", events.schema, max_files=1)
+
+
 def standin_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.sql(SQL[name], events=event_stream(spark, sf))
 
@@ -47,12 +54,25 @@ def stream_events_accepted(spark, sf):
     return a.unionByName(b)
 
 
-@query("stream_call_volume", f"""{cte('llm_call_log')} select strftime(date_trunc('hour', created_at), '%Y-%m-%d %H') as window_start, provider, status, count(*) as calls,
-    cast(sum(prompt_tokens) as bigint) as prompt_tokens from llm_call_log group by all""")
+VOLUME_SQL = f"""{cte('llm_call_log')} select strftime(date_trunc('hour', created_at), '%Y-%m-%d %H') as window_start, provider, status, count(*) as calls,
+    cast(sum(prompt_tokens) as bigint) as prompt_tokens from llm_call_log group by all"""
+
+
+def _volume(log: DataFrame) -> DataFrame:
+    out = feeds.drain(feeds.call_volume_stream(log), "calls", mode="complete")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "provider", "status", "calls", "prompt_tokens")
+
+
+@query("stream_call_volume", VOLUME_SQL)
 def stream_call_volume(spark, sf):
     """Hourly model calls in complete mode; the last result is the whole table."""
-    out = feeds.drain(feeds.call_volume_stream(standin_stream(spark, sf, "llm_call_log")), "calls", mode="complete")
-    return out.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "provider", "status", "calls", "prompt_tokens")
+    return _volume(standin_stream(spark, sf, "llm_call_log"))
+
+
+@query("stream_call_volume_batches", VOLUME_SQL)
+def stream_call_volume_batches(spark, sf):
+    """The same from several micro-batches."""
+    return _volume(spark.sql(SQL["llm_call_log"], events=event_files(spark, sf)))
 
 
 @query("stream_intake", """select min(event_id) as event_id from events group by sha256(props)""")
@@ -65,3 +85,19 @@ def stream_intake(spark, sf):
     q.awaitTermination()
     schema = "file_hash string, event_id bigint, deleted_at timestamp"
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(stored).select("event_id")
+
+
+@query("stream_intake_batches", """select sha256(props) as file_hash, count(distinct sha256(props)) as n from events group by 1""")
+def stream_intake_batches(spark, sf):
+    """Intake from several micro-batches, each run twice: every content is stored once."""
+    e = event_files(spark, sf).select("event_id", F.sha2("props", 256).alias("file_hash"))
+    stored = scratch_path(spark, "intake")
+    run = feeds.intake_batches(stored, "file_hash", "event_id")
+
+    def twice(batch: DataFrame, batch_id: int) -> None:
+        run(batch, batch_id)
+        run(batch, batch_id)
+
+    q = e.writeStream.foreachBatch(twice).option("checkpointLocation", scratch_path(spark, "intake-state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(stored).groupBy("file_hash").agg(F.count("*").alias("n"))

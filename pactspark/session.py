@@ -38,12 +38,15 @@ def build_session(app: str = "pactspark", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares between driver and executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when that is unset (a
-    local run, as in tests) a fresh temporary folder is taken and remembered.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local run
+    (driver and executors in one process) takes a fresh temporary folder and remembers
+    it; on a cluster, whose machines do not share such a folder, it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)

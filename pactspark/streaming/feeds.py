@@ -14,6 +14,7 @@ from pactspark.sources import intake
 
 
 def stream_parquet(spark: SparkSession, path: str, glob: str, schema, max_files: int = 100) -> DataFrame:
+    """Files below a folder as a stream; ``max_files`` sets the size of a micro-batch, not what is read."""
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option(
         "maxFilesPerTrigger", max_files).parquet(path)
 
@@ -38,15 +39,16 @@ def deduplicated(deliveries: DataFrame, time: str, hash_column: str, delay: str
 def intake_batches(stored_path: str, hash_column: str, key: str, then: Callable[[DataFrame], None] | None = None):
     """A ``foreachBatch`` function: take in what is new by content, append it, go on.
 
-    Safe to run again for the same batch: what was appended counts as stored.
+    Each batch has a folder of its own. A batch that is run again looks at the others
+    only and writes its folder anew, with the same rows.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         schema = f"{hash_column} string, {key} bigint, deleted_at timestamp"
-        stored = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(stored_path) if _exists(
+        others = spark.read.schema(f"{schema}, batch bigint").parquet(stored_path).where(F.col("batch") != batch_id).drop("batch") if _exists(
             spark, stored_path) else spark.createDataFrame([], schema)
-        fresh = intake.new_documents(batch, stored, hash_column, key)
+        fresh = intake.new_documents(batch, others, hash_column, key)
         fresh.withColumn("deleted_at", F.lit(None).cast("timestamp")).select(
             hash_column, key, "deleted_at").write.mode("overwrite").parquet(f"{stored_path}/batch={batch_id}")
         if then is not None:
@@ -68,17 +70,19 @@ def call_volume_stream(log: DataFrame, delay: str = "1 hour", width: str = "1 ho
 def drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and return the result as a table.
 
-    Results go to a parquet sink in the shared folder; other output modes than
-    append write whole micro-batches through ``foreachBatch``.
+    Appended rows go to a parquet sink in the shared folder. In complete mode each
+    micro-batch holds the whole result and replaces the one before, so the result does
+    not depend on how many there were.
     """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"no table follows from output mode {mode}")
     spark = stream.sparkSession
     out, checkpoint = scratch_path(spark, f"{label}-out"), scratch_path(spark, f"{label}-state")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
-        query = writer.format("parquet").outputMode("append").start(out)
+        query = writer.format("parquet").start(out)
     else:
-        query = writer.outputMode(mode).foreachBatch(
-            lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i}")).start()
+        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(out if mode == "append" else f"{out}/batch=-1")
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(out)
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(out)
+    return spark.read.schema(stream.schema).parquet(out)

@@ -1,6 +1,7 @@
 """Text, number and JSON functions against values worked out by hand."""
 
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -113,8 +114,19 @@ def test_differences(before, after, want):
     assert [(s["kind"], s["text"]) for s in similarity.diff_segments(before, after)] == want
 
 
-def test_difference_limit():
-    assert [s["kind"] for s in similarity.diff_segments("ab", "ac", max_cells=3)] == ["del", "add"]
+def test_differences_of_long_texts():
+    kinds = [(s["kind"], len(s["text"])) for s in similarity.diff_segments("a" * 1300 + "b", "a" * 1300 + "c")]
+    assert kinds == [("same", 1300), ("del", 1), ("add", 1)]
+    random.seed(4)
+    for size in (7, 40, 300):
+        a, b = ("".join(random.choice("abc") for _ in range(size)) for _ in range(2))
+        runs = similarity.diff_segments(a, b)
+        assert "".join(r["text"] for r in runs if r["kind"] != "add") == a and "".join(r["text"] for r in runs if r["kind"] != "del") == b
+        table = [[0] * (size + 1) for _ in range(size + 1)]
+        for i in range(size):
+            for j in range(size):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        assert sum(len(r["text"]) for r in runs if r["kind"] == "same") == table[size][size]
 
 
 @pytest.mark.parametrize("raw, want, strategy", [
@@ -128,8 +140,12 @@ def test_json_salvage(spark, raw, want, strategy):
     assert (row["json"], row["strategy"]) == (want, strategy)
 
 
-def test_leading_lines():
-    assert jsonx.leading_lines('12\nand some words') == "12"
+def test_values_inside_text():
+    assert jsonx.leading_value('12\nand some words') == "12"
+    assert jsonx.leading_value('12 and some words') is None
+    assert jsonx.leading_value('"a\\n"  \n\nrest') == '"a\\n"'
+    assert jsonx.embedded_value('so {not json} but [1, {"a": "]"}] it is') == '[1, {"a": "]"}]'
+    assert jsonx.embedded_value("null") is None
 
 
 def test_character_boxes(spark):
