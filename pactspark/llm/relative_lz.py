@@ -99,13 +99,21 @@ class Words:
         return place, hashes[place]
 
 
-def first_of_equals(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b, doc, crc, start, …) in order of these, and which are the first with their (a, b)."""
-    order = np.lexsort([rows[c].to_numpy() for c in ("start", "crc", "doc", "b", "a")])
-    a, b = rows["a"].to_numpy()[order], rows["b"].to_numpy()[order]
-    first = np.ones(len(order), dtype=bool)
+PLACE = ("doc", "crc", "start")
+
+
+def first_of_equals(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows in order of (a, b, doc, crc, start), which are the first with their (a, b), and which are its copies.
+
+    A row at the same place as the first is that place again, from a repeated document.
+    """
+    rows = rows.iloc[np.lexsort([rows[c].to_numpy() for c in ("start", "crc", "doc", "b", "a")])]
+    a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+    first = np.ones(len(rows), dtype=bool)
     first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return order, first
+    of = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+    elsewhere = np.any([rows[c].to_numpy() != rows[c].to_numpy()[of] for c in PLACE], axis=0)
+    return rows, first, elsewhere
 
 
 def joined_runs(rows: pd.DataFrame) -> pd.DataFrame:
@@ -126,9 +134,8 @@ def outgoing(rows: pd.DataFrame, anchored: bool) -> pd.DataFrame:
 
     Marks have no ``b``; their ``a`` only spreads them.
     """
-    order, first = first_of_equals(rows)
-    rows = rows.iloc[order]
-    copies, firsts = rows[~first], rows[first]
+    rows, first, elsewhere = first_of_equals(rows)
+    copies, firsts = rows[elsewhere], rows[first]
     parts = [joined_runs(copies).assign(note=False)]
     if anchored and len(firsts):
         a = firsts["a"].to_numpy()
@@ -177,6 +184,7 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     the last rows of a batch are remembered.
     """
     last: tuple[int, int] | None = None  # anchor and phrase of the row before
+    origin: tuple[int, ...] = ()  # where that phrase stands first
     several = False  # whether the last anchor has several phrases
     alone: pd.DataFrame | None = None  # the last anchor's only phrase so far
     for batch in batches:
@@ -211,7 +219,11 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             alone = None
         if len(starts) > 1:
             alone = None
-        copies = ~first & ~note
+        places = np.array([rows[c].to_numpy() for c in PLACE])
+        of = np.maximum.accumulate(np.where(first, np.arange(len(a)), -1))
+        origins = np.where(of < 0, np.array(origin or (0, 0, 0))[:, None], places[:, np.maximum(of, 0)])
+        origin = tuple(origins[:, -1])
+        copies = ~first & ~note & (places != origins).any(axis=0)
         out.append(joined_runs(rows[copies]).assign(check=False))
         out.append(rows[first & ~note & many].assign(check=True))
         if distinct[-1] == 1 and not (goes_on and len(starts) == 1):
