@@ -1,40 +1,19 @@
-"""Broadcasting behind a check of the size."""
+"""Configuration tables: small by contract, checked."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-MAX_ROWS = 200_000
-MAX_BYTES = 64 * 1024 * 1024
-
-
-def is_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
-    """True when the table is measured to fit; reads at most ``max_rows`` + 1 rows."""
-    size = df.limit(max_rows + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")
-    ).first()
-    return size["n"] <= max_rows and size["b"] <= max_bytes
-
-
-def measured(table: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A hint for projections and filters of ``table``, measured once for all of them."""
-    return F.broadcast if is_small(table) else (lambda df: df)
-
 
-def local_if_small(df: DataFrame) -> DataFrame:
-    """A configuration table as literal rows of the plan, if it is small."""
-    if not is_small(df, max_rows=10_000, max_bytes=8 * 1024 * 1024):
-        return df
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+MAX_ROWS = 10_000
 
 
-def small_side(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it is small, else as it is.
+def configuration(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """A table of settings (rules, templates) as literal rows of the plan.
 
-    Without the hint the join still runs, as a shuffle join that AQE splits where
-    a key is hot.
+    Settings do not grow with the corpus, so plans may broadcast them; a table of more
+    than ``max_rows`` rows is refused rather than treated in another way.
     """
-    return F.broadcast(df) if is_small(df, max_rows) else df
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"a configuration table has more than {max_rows} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)

@@ -1,15 +1,14 @@
 """Rules as rows: every document against every rule of its business type, in one pass.
 
-Clause rules join the clauses with the rules on business type, test the words a
-rule carries inside that join, and keep the first clause per (document, rule) with
-a partially aggregated ``min_by``; only hits are shuffled. Document rules work on
-one row of facts per document.
+Clauses meet the rules of their business type once. In that row everything a rule asks
+of a clause is answered: findings of clause rules, marks of one-sided liability, places
+of required wording; clauses that answer nothing fall away before one partially
+aggregated reduction per (document, rule). Then each document's facts meet its rules,
+with these answers beside them, and every kind of rule is decided in the same row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from pactspark import schemas
 from pactspark.functions.numbers import RATIO_TYPE, compare, first_percent
 from pactspark.functions.scope import let
 from pactspark.functions.text import quote_around, render_template
-from pactspark.operators.bounded import local_if_small, measured, small_side
+from pactspark.operators.bounded import configuration
 from pactspark.packs.fixed import CATEGORY_TO_CLAUSE_TYPE, GLOBAL_CLAUSE_LABEL, PROBATION_WORD
 
 HIT_COLUMNS = (
@@ -25,7 +24,6 @@ HIT_COLUMNS = (
     "suggestion", "clause_index", "quote", "evidence_detail", "rule_seq",
 )
 _CLAUSE_METRICS = ("penalty_ratio", "probation_pay_ratio")
-Side = Callable[[DataFrame], DataFrame]
 
 
 def _strings() -> Column:
@@ -89,7 +87,7 @@ def prepare(rules: DataFrame, templates: DataFrame) -> DataFrame:
     )
     own_patterns = values("regex")
     category_type = F.create_map(*(F.lit(x) for pair in CATEGORY_TO_CLAUSE_TYPE.items() for x in pair))
-    return local_if_small(cfg.select(
+    return configuration(cfg.select(
         "business_type", "rule_id", F.col("code").alias("rule_code"), F.col("name").alias("rule_name"),
         "category", "risk_level", "rule_type", F.col("seq").alias("rule_seq"),
         "result_template", "suggestion_template",
@@ -120,7 +118,7 @@ def prepare(rules: DataFrame, templates: DataFrame) -> DataFrame:
 
 def applicable(docs: DataFrame, prepared: DataFrame) -> DataFrame:
     """(doc_id, rule) pairs to run: the rules of the document's business type."""
-    return docs.join(small_side(prepared.select("business_type", "rule_id", "rule_code", "rule_seq")), "business_type")
+    return docs.join(F.broadcast(prepared.select("business_type", "rule_id", "rule_code", "rule_seq")), "business_type")
 
 
 # ---- clause rules ------------------------------------------------------------------
@@ -181,70 +179,61 @@ def _clause_finding() -> Column:
     )
 
 
-def clause_findings(clauses: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
-    """Every (clause, rule) in which a clause rule finds something."""
+def _of_clauses() -> Column:
+    """Rules that look for something in single clauses."""
     kind = F.col("rule_type")
-    scoped = prepared.filter(
-        kind.isin("keyword", "regex")
-        | ((kind == "threshold") & F.col("metric").isin(*_CLAUSE_METRICS) & F.col("threshold").isNotNull())
-        | ((kind == "blacklist") & (F.col("list_source") != "subject_blacklist"))
-    )
-    slim = clauses.select(
-        "doc_id", "business_type", F.col("seq").alias("clause_index"), "clause_no", "content",
-        first_percent(F.col("content")).alias("ratio"),
-    )
-    found = slim.join(side(scoped), "business_type").withColumn("found", _clause_finding())
+    return (kind.isin("keyword", "regex") | ((kind == "threshold") & F.col("metric").isin(*_CLAUSE_METRICS) & F.col("threshold").isNotNull())
+            | ((kind == "blacklist") & (F.col("list_source") != "subject_blacklist")))
+
+
+def _one_sided() -> Column:
+    return (F.col("rule_type") == "threshold") & (F.col("metric") == "liability_asymmetry") & (F.size("severe") > 0)
+
+
+def _slim(clauses: DataFrame) -> DataFrame:
+    return clauses.select("doc_id", "business_type", F.col("seq").alias("clause_index"), "clause_no", "clause_type", "content",
+                          first_percent(F.col("content")).alias("ratio"))
+
+
+def clause_findings(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Every (clause, rule) in which a clause rule finds something."""
+    found = _slim(clauses).join(F.broadcast(prepared.filter(_of_clauses())), "business_type").withColumn("found", _clause_finding())
     return found.filter(F.col("found").isNotNull()).select(
         "doc_id", "rule_id", "clause_index", "clause_no", "found.quote", F.col("found.detail").alias("detail")
     )
 
 
-def _first_per_rule(findings: DataFrame) -> DataFrame:
-    row = F.struct("clause_index", "clause_no", "quote", "detail")
-    return findings.groupBy("doc_id", "rule_id").agg(F.min_by(row, "clause_index").alias("h")).select(
-        "doc_id", "rule_id", "h.*"
-    )
-
+def clause_answers(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
+    """What the clauses of a document answer to a rule, one row per (document, rule).
 
-def asymmetry_findings(clauses: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
-    """Severe wording somewhere and mild wording, or a tiny ratio, somewhere."""
-    rules = prepared.filter(
-        (F.col("rule_type") == "threshold") & (F.col("metric") == "liability_asymmetry") & (F.size("severe") > 0)
-    ).select("business_type", "rule_id", "severe", "mild", "mild_ratio_max")
-    slim = clauses.select(
-        "doc_id", "business_type", "seq", "clause_no", "content", first_percent(F.col("content")).alias("ratio")
-    )
+    ``finding`` is the first clause's finding; ``severe``, ``mild`` and ``small`` are the
+    earliest marks of one-sided liability; ``anywhere`` to ``preferred`` say where the
+    wording that a presence rule requires stands, within one clause, and where it lacks.
+    """
     content = F.col("content")
-    marked = slim.join(side(rules), "business_type").select(
-        "doc_id", "rule_id", "seq", "clause_no", "mild_ratio_max",
-        _first_in(F.col("severe"), lambda k: content.contains(k)).alias("severe_word"),
-        _first_in(F.col("mild"), lambda k: content.contains(k)).alias("mild_word"),
-        F.when(F.col("ratio") <= F.col("mild_ratio_max"), F.col("ratio")).alias("small"),
-        "content",
-    )
-    kept = marked.filter("severe_word is not null or mild_word is not null or small is not null")
+    wording = (F.col("rule_type") == "presence") & F.col("required_pattern").isNotNull()
+    asked = prepared.filter(_of_clauses() | _one_sided() | wording)
+    place = F.struct("clause_index", "clause_no")
+    has = F.when(wording, content.contains(F.col("required_pattern")))
+    inside = F.when(wording, F.coalesce(F.col("clause_type") == F.col("within"), F.lit(False)))
+    liked = F.exists("anchor_keywords", lambda k: content.contains(k))
+    severe = F.when(_one_sided(), _first_in(F.col("severe"), lambda k: content.contains(k)))
+    marked = _slim(clauses).join(F.broadcast(asked), "business_type").select(
+        "doc_id", "rule_id", "clause_index", "clause_no", _clause_finding().alias("found"),
+        let(severe, lambda w: F.when(w.isNotNull(), F.struct("clause_index", "clause_no", w.alias("word"), quote_around(content, w).alias("quote")))).alias("severe"),
+        F.when(_one_sided(), _first_in(F.col("mild"), lambda k: content.contains(k))).alias("mild"),
+        F.when(_one_sided() & (F.col("ratio") <= F.col("mild_ratio_max")), F.col("ratio")).alias("small"),
+        has.alias("has"), inside.alias("inside"), F.when(inside & ~has, place).alias("lacking"), F.when(inside & ~has & liked, place).alias("preferred"),
+    ).filter("found is not null or severe is not null or mild is not null or small is not null or has or inside")
 
     def earliest(value: Column, present: str) -> Column:
-        return F.min_by(value, F.when(F.col(present).isNotNull(), F.col("seq")))
-
-    severe = F.struct("seq", "clause_no", "severe_word", quote_around(content, F.col("severe_word")).alias("quote"))
-    summed = kept.groupBy("doc_id", "rule_id").agg(
-        earliest(severe, "severe_word").alias("s"),
-        earliest(F.col("mild_word"), "mild_word").alias("mild_word"),
-        earliest(F.col("small"), "small").alias("small"),
-        F.first("mild_ratio_max").alias("cap"),
-    )
-    mild = F.coalesce(
-        F.concat(F.lit("轻责表述 "), shown(F.col("mild_word"))),
-        F.concat(F.lit("轻责比例 "), shown_number(F.col("small")), F.lit("%（不超过 "),
-                 shown_number(F.col("cap")), F.lit("%）")),
-    )
-    return summed.filter("s is not null and (mild_word is not null or small is not null)").select(
-        "doc_id", "rule_id", F.col("s.seq").alias("clause_index"), "s.clause_no", "s.quote",
-        F.concat(
-            F.lit("责任不对等：存在重责表述 "), shown(F.col("s.severe_word")), F.lit("，同时存在"), mild,
-            F.lit("（条款 "), F.coalesce("s.clause_no", F.col("s.seq").cast("string")), F.lit("）"),
-        ).alias("detail"),
+        return F.min_by(value, F.when(F.col(present).isNotNull(), F.col("clause_index")))
+
+    return marked.groupBy("doc_id", "rule_id").agg(
+        earliest(F.struct("clause_index", "clause_no", "found.quote", "found.detail"), "found").alias("finding"),
+        earliest(F.col("severe"), "severe").alias("severe"), earliest(F.col("mild"), "mild").alias("mild"), earliest(F.col("small"), "small").alias("small"),
+        F.bool_or("has").alias("anywhere"), F.bool_or("inside").alias("has_target"), F.bool_or(F.col("inside") & F.col("has")).alias("in_target"),
+        F.min("lacking").alias("lacking"), F.min("preferred").alias("preferred"),
     )
 
 
@@ -270,88 +259,60 @@ def document_facts(docs: DataFrame, clauses: DataFrame, metadata: DataFrame) ->
     )
 
 
-def pattern_facts(clauses: DataFrame, rules: DataFrame, side: Side = small_side) -> DataFrame:
-    """Per (document, rule with a required pattern): where it is and where it lacks."""
-    wanted = rules.filter("required_pattern is not null").select(
-        "business_type", "rule_id", "required_pattern", "within", "anchor_keywords"
-    )
-    has = F.col("content").contains(F.col("required_pattern"))
-    inside = F.coalesce(F.col("clause_type") == F.col("within"), F.lit(False))
-    place = F.struct("seq", "clause_no")
-    liked = F.exists("anchor_keywords", lambda k: F.col("content").contains(k))
-    marked = clauses.join(side(wanted), "business_type").select(
-        "doc_id", "rule_id", has.alias("has"), inside.alias("inside"),
-        F.when(inside & ~has, place).alias("lacking"),
-        F.when(inside & ~has & liked, place).alias("preferred"),
-    )
-    return marked.groupBy("doc_id", "rule_id").agg(
-        F.bool_or("has").alias("anywhere"),
-        F.bool_or(F.col("inside")).alias("has_target"),
-        F.bool_or(F.col("inside") & F.col("has")).alias("in_target"),
-        F.min("lacking").alias("lacking"),
-        F.min("preferred").alias("preferred"),
-    )
+def _finding(index: Column, number: Column, quote: Column, detail: Column) -> Column:
+    return F.struct(index.cast("int").alias("clause_index"), number.cast("string").alias("clause_no"), quote.cast("string").alias("quote"), detail.alias("detail"))
+
+
+def _one_sided_finding() -> Column:
+    """Severe wording somewhere and mild wording, or a tiny ratio, somewhere."""
+    severe, mild, small = F.col("a.severe"), F.col("a.mild"), F.col("a.small")
+    other = F.coalesce(
+        F.concat(F.lit("轻责表述 "), shown(mild)),
+        F.concat(F.lit("轻责比例 "), shown_number(small), F.lit("%（不超过 "), shown_number(F.col("mild_ratio_max")), F.lit("%）")))
+    detail = F.concat(F.lit("责任不对等：存在重责表述 "), shown(severe["word"]), F.lit("，同时存在"), other,
+                      F.lit("（条款 "), F.coalesce(severe["clause_no"], severe["clause_index"].cast("string")), F.lit("）"))
+    return F.when(severe.isNotNull() & (mild.isNotNull() | small.isNotNull()), _finding(severe["clause_index"], severe["clause_no"], severe["quote"], detail))
 
 
-def presence_findings(facts: DataFrame, clauses: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
-    """Missing clause types, metadata keys or wording; one finding per rule.
+def _presence_finding() -> Column:
+    """Missing clause types, metadata keys or wording.
 
     A required pattern is a literal that stands within one clause.
     """
-    rules = prepared.filter("rule_type = 'presence'")
-    base = facts.join(side(rules.select(
-        "business_type", "rule_id", "required_types", "required_keys", "required_pattern", "within",
-        "anchor_type", "category_type")), "business_type")
-    joined = base.join(pattern_facts(clauses, rules, side), ["doc_id", "rule_id"], "left")
-
     def known(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(False))
+        return F.coalesce(F.col(f"a.{name}"), F.lit(False))
 
-    within_missing = F.col("within").isNotNull() & known("has_target") & ~known("in_target")
+    pattern, within = F.col("required_pattern"), F.col("within")
     missing_text = (
-        F.when(F.col("required_pattern").isNull(), None)
-        .when(within_missing, F.concat(F.col("within"), F.lit(" 类条款内未出现 "), shown(F.col("required_pattern"))))
-        .when(F.col("within").isNull() & ~known("anywhere"),
-              F.concat(F.lit("未出现 "), shown(F.col("required_pattern"))))
-    )
+        F.when(pattern.isNull(), None)
+        .when(within.isNotNull() & known("has_target") & ~known("in_target"), F.concat(within, F.lit(" 类条款内未出现 "), shown(pattern)))
+        .when(within.isNull() & ~known("anywhere"), F.concat(F.lit("未出现 "), shown(pattern))))
     missing = F.array_compact(F.concat(
         F.filter("required_types", lambda t: ~F.map_contains_key("types", t)),
         F.filter("required_keys", lambda k: ~F.map_contains_key("meta", k)),
-        F.array(missing_text),
-    ))
+        F.array(missing_text)))
 
     def first_of(kind: Column) -> Column:
-        return F.try_element_at("types", kind)
+        found = F.try_element_at("types", kind)
+        return F.when(found.isNotNull(), F.struct(found["seq"].alias("clause_index"), found["clause_no"].alias("clause_no")))
 
     required_present = F.get(F.filter(F.transform("required_types", first_of), lambda p: p.isNotNull()), 0)
-    anchor = F.coalesce(
-        first_of(F.col("anchor_type")), F.col("preferred"), F.col("lacking"), required_present,
-        first_of(F.col("category_type")),
-    )
-    return (
-        joined.withColumn("missing", missing).filter(F.size("missing") > 0).withColumn("at", anchor)
-        .select(
-            "doc_id", "rule_id", F.col("at.seq").alias("clause_index"), "at.clause_no",
-            F.lit(None).cast("string").alias("quote"),
-            F.concat(F.lit("存在性检查失败，缺失: "), shown_list(F.col("missing"))).alias("detail"),
-        )
-    )
+    at = F.coalesce(first_of(F.col("anchor_type")), F.col("a.preferred"), F.col("a.lacking"), required_present, first_of(F.col("category_type")))
+    return let(missing, lambda m: F.when(F.size(m) > 0, let(at, lambda p: _finding(
+        p["clause_index"], p["clause_no"], F.lit(None), F.concat(F.lit("存在性检查失败，缺失: "), shown_list(m))))))
 
 
-def amount_findings(facts: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
-    rules = prepared.filter(
-        (F.col("rule_type") == "threshold") & (F.col("metric") == "amount") & F.col("threshold").isNotNull()
-    ).select("business_type", "rule_id", "threshold", "threshold_text", "direction")
-    given = facts.select("doc_id", "business_type", F.try_element_at("meta", F.lit("amount")).alias("m"))
-    amount = F.col("m.value_normalized").try_cast(RATIO_TYPE)
-    return given.filter("m is not null").join(side(rules), "business_type").filter(
-        compare(amount, F.col("threshold"), F.col("direction"))
-    ).select(
-        "doc_id", "rule_id", F.lit(None).cast("int").alias("clause_index"),
-        F.lit(None).cast("string").alias("clause_no"), F.col("m.meta_value").alias("quote"),
-        F.concat(F.lit("金额 "), F.col("m.value_normalized"), F.lit(" 触发阈值 "), F.col("threshold_text"),
-                 F.lit("（条件 "), F.col("direction"), F.lit("）")).alias("detail"),
-    )
+def _amount_finding() -> Column:
+    amount = F.try_element_at("meta", F.lit("amount"))
+    beyond = compare(amount["value_normalized"].try_cast(RATIO_TYPE), F.col("threshold"), F.col("direction"))
+    detail = F.concat(F.lit("金额 "), amount["value_normalized"], F.lit(" 触发阈值 "), F.col("threshold_text"), F.lit("（条件 "), F.col("direction"), F.lit("）"))
+    return F.when(F.col("threshold").isNotNull() & beyond, _finding(F.lit(None), F.lit(None), amount["meta_value"], detail))
+
+
+def _subject_finding() -> Column:
+    name, status = F.col("listed.subject_name"), F.col("listed.status")
+    detail = F.concat(F.lit("主体 "), shown(name), F.lit(" 命中黑名单，状态: "), status)
+    return F.when(name.isNotNull(), _finding(F.lit(None), F.lit(None), name, detail))
 
 
 def listed_subjects(metadata: DataFrame, blacklist: DataFrame) -> DataFrame:
@@ -365,24 +326,10 @@ def listed_subjects(metadata: DataFrame, blacklist: DataFrame) -> DataFrame:
     )
 
 
-def subject_findings(
-    docs: DataFrame, metadata: DataFrame, blacklist: DataFrame, prepared: DataFrame, side: Side = small_side
-) -> DataFrame:
-    rules = prepared.filter("rule_type = 'blacklist' and list_source = 'subject_blacklist'").select(
-        "business_type", "rule_id"
-    )
-    listed = listed_subjects(metadata, blacklist).join(docs.select("doc_id", "business_type"), "doc_id")
-    return listed.join(side(rules), "business_type").select(
-        "doc_id", "rule_id", F.lit(None).cast("int").alias("clause_index"),
-        F.lit(None).cast("string").alias("clause_no"), F.col("subject_name").alias("quote"),
-        F.concat(F.lit("主体 "), shown(F.col("subject_name")), F.lit(" 命中黑名单，状态: "), F.col("status")).alias("detail"),
-    )
-
-
 # ---- all together --------------------------------------------------------------------
 
 
-def hits(findings: DataFrame, prepared: DataFrame, side: Side = small_side) -> DataFrame:
+def hits(findings: DataFrame, prepared: DataFrame) -> DataFrame:
     """Findings with the rule's names, levels and filled templates."""
     names = prepared.select(
         "rule_id", "rule_code", "rule_name", "category", "risk_level", "rule_seq", "threshold_text",
@@ -393,7 +340,7 @@ def hits(findings: DataFrame, prepared: DataFrame, side: Side = small_side) -> D
     def filled(template: str) -> Column:
         return render_template(F.col(template), F.col("threshold_text"), place, F.lit(None).cast("string"))
 
-    return findings.join(side(names), "rule_id").select(
+    return findings.join(F.broadcast(names), "rule_id").select(
         "doc_id", "rule_id", "rule_code", "rule_name", "category", "risk_level",
         F.col("rule_name").alias("title"),
         F.coalesce(filled("result_template"), "rule_name").alias("reason"),
@@ -412,17 +359,29 @@ def evaluate(
     ``all_matches`` reports every clause a clause rule finds something in.
     """
     facts = document_facts(docs, clauses, metadata) if facts is None else facts
-    side = measured(prepared)
-    findings = clause_findings(clauses, prepared, side)
-    columns = ["doc_id", "rule_id", "clause_index", "clause_no", "quote", "detail"]
-    parts = [
-        findings if all_matches else _first_per_rule(findings),
-        asymmetry_findings(clauses, prepared, side),
-        presence_findings(facts, clauses, prepared, side),
-        amount_findings(facts, prepared, side),
-        subject_findings(docs, metadata, blacklist, prepared, side),
-    ]
-    union = parts[0].select(columns)
-    for part in parts[1:]:
-        union = union.unionByName(part.select(columns))
-    return hits(union, prepared, side)
+    kinds = {(r["rule_type"], r["metric"], r["list_source"]) for r in prepared.select("rule_type", "metric", "list_source").distinct().collect()}
+    rows = facts.join(F.broadcast(prepared), "business_type")
+    if any(kind in ("keyword", "regex", "presence", "blacklist") or metric != "amount" for kind, metric, _ in kinds):
+        answers = clause_answers(clauses, prepared)
+        rows = rows.join(answers.select("doc_id", "rule_id", F.struct(*[c for c in answers.columns if c not in ("doc_id", "rule_id")]).alias("a")), ["doc_id", "rule_id"], "left")
+    else:
+        none = "struct<finding:struct<clause_index:int,clause_no:string,quote:string,detail:string>,severe:struct<clause_index:int,clause_no:string,word:string,quote:string>,mild:string," \
+               "small:decimal(38,10),anywhere:boolean,has_target:boolean,in_target:boolean,lacking:struct<clause_index:int,clause_no:string>,preferred:struct<clause_index:int,clause_no:string>>"
+        rows = rows.withColumn("a", F.lit(None).cast(none))
+    if any(kind == "blacklist" and source == "subject_blacklist" for kind, _, source in kinds):
+        listed = listed_subjects(metadata, blacklist).select("doc_id", F.struct("subject_name", "status").alias("listed"))
+        rows = rows.join(listed, "doc_id", "left")
+    else:
+        rows = rows.withColumn("listed", F.lit(None).cast("struct<subject_name:string,status:string>"))
+    kind = F.col("rule_type")
+    found = (
+        F.when(_of_clauses(), F.col("a.finding") if not all_matches else F.lit(None))
+        .when(_one_sided(), _one_sided_finding())
+        .when(kind == "presence", _presence_finding())
+        .when((kind == "threshold") & (F.col("metric") == "amount"), _amount_finding())
+        .when((kind == "blacklist") & (F.col("list_source") == "subject_blacklist"), _subject_finding()))
+    columns = ("doc_id", "rule_id", "clause_index", "clause_no", "quote", "detail")
+    findings = rows.withColumn("f", found).filter("f is not null").select("doc_id", "rule_id", "f.*")
+    if all_matches:
+        findings = findings.select(*columns).unionByName(clause_findings(clauses, prepared).select(*columns))
+    return hits(findings, prepared)
