@@ -135,10 +135,10 @@ def clause_number(text: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, "(?U)" + p, 1), F.lit("")) for p in patterns))
 
 
-def clause_title(text: Column, number: Column, limit: int = 255) -> Column:
+def clause_title(text: Column, number: Column) -> Column:
     """What follows the number, stripped of separators; empty becomes null."""
     rest = F.btrim(F.substring(text, F.length(number) + 1, F.length(text)), F.lit(TITLE_STRIP))
-    return F.when(number.isNotNull(), F.nullif(F.substring(rest, 1, limit), F.lit("")))
+    return F.when(number.isNotNull(), F.nullif(rest, F.lit("")))
 
 
 def classify(content: Column, keyword_lists: Sequence[tuple[str, Sequence[str]]], default: str = "other") -> Column:

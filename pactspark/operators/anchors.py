@@ -30,7 +30,6 @@ from pactspark.packs.fixed import (
     FUZZY_SEED,
     FUZZY_SIMILARITY,
     PUNCTUATION_PAIRS,
-    QUOTE_MAX,
 )
 
 PLACE = "struct<start: bigint, stop: bigint, level: string, partial: boolean>"
@@ -223,7 +222,7 @@ def span_anchor(place: Column, text: Column, bounds: Column, source: Column) ->
         F.greatest(place["start"] - b["start"], F.lit(0).cast("bigint")).alias("local_start"),
         F.least(b["stop"] - b["start"], place["stop"] - b["start"]).alias("local_stop"),
         F.substring(text, (place["start"] + 1).cast("int"),
-                    F.least(place["stop"] - place["start"], F.lit(QUOTE_MAX)).cast("int")).alias("quote_text"),
+                    (place["stop"] - place["start"]).cast("int")).alias("quote_text"),
         source.alias("source"), b["confidence"].alias("confidence"), place["partial"].alias("partial"),
         F.lit(None).cast("bigint").alias("para_index"),
     ))
@@ -241,7 +240,7 @@ def clause_anchors(place: Column, text: Column, bounds: Column, source: Column)
         nothing.alias("char_start"), nothing.alias("char_end"),
         s["local_start"].alias("local_start"), s["local_stop"].alias("local_stop"),
         F.substring(text, (s["page_start"] + s["local_start"] + 1).cast("int"),
-                    F.least(s["local_stop"] - s["local_start"], F.lit(QUOTE_MAX)).cast("int")).alias("quote_text"),
+                    (s["local_stop"] - s["local_start"]).cast("int")).alias("quote_text"),
         source.alias("source"), s["confidence"].alias("confidence"), F.lit(False).alias("partial"),
         nothing.alias("para_index"),
     ))
@@ -255,7 +254,7 @@ def block_anchor(clause: Column, source: Column) -> Column:
         F.lit("paragraph").alias("anchor_level"), clause["page_no"].alias("page_no"),
         nothing.alias("char_start"), nothing.alias("char_end"),
         nothing.alias("local_start"), nothing.alias("local_stop"),
-        F.substring(clause["content"], 1, QUOTE_MAX).alias("quote_text"),
+        clause["content"].alias("quote_text"),
         source.alias("source"), F.lit(None).cast("double").alias("confidence"), F.lit(False).alias("partial"),
         clause["para_index"].alias("para_index"),
     )

@@ -205,7 +205,7 @@ def global_misses(business_type: Column, types: Column, meta: Column, required=N
 def _from_miss(m: Column) -> Column:
     nothing = F.lit(None).cast("string")
     return F.struct(
-        weight(m["risk_level"]).alias("weight"), F.substring(m["title"], 1, 255).alias("title"),
+        weight(m["risk_level"]).alias("weight"), m["title"].alias("title"),
         m["risk_level"].alias("risk_level"), m["category"].alias("category"), m["reason"].alias("reason"),
         nothing.alias("suggestion"), nothing.alias("legal_basis"), F.lit("rule").alias("merged_by"),
         F.lit(None).cast("int").alias("clause_index"), nothing.alias("quote"), F.lit(True).alias("is_global"),

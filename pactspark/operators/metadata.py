@@ -18,8 +18,6 @@ from pactspark.functions.text import lstrip, strip
 from pactspark.operators.pages import bound_of
 from pactspark.packs.fixed import CREDIT_CODE_PATTERN, METADATA_PATTERNS, REVIEW_CONFIDENCE
 
-_VALUE_MAX, _NORMAL_MAX = 1024, 512
-
 
 def _entry(key: str, raw: Column, start: Column, value_type: str) -> Column:
     """One key's struct; null when nothing is left after trimming."""
@@ -32,8 +30,8 @@ def _entry(key: str, raw: Column, start: Column, value_type: str) -> Column:
     }.get(value_type, value)
     kept = F.struct(
         F.lit(key).alias("meta_key"),
-        F.substring(value, 1, _VALUE_MAX).alias("meta_value"),
-        F.substring(normal, 1, _NORMAL_MAX).alias("value_normalized"),
+        value.alias("meta_value"),
+        normal.alias("value_normalized"),
         F.lit("string" if value_type == "currency" else value_type).alias("value_type"),
         at.cast("bigint").alias("char_start"),
         (at + F.length(value)).cast("bigint").alias("char_end"),
@@ -115,20 +113,20 @@ def backfill(contracts: DataFrame, metadata: DataFrame) -> DataFrame:
     meta = pivot(metadata).withColumnRenamed("doc_id", "contract_id")
     joined = contracts.join(meta, "contract_id", "left")
 
-    def raw(key: str, limit: int) -> Column:
-        return F.substring(F.try_element_at("meta", F.lit(key))["meta_value"], 1, limit)
+    def raw(key: str) -> Column:
+        return F.try_element_at("meta", F.lit(key))["meta_value"]
 
     amount = F.try_element_at("meta", F.lit("amount"))
     filled = {
         "amount": F.coalesce("amount", F.coalesce(amount["value_normalized"].try_cast("decimal(18,2)"),
                                                   normalize_amount(amount["meta_value"]))),
-        "contract_no": F.coalesce(F.nullif("contract_no", F.lit("")), raw("contract_no", 64), "contract_no"),
-        "counterparty_name": F.coalesce(F.nullif("counterparty_name", F.lit("")), raw("party_b_name", 255),
+        "contract_no": F.coalesce(F.nullif("contract_no", F.lit("")), raw("contract_no"), "contract_no"),
+        "counterparty_name": F.coalesce(F.nullif("counterparty_name", F.lit("")), raw("party_b_name"),
                                         "counterparty_name"),
-        "counterparty_code": F.coalesce(F.nullif("counterparty_code", F.lit("")), raw("party_b_credit_code", 32),
+        "counterparty_code": F.coalesce(F.nullif("counterparty_code", F.lit("")), raw("party_b_credit_code"),
                                         "counterparty_code"),
         "currency": F.coalesce(F.nullif("currency", F.lit("")),
-                               F.substring(F.try_element_at("meta", F.lit("currency"))["value_normalized"], 1, 8),
+                               F.try_element_at("meta", F.lit("currency"))["value_normalized"],
                                "currency"),
     }
     return joined.select(*(filled[c].alias(c) if c in filled else c for c in contracts.columns))

@@ -148,7 +148,7 @@ def _clause_finding() -> Column:
 
     regex = let(_first_in(F.col("patterns"), lambda p: F.rlike(content, p)), lambda p: F.when(
         p.isNotNull(),
-        finding(F.substring(extracted(p), 1, 200),
+        finding(extracted(p),
                 F.concat(F.lit("正则命中: "), shown(p), F.lit(" -> "), shown(F.substring(extracted(p), 1, 60)))),
     ))
 

@@ -110,7 +110,7 @@ def block_rows(requests: DataFrame) -> DataFrame:
         return F.struct(F.lit(kind).alias("event_type"), source.alias("from_status"), F.lit("blocked").alias("to_status"),
                         F.lit("system").alias("operator"), text.alias("detail"))
 
-    events = F.array(event("status_change", F.col("status"), note), event("blocked", empty, F.substring(note, 1, 1024)))
+    events = F.array(event("status_change", F.col("status"), note), event("blocked", empty, note))
     return requests.filter(allowed(F.col("status"), F.lit("blocked"))).select("task_id", F.inline(events))
 
 

@@ -75,8 +75,8 @@ def risk_items(json: Column) -> Column:
     return F.from_json(json, "struct<risks: array<string>>")["risks"]
 
 
-def _limited(value: Column, size: int) -> Column:
-    return F.nullif(F.substring(value, 1, size), F.lit(""))
+def _given(value: Column) -> Column:
+    return F.nullif(value, F.lit(""))
 
 
 def parse(salvaged: DataFrame) -> DataFrame:
@@ -90,11 +90,11 @@ def parse(salvaged: DataFrame) -> DataFrame:
     basis = F.nullif(strip(F.col("r.legal_basis")), F.lit(""))
     return row.withColumn("t", title).filter("t <> ''").select(
         "doc_id", "batch_id", "pos",
-        F.substring("t", 1, 255).alias("title"),
+        F.col("t").alias("title"),
         F.when(level.isin(*ENUMS["risk_level"]), level).otherwise(F.lit("medium")).alias("risk_level"),
         F.when(category.isin(*ENUMS["risk_category"]), category).otherwise(F.lit("other")).alias("category"),
-        F.coalesce(_limited(F.col("r.reason"), 4000), F.col("t")).alias("reason"),
-        _limited(F.col("r.suggestion"), 4000).alias("suggestion"),
+        F.coalesce(_given(F.col("r.reason")), F.col("t")).alias("reason"),
+        _given(F.col("r.suggestion")).alias("suggestion"),
         basis.alias("legal_basis"),
         F.nullif(strip(F.col("r.quote")), F.lit("")).alias("quote"),
         F.substring("raw_text", 1, 4000).alias("raw_snippet"),
@@ -107,11 +107,12 @@ def failures(salvaged: DataFrame) -> DataFrame:
     return salvaged.filter(risk_items(F.col("json")).isNull()).select("doc_id", "batch_id", "strategy")
 
 
-def locate_clauses(verdicts: DataFrame, clauses: DataFrame) -> DataFrame:
+def locate_clauses(verdicts: DataFrame, clauses: DataFrame, prefix: int | None = None) -> DataFrame:
     """Add clause_index: the clause of the batch that holds the quote.
 
-    White space is ignored; when no clause holds the whole quote its first twelve
-    characters decide. A batch has eight clauses, so the join stays small.
+    White space is ignored. With ``prefix``, where no clause holds the whole quote its
+    first characters decide, which may point to a wrong clause. A batch has eight
+    clauses, so the join stays small.
     """
     compact = strip_whitespace(F.col("quote"))
     asked = verdicts.filter("quote is not null").select(
@@ -119,7 +120,9 @@ def locate_clauses(verdicts: DataFrame, clauses: DataFrame) -> DataFrame:
     body = clauses.select(
         "doc_id", batch_of(F.col("seq")).alias("batch_id"), "seq", strip_whitespace(F.col("content")).alias("body")
     )
-    rank = F.when(F.col("body").contains(F.col("q")), 0).when(F.col("body").contains(F.substring("q", 1, 12)), 1)
+    rank = F.when(F.col("body").contains(F.col("q")), 0)
+    if prefix is not None:
+        rank = rank.when(F.col("body").contains(F.substring("q", 1, prefix)), 1)
     found = asked.join(body, ["doc_id", "batch_id"]).withColumn("rank", rank).filter("rank is not null")
     best = found.groupBy("doc_id", "batch_id", "pos").agg(
         F.min_by("seq", F.struct("rank", "seq")).alias("clause_index"))

@@ -192,7 +192,6 @@ FUZZY_SIMILARITY = 0.72
 FUZZY_ALIGN = 8
 FUZZY_SEED = 6
 FUZZY_MIN_LENGTH = 4
-QUOTE_MAX = 512
 
 # ---- model verdicts (fixed values) --------------------------------------------
 

@@ -86,7 +86,7 @@ sec0 as (select doc_id, lang, g, max(no) as clause_no, arg_min(t, para) as t0, m
   min(st) as char_start, max(st + length(t)) as char_end, string_agg(t, chr(10) order by para) as content
   from gl group by doc_id, lang, g),
 sections as (select doc_id, lang, cast(row_number() over (partition by doc_id order by g) - 1 as int) as seq, clause_no,
-  case when clause_no is not null then nullif(substr(trim(substr(t0, length(clause_no) + 1), ' ' || chr(9) || '、.．:：'), 1, 255), '') end as title,
+  case when clause_no is not null then nullif(trim(substr(t0, length(clause_no) + 1), ' ' || chr(9) || '、.．:：'), '') end as title,
   cast(para_index as bigint) as para_index, cast(char_start as bigint) as char_start, cast(char_end as bigint) as char_end,
   content, {_TYPE_CASE} as clause_type from sec0)"""
 
@@ -587,7 +587,7 @@ def _passages(items: DataFrame, docs: DataFrame) -> DataFrame:
     with {SECTIONS_CTE}, {PAGES_CTE},
     f as (select s.doc_id, s.seq, strpos(d.text, s.content) - 1 as a, strpos(d.text, s.content) - 1 + length(s.content) as b
       from sections s join documents d using (doc_id) where strpos(d.text, s.content) > 0)
-    select f.doc_id, f.seq, p.page_no, md5(substr(substr(p.ptext, cast(greatest(a - page_start, 0) as bigint) + 1, cast(least(length(p.ptext), b - page_start) - greatest(a - page_start, 0) as bigint)), 1, 512)) as digest
+    select f.doc_id, f.seq, p.page_no, md5(substr(p.ptext, cast(greatest(a - page_start, 0) as bigint) + 1, cast(least(length(p.ptext), b - page_start) - greatest(a - page_start, 0) as bigint))) as digest
     from f join pages_ p on f.doc_id = p.doc_id and greatest(a - page_start, 0) < least(length(p.ptext), b - page_start)""")
 def clauses_anchored(spark, sf):
     """Whole sections as one paragraph anchor per page."""

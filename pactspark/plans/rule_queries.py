@@ -77,7 +77,7 @@ def _keyword_sql(code: str, words, need_all: bool) -> str:
 def _regex_sql(code: str, patterns) -> str:
     pick = "case " + " ".join(f"when regexp_matches(content, {_sql_text(p)}) then {_sql_text(p)}" for p in patterns) + " end"
     match = "case " + " ".join(f"when regexp_matches(content, {_sql_text(p)}) then regexp_extract(content, {_sql_text(p)})" for p in patterns) + " end"
-    return f"""select doc_id, '{code}' as code, seq, clause_no, substr(m, 1, 200) as quote,
+    return f"""select doc_id, '{code}' as code, seq, clause_no, m as quote,
       '正则命中: ' || {_shown('p')} || ' -> ' || {_shown('substr(m, 1, 60)')} as detail
       from (select *, {pick} as p, {match} as m from sections where {_LANGS}) where p is not null"""
 
