@@ -11,24 +11,52 @@ from pactspark.operators.anchors import block_anchor, clause_anchors, exact_plac
 _CLAUSE = ("content", "page_no", "para_index")
 
 
-def known_sources(standard_clauses: DataFrame) -> Column:
-    """All legal sources of the knowledge base, enabled or not, as one value."""
-    return standard_clauses.filter("source <> ''").agg(F.collect_set("source")).scalar()
+#: Characters that a shorter text gives as its key.
+KEY_CHARS = 4
 
 
-def is_known_basis(basis: Column, sources: Column) -> Column:
-    """The basis names a source or is part of one."""
-    return F.exists(sources, lambda s: basis.contains(s) | s.contains(basis))
+def known_sources(standard_clauses: DataFrame) -> DataFrame:
+    """(source) all legal sources of the knowledge base, enabled or not, each once."""
+    return standard_clauses.filter("source <> ''").select("source").distinct()
 
 
-def reviewed_evidences(risk: Column, sources: Column) -> Column:
-    """Model evidence needs review exactly when its risk's basis is unknown."""
+def known_bases(bases: DataFrame, sources: DataFrame) -> DataFrame:
+    """(basis) the distinct legal bases that name a source or are part of one.
+
+    Of two texts of which one holds the other, the shorter one's first characters stand
+    somewhere in the longer one: both directions are equi-joins on such keys.
+    """
+    b = bases.select(F.col(bases.columns[0]).alias("basis")).filter("basis <> ''").distinct()
+
+    def keyed(df: DataFrame, column: str) -> DataFrame:
+        return df.select(column, F.substring(column, 1, KEY_CHARS).alias("key"))
+
+    def runs(df: DataFrame, column: str) -> DataFrame:
+        chars = F.split(column, "")
+        keys = let(chars, lambda c: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(KEY_CHARS)), lambda n: F.transform(
+            F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, n), "")))))
+        return df.select(column, F.explode(F.array_distinct(keys)).alias("key"))
+
+    names = keyed(sources, "source").join(runs(b, "basis"), "key").filter(F.col("basis").contains(F.col("source")))
+    parts = keyed(b, "basis").join(runs(sources, "source"), "key").filter(F.col("source").contains(F.col("basis")))
+    return names.select("basis").union(parts.select("basis")).distinct()
+
+
+def reviewed_evidences(risk: Column, known: Column) -> Column:
+    """Model evidence needs review exactly when its risk's basis is not among the known ones."""
     has_basis = F.coalesce(risk["legal_basis"], F.lit("")) != ""
-    unknown = ~is_known_basis(risk["legal_basis"], sources)
+    unknown = ~F.array_contains(known, risk["legal_basis"])
     return F.when(has_basis, F.transform(risk["evidences"], lambda e: F.when(
         e["evidence_type"] == "llm", e.withField("need_review", unknown)).otherwise(e))).otherwise(risk["evidences"])
 
 
+def with_known_bases(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Add ``known``: the known ones among the legal bases of a document's risks."""
+    cited = rows.select("doc_id", F.explode(F.array_distinct(F.transform("risks", lambda r: r["legal_basis"]))).alias("basis")).filter("basis <> ''")
+    found = cited.join(known_bases(cited.select("basis"), sources), "basis").groupBy("doc_id").agg(F.collect_list("basis").alias("known"))
+    return rows.join(found, "doc_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+
+
 def clauses_in_need(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     """Add ``clauses``: a map of only those clauses a risk refers to."""
     asked = rows.select("doc_id", F.explode(F.array_distinct(F.transform("risks", lambda r: r["clause_index"]))).alias("seq"))
@@ -39,14 +67,14 @@ def clauses_in_need(rows: DataFrame, clauses: DataFrame) -> DataFrame:
     return rows.join(grouped, "doc_id", "left").withColumn("clauses", F.coalesce("clauses", empty))
 
 
-def apply(rows: DataFrame, docs: DataFrame, clauses: DataFrame, sources: Column, *, has_layout: bool = False) -> DataFrame:
+def apply(rows: DataFrame, docs: DataFrame, clauses: DataFrame, sources: DataFrame, *, has_layout: bool = False) -> DataFrame:
     """Anchor and check every risk of the merge result; none is dropped.
 
     ``rows`` has doc_id and risks, ``docs`` text, bounds and source. A quote that
     can be placed gives one anchor; otherwise the whole clause, one anchor per page;
     otherwise, when the layout is known, the clause's first block.
     """
-    sourced = rows.withColumn("known", sources).withColumn("risks", F.transform("risks", lambda r: r.withField(
+    sourced = with_known_bases(rows, sources).withColumn("risks", F.transform("risks", lambda r: r.withField(
         "evidences", reviewed_evidences(r, F.col("known"))))).drop("known")
     joined = clauses_in_need(sourced, clauses).join(docs.select("doc_id", "text", "bounds", "source"), "doc_id")
     located = locate(joined.withColumn("quotes", F.transform("risks", lambda r: r["quote"])))

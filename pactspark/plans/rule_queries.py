@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactspark import schemas
-from pactspark.operators import gate, merge, rule_audit, rules, verdicts
+from pactspark.operators import gate, merge, pages, rule_audit, rules, sections, verdicts
 from pactspark.packs import latin
 from pactspark.plans import document_queries as base
 from pactspark.plans.document_queries import META_CTE, SECTIONS_CTE, documents
@@ -432,9 +432,10 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     select doc_id, batch_id, pos, case title when 'phone number' then not exists (select 1 from known where s <> '' and (contains('Privacy Act', s) or contains(s, 'Privacy Act')))
       when 'license text' then not exists (select 1 from known where s <> '' and (contains('Apache License', s) or contains(s, 'Apache License'))) else false end as need_review from vc""")
 def legal_bases_checked(spark, sf):
-    v = replayed(spark, sf).withColumn("known", gate.known_sources(sources(spark, sf)))
-    unknown = ~gate.is_known_basis(F.col("legal_basis"), F.col("known"))
-    return v.select("doc_id", "batch_id", "pos", F.when(F.col("legal_basis").isNotNull(), unknown).otherwise(F.lit(False)).alias("need_review"))
+    v = replayed(spark, sf)
+    known = gate.known_bases(v.select("legal_basis"), gate.known_sources(sources(spark, sf)))
+    return v.join(known, F.col("legal_basis") == F.col("basis"), "left").select(
+        "doc_id", "batch_id", "pos", (F.col("legal_basis").isNotNull() & F.col("basis").isNull()).alias("need_review"))
 
 
 _MISS_SQL = f"""
@@ -476,6 +477,48 @@ def documents_reviewed(spark, sf):
     return rule_review(spark, sf, keep=True).select(*_REVIEW_COLUMNS)
 
 
+_BASIS_SQL = """
+  known as (select distinct regexp_extract(text, 'icensed under the ([A-Z][A-Za-z]+ License)', 1) as s from documents),
+  judged as (select doc_id, case risk_level when 'high' then 3 when 'medium' then 2 else 1 end as w,
+    case title when 'phone number' then not exists (select 1 from known where s <> '' and (contains('Privacy Act', s) or contains(s, 'Privacy Act')))
+      when 'license text' then not exists (select 1 from known where s <> '' and (contains('Apache License', s) or contains(s, 'Apache License'))) else false end as unsure from vc)"""
+
+
+@query("review_from_pages", f"""
+    with {HITS_CTE}, {_MISS_SQL}, {_REPLAY_SQL}, {_BASIS_SQL},
+    j as (select doc_id, count(*) as n, count(*) filter (where unsure) as u, max(w) as w from judged group by doc_id)
+    select c.doc_id, cast(c.n as int) as rule_evidences, cast(coalesce(j.n, 0) as int) as llm_evidences, cast(coalesce(j.u, 0) as int) as need_review_count,
+      ['low', 'medium', 'high'][greatest(c.top, coalesce(j.w, 1))] as overall_risk, ['pass', 'rectify', 'reject'][greatest(c.top, coalesce(j.w, 1))] as conclusion,
+      0 as misplaced from counts c left join j on c.doc_id = j.doc_id""")
+def review_from_pages(spark, sf):
+    """The whole review of documents in pages: rules, replayed verdicts, merge, floor, gate.
+
+    Every hit, miss and verdict is the evidence of exactly one risk; anchors with
+    offsets hold the text that stands there, on the page they name.
+    """
+    docs = pages.assemble(base.paged(spark, sf).drop("chars")).join(keys_of(spark, sf), "doc_id")
+    cut = sections.sections_of_text(docs, latin.SECTION_PATTERNS, latin.TYPE_KEYWORDS, keep=["business_type", "bounds"])
+    c = materialise(cut.withColumn("page_no", pages.page_of(F.col("char_start"), F.col("bounds"))).drop("bounds"), "clauses")
+    m = extracted(spark, sf)
+    facts = rules.document_facts(keys_of(spark, sf), c, m)
+    found = rules.evaluate(keys_of(spark, sf), c, m, latin.blacklist(spark), prepared(spark), facts=facts)
+    said = verdicts.locate_clauses(verdicts.parse(verdicts.salvage(verdicts.replay(verdicts.prompts(c), latin.REPLAY))), c)
+    merged = merge.append_global(merge.merge(facts, materialise(found, "hits"), materialise(said, "verdicts")), latin.REQUIRED)
+    gated = materialise(gate.apply(materialise(merged, "merged"), docs, c, gate.known_sources(sources(spark, sf))), "gated")
+    done = merge.outcome(gated).join(docs.select("doc_id", "text", "bounds"), "doc_id")
+
+    def evidences(kind: str):
+        return F.aggregate("risks", F.lit(0), lambda n, r: n + F.size(F.filter(r["evidences"], lambda e: e["evidence_type"] == kind)))
+
+    def misplaced(a):
+        there = F.substring("text", (a["char_start"] + 1).cast("int"), (a["char_end"] - a["char_start"]).cast("int"))
+        on_page = F.exists("bounds", lambda b: (b["page_no"] == a["page_no"]) & (b["start"] + a["local_start"] == a["char_start"]))
+        return a["char_start"].isNotNull() & ((there != a["quote_text"]) | ~on_page)
+
+    return done.select("doc_id", evidences("rule").alias("rule_evidences"), evidences("llm").alias("llm_evidences"), "need_review_count", "overall_risk",
+                       "conclusion", F.size(F.filter(F.flatten("anchors"), misplaced)).alias("misplaced"))
+
+
 @query("risks_in_order", f"""
     with {HITS_CTE}, named as (select doc_id, rule_code, clause_index,
       case rule_code {' '.join(f"when '{c}' then {v[0]}" for c, v in _RULE.items())} end as o,
