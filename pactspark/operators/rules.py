@@ -190,9 +190,9 @@ def _one_sided() -> Column:
     return (F.col("rule_type") == "threshold") & (F.col("metric") == "liability_asymmetry") & (F.size("severe") > 0)
 
 
-def _slim(clauses: DataFrame) -> DataFrame:
-    return clauses.select("doc_id", "business_type", F.col("seq").alias("clause_index"), "clause_no", "clause_type", "content",
-                          first_percent(F.col("content")).alias("ratio"))
+def _slim(clauses: DataFrame, *more: str) -> DataFrame:
+    return clauses.select("doc_id", "business_type", F.col("seq").alias("clause_index"), "clause_no", "content",
+                          first_percent(F.col("content")).alias("ratio"), *more)
 
 
 def clause_findings(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def clause_answers(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
     inside = F.when(wording, F.coalesce(F.col("clause_type") == F.col("within"), F.lit(False)))
     liked = F.exists("anchor_keywords", lambda k: content.contains(k))
     severe = F.when(_one_sided(), _first_in(F.col("severe"), lambda k: content.contains(k)))
-    marked = _slim(clauses).join(F.broadcast(asked), "business_type").select(
+    marked = _slim(clauses, "clause_type").join(F.broadcast(asked), "business_type").select(
         "doc_id", "rule_id", "clause_index", "clause_no", _clause_finding().alias("found"),
         let(severe, lambda w: F.when(w.isNotNull(), F.struct("clause_index", "clause_no", w.alias("word"), quote_around(content, w).alias("quote")))).alias("severe"),
         F.when(_one_sided(), _first_in(F.col("mild"), lambda k: content.contains(k))).alias("mild"),
