@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactspark.llm.common import BLANKS, no_text, text_slices
@@ -132,34 +132,40 @@ def compared(text: Column) -> Column:
 
 
 def groups(docs: DataFrame, rows_per_sender: int = ROWS_PER_SENDER) -> DataFrame:
-    """(doc_id, points, sha, keep_id, keep_points, group_size) of every row."""
-    prints = materialise(fingerprinted(docs), "fingerprints")
-    found = materialise(suspects(prints, rows_per_sender), "suspects")
-    texts = docs.select("doc_id", no_text(F.col("text")).alias("text")).join(
-        found.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """(row, doc_id, points, sha, keep_id, keep_points, group_size) of every row; ``row`` numbers the rows.
+
+    Suspects' texts are found by a sort-merge join whatever their number, so that the
+    plan, and with it what is shuffled, is the same at every size.
+    """
+    prints = materialise(fingerprinted(docs).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    found = suspects(prints, rows_per_sender).select(F.col("doc_id").alias("_id")).distinct().hint("merge")
+    texts = docs.select("doc_id", no_text(F.col("text")).alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # Grouped by the bytes themselves; the hash is derived from the group's own bytes.
     by_bytes = texts.select("doc_id", compared(F.col("text")).alias("bytes"), F.char_length("text").alias("points")).groupBy("bytes").agg(
         F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
-    verified = by_bytes.select(F.sha2("bytes", 256).alias("sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.p")).cast("bigint").alias("keep_points"), "group_size")
-    many = verified.where("group_size > 1").withColumnRenamed("sha", "_sha")
-    joined = prints.join(many, F.col("sha") == F.col("_sha"), "left")
+    verified = by_bytes.where("group_size > 1").select(
+        F.sha2("bytes", 256).alias("_sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.p")).cast("bigint").alias("keep_points"), "group_size")
+    joined = prints.join(materialise(verified, "equal-texts"), F.col("sha") == F.col("_sha"), "left")
     alone = F.col("_sha").isNull()
-    return joined.select("doc_id", "points", "sha", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+    return joined.select("row", "doc_id", "points", "sha", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                          F.when(alone, F.col("points")).otherwise(F.col("keep_points")).alias("keep_points"),
                          F.coalesce("group_size", F.lit(1).cast("bigint")).alias("group_size"))
 
 
+def stays() -> Column:
+    """Whether a row is, or repeats, the one that stays."""
+    return F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
+
+
 def marked(grouped: DataFrame) -> DataFrame:
     """Adds ``kept``: true for one row of each group, the one with keep_id and keep_points.
 
-    Rows that agree in text, code points and doc_id may be that row together; only such
-    rows, found by a slim aggregate, are numbered.
+    Several rows may be that one; the first of them is found by a partial aggregate and
+    joined by its number, so no group is gathered.
     """
-    leads = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))
-    flagged = grouped.withColumn("_lead", leads)
-    # The rows that are not in the lead are spread by doc_id, so no group is gathered.
-    turn = F.row_number().over(Window.partitionBy("sha", "doc_id", "points").orderBy("keep_id"))
-    return flagged.withColumn("kept", F.col("_lead") & (turn == 1)).drop("_lead")
+    first = grouped.where(F.col("group_size") > 1).where(stays()).groupBy("sha").agg(F.min("row").alias("_row")).select("_row")
+    joined = grouped.join(first, F.col("row") == F.col("_row"), "left")
+    return joined.withColumn("kept", (F.col("group_size") == 1) | F.col("_row").isNotNull()).drop("_row")
 
 
 def deduplicate(docs: DataFrame, rows_per_sender: int = ROWS_PER_SENDER) -> DataFrame:
@@ -170,10 +176,10 @@ def deduplicate(docs: DataFrame, rows_per_sender: int = ROWS_PER_SENDER) -> Data
     """
     lost = groups(docs, rows_per_sender).where("group_size > 1")
     dropped = lost.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("points").alias("_points"),
-                          (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("points") == F.col("keep_points"))).alias("_lead")).distinct()
+                          stays().alias("_lead")).distinct().hint("merge")
     table = docs.withColumn("_sha", F.sha2(compared(no_text(F.col("text"))), 256)).withColumn("_n", F.char_length(no_text(F.col("text"))))
     joined = table.alias("t").join(dropped.alias("d"), F.col("t.doc_id").eqNullSafe(F.col("d._id")) & (F.col("t._sha") == F.col("d._sha")) & (F.col("t._n") == F.col("d._points")), "left")
     judged = joined.select("t.*", F.col("d._lead"))
     clean = judged.where(F.col("_lead").isNull()).select(*docs.columns)
-    leads = judged.where("_lead").dropDuplicates(["doc_id", "_sha", "_n"]).select(*docs.columns)
-    return clean.unionByName(leads)
+    again = judged.where("_lead").dropDuplicates(["doc_id", "_sha", "_n"]).select(*docs.columns)
+    return clean.unionByName(again)
