@@ -231,13 +231,13 @@ def hex_of(fp: str = "fp"):
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """One document of each component, the one with the smallest doc_id; of rows with that doc_id one.
 
-    Documents of a component without any doc_id are all kept. Texts are shuffled only
-    where the table of dropped ids is too large to be broadcast.
+    Documents of a component without any doc_id are all kept. Texts are shuffled once,
+    by doc_id, whatever the number of dropped ids.
     """
     found = near_duplicates(docs, **settings)
-    lost = materialise(found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    left = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = left.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    again = materialise(again.withColumnRenamed("doc_id", "_id"), "repeated-ids")
-    once = left.join(again, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    return once.unionByName(left.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    lost = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct()
+    left = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeated = materialise(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")), "repeated-ids")
+    once = left.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    again = left.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(again)
