@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pactspark.functions.scope import indexes, let
 from pactspark.functions.text import classify, clause_number, clause_title
-from pactspark.operators.pages import lines_of
+from pactspark.operators.pages import assemble, lines_of, page_of
 from pactspark.operators.running import running_sum
 from pactspark.packs.fixed import CLAUSE_NO_PATTERNS, CLAUSE_TYPE_KEYWORDS
 
@@ -42,7 +42,8 @@ def sections_of_blocks(
         F.max_by(F.struct("page_end", "char_end"), "para_index").alias("last"),
         F.sort_array(F.collect_list(piece)).alias("pieces"),
     )
-    lowest = grouped.groupBy("doc_id").agg(F.min("grp").alias("lowest"))
+    # numbers start at the first block's group, which is 1 if that block opens a clause
+    lowest = text.select("doc_id", "para_index", opens.alias("opens")).groupBy("doc_id").agg(F.min_by("opens", "para_index").alias("lowest"))
     content = F.array_join(F.transform("pieces", lambda p: p["text"]), "\n")
     joined = clauses.join(lowest, "doc_id").withColumn("content", content)
     return joined.select(
@@ -101,6 +102,20 @@ def sections_of_text(
     return flat.withColumn("clause_type", classify(F.col("content"), keyword_lists))
 
 
+def sections_of_pages(
+    pages: DataFrame,
+    patterns: Sequence[str] = CLAUSE_NO_PATTERNS,
+    keyword_lists: Sequence[tuple[str, Sequence[str]]] = CLAUSE_TYPE_KEYWORDS,
+) -> DataFrame:
+    """Clauses of documents in pages, with the pages they begin and end on.
+
+    One shuffle brings a document's pages together; clauses may run across them.
+    """
+    docs = assemble(pages).select("doc_id", "text", "bounds")
+    return sections_of_text(docs, patterns, keyword_lists, keep=["bounds"]).withColumns({
+        "page_no": page_of(F.col("char_start"), F.col("bounds")), "page_end": page_of(F.col("char_end") - 1, F.col("bounds"))}).drop("bounds")
+
+
 def rebuild_text(clauses: DataFrame) -> DataFrame:
     """Clause contents in order, joined by line feeds."""
     return clauses.groupBy("doc_id").agg(

@@ -259,15 +259,23 @@ def sections_cut(spark, sf):
         "doc_id", "seq", "clause_no", "title", "clause_type", "para_index", "char_start", "char_end", F.md5("content").alias("digest"))
 
 
-@query("sections_from_pages", f"""
+_PAGED_SECTIONS = f"""
     with {SECTIONS_CTE} select doc_id, seq, clause_no, clause_type, md5(content) as digest, char_start, char_end,
       cast((fi - 1) // {LINES_PER_PAGE} + 1 as int) as page_no, cast((li - 1) // {LINES_PER_PAGE} + 1 as int) as page_end
-    from sections join (select doc_id, min(para) as para_index, min(i) as fi, max(i) as li from gl group by doc_id, g) using (doc_id, para_index)""")
+    from sections join (select doc_id, min(para) as para_index, min(i) as fi, max(i) as li from gl group by doc_id, g) using (doc_id, para_index)"""
+_PAGED_COLUMNS = ("doc_id", "seq", "clause_no", "clause_type", "md5(content) as digest", "char_start", "char_end", "page_no", "page_end")
+
+
+@query("sections_from_pages", _PAGED_SECTIONS)
 def sections_from_pages(spark, sf):
+    return sections.sections_of_pages(paged(spark, sf).drop("chars"), latin.SECTION_PATTERNS, latin.TYPE_KEYWORDS).selectExpr(*_PAGED_COLUMNS)
+
+
+@query("sections_from_blocks", _PAGED_SECTIONS)
+def sections_from_blocks(spark, sf):
+    """The same from a table of blocks, as a layout gives it."""
     b = pages.line_blocks(paged(spark, sf).drop("chars"))
-    s = sections.sections_of_blocks(b, latin.SECTION_PATTERNS, latin.TYPE_KEYWORDS)
-    return s.select("doc_id", "seq", "clause_no", "clause_type", F.md5("content").alias("digest"), "char_start", "char_end",
-                    "page_no", "page_end")
+    return sections.sections_of_blocks(b, latin.SECTION_PATTERNS, latin.TYPE_KEYWORDS).selectExpr(*_PAGED_COLUMNS)
 
 
 @query("layout_blocks_numbered", f"""
