@@ -9,8 +9,7 @@ Senders read the bitmaps; only rows whose fingerprint occurs twice are suspects,
 their texts are shuffled, to be grouped by their very bytes.
 
 A fingerprint of a third of all rows is one entry per sender; the groups of bytes are
-partial aggregates, and the join that gives each row its group is split by AQE where a
-group is large. The numbers of senders and owners follow the number of rows.
+partial aggregates, and the join that gives each row its group is salted. The numbers of senders and owners follow the number of rows.
 
 Defined cases: a null text is an empty one; texts without a visible character are equal;
 of equal texts the row with the most code points stays, then the smallest doc_id (null
@@ -34,6 +33,8 @@ from pactspark.session import materialise
 
 #: Fingerprints that one sender or owner holds, on average.
 ROWS_PER_SENDER = 1_000_000
+#: Places that the rows of one group of copies are dealt to when they learn their group.
+SALTS = 32
 
 
 def rice_encode(values: np.ndarray) -> tuple[int, bytes]:
@@ -145,7 +146,10 @@ def groups(docs: DataFrame, rows_per_sender: int = ROWS_PER_SENDER) -> DataFrame
         F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("none"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
     verified = by_bytes.where("group_size > 1").select(
         F.sha2("bytes", 256).alias("_sha"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.p")).cast("bigint").alias("keep_points"), "group_size")
-    joined = prints.join(materialise(verified, "equal-texts"), F.col("sha") == F.col("_sha"), "left")
+    # A group of copies is dealt to SALTS places; the table of groups is repeated for each.
+    equal = materialise(verified, "equal-texts").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = prints.withColumn("salt", F.pmod("row", F.lit(SALTS)))
+    joined = salted.join(equal, (F.col("sha") == F.col("_sha")) & (F.col("salt") == F.col("_salt")), "left")
     alone = F.col("_sha").isNull()
     return joined.select("row", "doc_id", "points", "sha", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
                          F.when(alone, F.col("points")).otherwise(F.col("keep_points")).alias("keep_points"),
