@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole(docs: DataFrame, **derived: Column) -> DataFrame:
+    """Each row as the struct ``row`` beside derived columns, so that no name can clash; ``row.*`` restores it."""
+    return docs.select(F.struct("*").alias("row"), *[column.alias(name) for name, column in derived.items()])
+
+
 def text_slices(batch: pa.RecordBatch, text: str = "text", chars: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut a batch so that a slice holds about ``chars`` characters; null texts read as empty."""
     sizes = np.array([len(x) if x else 0 for x in batch.column(text).to_pylist()], dtype=np.int64) + 64

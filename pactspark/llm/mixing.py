@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import WORD
+from pactspark.llm.common import WORD, whole
 from pactspark.session import materialise
 
 WEIGHTS = (1, 2, 3)
@@ -112,7 +112,7 @@ def apply_mix(docs: DataFrame, seed: int = SEED, **settings) -> DataFrame:
     measured size allows it; texts are then not shuffled.
     """
     rule = materialise(cuts(mix(docs, seed=seed, **settings)), "mix-cuts")
-    joined = docs.withColumn("_key", random_key(seed)).join(rule, F.col("source").eqNullSafe(F.col("cut_source")))
-    copies = F.col("epochs") + F.coalesce((F.col("_key") <= F.col("last_key")).cast("int"), F.lit(0))
+    joined = whole(docs, source=F.col("source"), key=random_key(seed)).join(rule, F.col("source").eqNullSafe(F.col("cut_source")))
+    copies = F.col("epochs") + F.coalesce((F.col("key") <= F.col("last_key")).cast("int"), F.lit(0))
     times = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("_copy", F.explode(times)).select(*docs.columns)
+    return joined.select("row", F.explode(times)).select("row.*")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import bounds, text_slices, whole_groups
+from pactspark.llm.common import bounds, text_slices, whole, whole_groups
 from pactspark.session import materialise
 
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
@@ -178,8 +178,8 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, bands: int = BANDS, cell
         F.xxhash64("cell", "p.i", "p.j").alias("unit"), "fp", F.col("p.side").cast("int").alias("side"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in whole_groups(batches, ["unit"]):
-            a, b = links_in(whole.column("unit").to_numpy(), whole.column("fp").to_numpy().view(np.uint64), whole.column("side").to_numpy(), distance)
+        for units in whole_groups(batches, ["unit"]):
+            a, b = links_in(units.column("unit").to_numpy(), units.column("fp").to_numpy().view(np.uint64), units.column("side").to_numpy(), distance)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     placed = dealt.repartition("unit").sortWithinPartitions("unit")
@@ -236,8 +236,8 @@ def keep_first(docs: DataFrame, **settings) -> DataFrame:
     """
     found = near_duplicates(docs, **settings)
     lost = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    left = whole(docs, id=F.col("doc_id")).join(lost.hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
     repeated = materialise(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")), "repeated-ids")
-    once = left.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = left.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    once = left.join(repeated, F.col("id").eqNullSafe(F.col("_id")), "left_anti").select("row")
+    again = left.join(repeated, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"]).select("row")
+    return once.union(again).select("row.*")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import text_slices
+from pactspark.llm.common import text_slices, whole
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
@@ -210,4 +210,4 @@ def scored(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLAS
 def reject(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, with their columns."""
     model = train(docs, labels, max_per_class)
-    return docs.withColumn("_toxicity", score_column(docs, model)).where(F.col("_toxicity") < threshold).select(*docs.columns)
+    return whole(docs, toxicity=score_column(docs, model)).where(F.col("toxicity") < threshold).select("row.*")

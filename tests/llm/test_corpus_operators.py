@@ -269,6 +269,18 @@ def test_warc_reader_frames_and_verifies():
             warc.parsed(broken)
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    names = ["row", "id", "_id", "key", "_key", "epochs", "last_key", "cut_source", "sha", "n", "score", "toxicity", "doc id.x"]
+    rows = [(i, f"some words of text {i % 4} that differ {i % 4}", "s" if i % 2 else None, *range(len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns
+        assert {tuple(r)[3:] for r in after.collect()} <= {tuple(range(len(names)))}
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SMALL).select("doc_id").distinct().count() == 12
+
+
 def test_pipeline_stages(spark, documents, rows):
     docs, own = documents, dict(rows)
     names = [n for n, _ in corpus_pipeline.STAGES]
