@@ -651,6 +651,52 @@ def section_differences(spark, sf):
     return evaluate.difference_totals(d, "clause_type")
 
 
+# ---- measures on texts whose answer follows from their making ---------------------------------------
+
+
+_MADE = "o_orderkey, cast(o_orderkey % 9 + 1 as int) as k, cast(o_custkey % 7 + 1 as int) as m, cast(o_orderkey % 5 + 1 as int) as n"
+
+
+def made_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Per order two texts: k common characters, then m and n of different kinds."""
+    made = load(spark, sf, "orders").selectExpr(*_MADE.split(", "))
+    start = F.repeat(F.lit("a"), F.col("k"))
+    return made.select("o_orderkey", F.concat(start, F.repeat(F.lit("b"), F.col("m"))).alias("before"), F.concat(start, F.repeat(F.lit("c"), F.col("n"))).alias("after"))
+
+
+@query("similarity_of_made_texts", f"select o_orderkey, round(2.0 * k / (2 * k + m + n), 6) as ratio from (select {_MADE} from orders)")
+def similarity_of_made_texts(spark, sf):
+    return made_texts(spark, sf).select("o_orderkey", F.round(similarity(F.col("before"), F.col("after")), 6).alias("ratio"))
+
+
+@query("differences_of_made_texts", f"select o_orderkey, k as same_chars, n as add_chars, m as del_chars from (select {_MADE} from orders)")
+def differences_of_made_texts(spark, sf):
+    totals = evaluate.difference_totals(evaluate.differences(made_texts(spark, sf), "before", "after"), "o_orderkey")
+    return totals.select("o_orderkey", *(F.col(f"{k}_chars").cast("int").alias(f"{k}_chars") for k in ("same", "add", "del")))
+
+
+_CHANGED_AT = (0, 31, 59)
+
+
+@query("quotes_altered_in_made_texts", """
+    select doc_id, pos, case when pos < 2 then 69 when pos = 2 then 68 end as char_start, case when pos < 2 then 129 when pos = 2 then 128 end as char_end, case when pos < 3 then 'fuzzy' end as level
+    from documents, range(0, 4) t(pos)""")
+def quotes_altered_in_made_texts(spark, sf):
+    """Quotes of a text of digests: a changed character is no hindrance wherever it stands, an absent quote has no place.
+
+    With its last character changed, the quote is as like the window one character
+    earlier, which the earliest of equals is."""
+    d = load(spark, sf, "documents").select("doc_id")
+    text = F.concat(*(F.sha2(F.concat_ws("-", F.lit(part), "doc_id"), 256) for part in "abcd"))
+    made = d.withColumn("text", text)
+    quote = F.substring("text", 70, 60)
+    changed = [F.concat(F.substring(quote, 1, at), F.lit("Z"), F.substring(quote, at + 2, 60)) for at in _CHANGED_AT]
+    rows = made.withColumn("quotes", F.array(*changed, F.repeat(F.lit("zyxw"), F.lit(15))))
+    flat = anchors.locate(rows).select("doc_id", F.posexplode("places").alias("pos", "p"))
+    return flat.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("p.start").cast("int").alias("char_start"), F.col("p.stop").cast("int").alias("char_end"),
+                       F.col("p.level").alias("level"))
+
+
 # ---- intake of files ---------------------------------------------------------------------------
 
 

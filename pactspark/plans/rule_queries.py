@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pactspark import schemas
 from pactspark.operators import gate, merge, pages, rule_audit, rules, sections, verdicts
-from pactspark.packs import latin
+from pactspark.packs import fixed, latin
 from pactspark.plans import document_queries as base
 from pactspark.plans.document_queries import META_CTE, SECTIONS_CTE, documents
 from pactspark.plans.registry import query
@@ -538,3 +538,29 @@ def hits_and_verdicts_paired(spark, sf):
     h = rules.evaluate(keys_of(spark, sf), clauses(spark, sf), extracted(spark, sf), latin.blacklist(spark), prepared(spark))
     m = merge.merge(keys_of(spark, sf), materialise(h, "hits"), materialise(replayed(spark, sf), "verdicts"))
     return merge.outcome(m).select("doc_id", "n_risks", "rule_only", "llm_only", "both", "upgraded", "overall_risk", "conclusion")
+
+
+@query("pairs_by_made_titles", """
+    with o as (select o_orderkey as doc_id, cast(o_orderkey % 9 + 1 as int) as k, cast(o_custkey % 7 + 1 as int) as m, cast(o_orderkey % 5 + 1 as int) as n from orders)
+    select doc_id, cast(2.0 * k / (2 * k + m + n) >= """ + str(fixed.MERGE_SIMILARITY) + """ as int) as both_by_title, 1 as both_by_quote from o""")
+def pairs_by_made_titles(spark, sf):
+    """A hit and a verdict of different clauses pair if their titles are alike enough, or else their quotes.
+
+    Titles are made so that their likeness follows from three numbers; the second pair
+    has unlike titles and one quote.
+    """
+    made = base.made_texts(spark, sf).withColumnRenamed("o_orderkey", "doc_id")
+    docs = made.select("doc_id", F.lit("en").alias("business_type"))
+
+    def both(hit_title, verdict_title, quote):
+        hits = made.select("doc_id", hit_title.alias("title"), F.lit("high").alias("risk_level"), F.lit("other").alias("category"), F.lit("r").alias("reason"), F.lit("s").alias("suggestion"),
+                           F.lit(1).alias("clause_index"), quote.alias("quote"), F.lit(1).cast("bigint").alias("rule_id"), F.lit("c").alias("rule_code"), F.lit("n").alias("rule_name"),
+                           F.lit("d").alias("evidence_detail"), F.lit(1).alias("rule_seq"))
+        said = made.select("doc_id", F.lit(0).alias("batch_id"), F.lit(0).alias("pos"), verdict_title.alias("title"), F.lit("low").alias("risk_level"), F.lit("other").alias("category"),
+                           F.lit("r").alias("reason"), F.lit("s").alias("suggestion"), F.lit(None).cast("string").alias("legal_basis"), quote.alias("quote"),
+                           F.lit("x").alias("raw_snippet"), F.lit(False).alias("need_review"), F.lit(7).alias("clause_index"))
+        return merge.merge(docs, hits, said).select("doc_id", "both")
+
+    by_title = both(F.col("before"), F.col("after"), F.lit(None).cast("string")).withColumnRenamed("both", "both_by_title")
+    by_quote = both(F.lit("aaaa"), F.lit("zzzz"), F.concat(F.lit("quoted words "), F.col("doc_id").cast("string"))).withColumnRenamed("both", "both_by_quote")
+    return by_title.join(by_quote, "doc_id")
