@@ -165,6 +165,12 @@ def patch(base: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...
     return joined.select(*(changed[c].alias(c) if c in changed else c for c in base.columns))
 
 
+def patch_audited(base: DataFrame, changes: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The changed rules as they would be, and what is wrong with them as a whole."""
+    merged = patch(base.join(changes.select("rule_id"), "rule_id", "left_semi"), changes, "rule_id", columns)
+    return merged, violations(merged)
+
+
 def apply_changes(base: DataFrame, changes: DataFrame, key: str, columns: tuple[str, ...]) -> DataFrame:
     """Create, patch and delete by an ``action`` column; base rows are keyed by ``key``."""
     created = changes.filter("action = 'create'").select(*base.columns)

@@ -60,6 +60,13 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 20
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def rule_list(rules: DataFrame, *, template_id: int | None = None, enabled: bool | None = None) -> DataFrame:
+    """Rules of a template, or of one state, in order of template, place and id."""
+    kept = rules if template_id is None else rules.filter(F.col("template_id") == template_id)
+    kept = kept if enabled is None else kept.filter(F.col("enabled") == enabled)
+    return kept.orderBy("template_id", "seq", "rule_id")
+
+
 def total(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("total"))
 

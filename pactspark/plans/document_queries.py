@@ -13,7 +13,7 @@ from pactspark.operators import anchors, evaluate, metadata, pages, sections
 from pactspark.packs import fixed, latin
 from pactspark.plans.registry import query
 from pactspark.plans.standins import load
-from pactspark.session import spread
+from pactspark.session import scratch_path, spread
 from pactspark.sources import intake
 
 LINES_PER_PAGE = 10
@@ -713,6 +713,45 @@ def formats_by_suffix(spark, sf):
     return strict.select("page_id", "suffix", "file_format", F.coalesce("file_format", F.lit("pdf")).alias("sync_format"))
 
 
+_TODO = """select concat('A', event_id) as approval_no, event_type as title, cast(user_id as string) as applicant, 'd' as applicant_dept, event_type as business_type,
+  'c' as counterparty, 'pending' as status, ts as submitted_at, array(
+    named_struct('attachment_id', concat('f', event_id), 'file_name', concat(event_type, case event_id % 3 when 0 then '.docx' when 1 then '.PDF' else '.bin' end), 'file_size', event_id, 'content_type', 't', 'download_url', 'u'),
+    named_struct('attachment_id', '', 'file_name', 'lost', 'file_size', 0L, 'content_type', 't', 'download_url', 'u')) as attachments from {events}"""
+
+
+@query("todos_from_files", """
+    select concat('A', event_id) as external_id, case event_id % 3 when 0 then 'docx' else 'pdf' end as file_format, event_id as file_size, event_type as business_type, 1 as lost from events""")
+def todos_from_files(spark, sf):
+    """A feed of JSON files, read with its schema, as contract rows; one attachment of each is unusable."""
+    folder = scratch_path(spark, "todo-files")
+    spark.sql(_TODO, events=load(spark, sf, "events")).write.json(folder)
+    good, bad = intake.attachments(intake.read_todos(spark, folder))
+    rows = intake.contracts_from_todos(good.withColumn("file_hash", intake.content_hash(F.col("attachment_id"))))
+    lost = bad.groupBy("approval_no").agg(F.count("*").cast("int").alias("lost"))
+    return rows.join(lost, F.col("external_id") == F.col("approval_no")).select("external_id", "file_format", "file_size", "business_type", "lost")
+
+
+@query("originals_read", r"""select page_id, sha256(replace(html, chr(10), ' ') || chr(10)) as file_hash, strlen(replace(html, chr(10), ' ')) + 1 as file_size from pages""")
+def originals_read(spark, sf):
+    """One file per page, read back as originals with bytes, size and hash."""
+    folder = scratch_path(spark, "originals")
+    load(spark, sf, "pages").select("page_id", F.replace("html", F.lit("\n"), F.lit(" ")).alias("value")).write.partitionBy("page_id").text(folder)
+    files = intake.read_originals(spark, folder, "*.txt")
+    return files.select(F.regexp_extract("path", "page_id=([0-9]+)", 1).cast("bigint").alias("page_id"), "file_hash", "file_size")
+
+
+@query("reports_exported", """select doc_id, strlen(text) as file_size, sha256(text) as digest from documents""")
+def reports_exported(spark, sf):
+    """Report texts stored first, their records second, both read back."""
+    from pactspark.sources import sinks
+
+    folder = scratch_path(spark, "exports")
+    reports = load(spark, sf, "documents").select(F.col("doc_id").alias("contract_id"), F.col("text").alias("content"))
+    records = sinks.export_reports(reports, folder, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    stored = spark.read.parquet(f"{folder}/reports").select("contract_id", F.sha2("content", 256).alias("digest"))
+    return records.join(stored, "contract_id").select(F.col("contract_id").alias("doc_id"), F.col("file_size").cast("bigint").alias("file_size"), "digest")
+
+
 @query("new_by_content", """
     with h as (select doc_id, source, sha256(text) as file_hash from documents),
     active as (select distinct sha256(text) as file_hash from documents where lang = 'de')

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactspark import schemas
-from pactspark.operators import gate, merge, pages, rule_audit, rules, sections, verdicts
+from pactspark.operators import gate, merge, pages, rule_audit, rules, sections, serving, verdicts
 from pactspark.packs import fixed, latin
 from pactspark.plans import document_queries as base
 from pactspark.plans.document_queries import META_CTE, SECTIONS_CTE, documents
@@ -262,6 +262,44 @@ def rule_changes_applied(spark, sf):
     return rule_audit.apply_changes(base, changes.unionByName(created), "k", ("name", "contract_type"))
 
 
+_PART_RULES = """select p_partkey as rule_id, cast(p_size % 5 as bigint) as template_id, concat('LIA_', lpad(p_partkey, 6, '0')) as code, p_name as name, 'liability' as category,
+  'high' as risk_level, 'keyword' as rule_type, '{{"keywords": ["x"]}}' as config, p_type as result_template, p_brand as suggestion_template,
+  p_size > 10 as enabled, cast(p_size as int) as seq from {part}"""
+
+
+def part_rules(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(_PART_RULES, part=load(spark, sf, "part"))
+    return rows.withColumn("conditions", F.array().cast(f"array<{schemas.CONDITION}>"))
+
+
+@query("rules_listed", """select p_partkey as rule_id, p_size as seq,
+    row_number() over (order by p_size, p_partkey) as place from part where p_size % 5 = 3 and p_size > 10""")
+def rules_listed(spark, sf):
+    """Enabled rules of one template, with their place in the list."""
+    listed = serving.rule_list(part_rules(spark, sf), template_id=3, enabled=True)
+    return listed.select("rule_id", F.col("seq").cast("bigint").alias("seq")).withColumn("place", F.row_number().over(Window.orderBy("seq", "rule_id")).cast("bigint"))
+
+
+@query("rule_patches_audited", """
+    select p_partkey as rule_id, unnest(case when p_size % 3 = 0 then ['code_empty'] when p_size % 3 = 1 then ['keyword_without_words'] else [] end) as code from part where p_size > 10""")
+def rule_patches_audited(spark, sf):
+    """A patch is audited with what it leaves as it is: an empty code, or keywords taken away."""
+    rules_ = part_rules(spark, sf)
+    kind = F.col("seq") % 3
+    changes = rules_.filter("enabled").select(
+        "rule_id", F.lit(" ").alias("code"), F.lit("{}").alias("config"), F.lit("new name").alias("name"),
+        F.when(kind == 0, F.array(F.lit("code"))).when(kind == 1, F.array(F.lit("config"))).otherwise(F.array(F.lit("name"))).alias("provided"))
+    _, wrong = rule_audit.patch_audited(rules_, changes, ("code", "config", "name"))
+    return wrong.select("rule_id", F.col("violation").alias("code"))
+
+
+@query("standard_clause_duplicates", """
+    select p_type as clause_type, p_brand as title, count(*) as n from part group by all having count(*) > 1""")
+def standard_clause_duplicates(spark, sf):
+    rows = load(spark, sf, "part").select(F.col("p_type").alias("clause_type"), F.col("p_brand").alias("title"), F.lit(None).cast("string").alias("contract_type"))
+    return rule_audit.duplicate_clauses(rows).select("clause_type", "title", F.col("count").alias("n"))
+
+
 @query("rule_deletions_guarded", """
     select p_partkey as rule_id, coalesce(n, 0) as n_conditions, coalesce(e, 0) as n_evidences,
       case when coalesce(e, 0) = 0 then 'allow' when p_size > 25 then 'force' else 'refuse' end as action
