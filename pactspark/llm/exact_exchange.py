@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import BLANKS, no_text, text_slices
+from pactspark.llm.common import BLANKS, no_text, text_slices, whole
 from pactspark.session import materialise
 
 #: Fingerprints that one sender or owner holds, on average.
@@ -181,9 +181,9 @@ def deduplicate(docs: DataFrame, rows_per_sender: int = ROWS_PER_SENDER) -> Data
     lost = groups(docs, rows_per_sender).where("group_size > 1")
     dropped = lost.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("points").alias("_points"),
                           stays().alias("_lead")).distinct().hint("merge")
-    table = docs.withColumn("_sha", F.sha2(compared(no_text(F.col("text"))), 256)).withColumn("_n", F.char_length(no_text(F.col("text"))))
-    joined = table.alias("t").join(dropped.alias("d"), F.col("t.doc_id").eqNullSafe(F.col("d._id")) & (F.col("t._sha") == F.col("d._sha")) & (F.col("t._n") == F.col("d._points")), "left")
-    judged = joined.select("t.*", F.col("d._lead"))
-    clean = judged.where(F.col("_lead").isNull()).select(*docs.columns)
-    again = judged.where("_lead").dropDuplicates(["doc_id", "_sha", "_n"]).select(*docs.columns)
-    return clean.unionByName(again)
+    text = no_text(F.col("text"))
+    rows = whole(docs, id=F.col("doc_id"), sha=F.sha2(compared(text), 256), n=F.char_length(text))
+    judged = rows.join(dropped, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")) & (F.col("n") == F.col("_points")), "left")
+    clean = judged.where(F.col("_lead").isNull()).select("row")
+    again = judged.where("_lead").dropDuplicates(["id", "sha", "n"]).select("row")
+    return clean.union(again).select("row.*")
