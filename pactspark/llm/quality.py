@@ -46,6 +46,17 @@ BOILERPLATE = re.compile(
     r"enable javascript|lorem ipsum|subscribe to our|licensed under|click here to|powered by wordpress", re.IGNORECASE)
 
 
+#: A text without any of these has no boilerplate, and no separators: a cheap look before the patterns.
+BOILERPLATE_MARKS = ("reserved", "copyright", "©", "terms of", "policy", "cookies", "javascript", "lorem ipsum", "subscribe", "licensed", "click here", "powered by")
+SEPARATOR_MARKS = ("|", "›", "»", ">", "•", "·", "/", "::")
+
+
+def may_break_rules(text: str) -> bool:
+    """Whether a line that is no menu and no short line may break a rule."""
+    lowered = text.lower()
+    return any(m in lowered for m in BOILERPLATE_MARKS) or any(m in text for m in SEPARATOR_MARKS) or NOISY.search(text) is not None
+
+
 def failing_rule(line: str, words: list[str]) -> str | None:
     """The first rule that a line with words breaks."""
     if BOILERPLATE.search(line):
@@ -54,11 +65,11 @@ def failing_rule(line: str, words: list[str]) -> str | None:
     if separators >= MIN_SEPARATORS and separators * WORDS_PER_SEPARATOR >= len(words) - separators:
         return "navigation"
     stripped = line.strip()
-    if NAVIGATION.sub("", stripped + " ").strip() == "":
+    if stripped and NAVIGATION.sub("", stripped + " ").strip() == "":
         return "navigation"
     if sum(1 for w in words if NOISY.search(w)) > MAX_NOISY * len(words):
         return "punctuation"
-    if len(words) < SHORT_LINE and stripped[-1] not in END_MARKS:
+    if len(words) < SHORT_LINE and stripped[-1:] not in END_MARKS:
         return "punctuation"
     return None
 
@@ -94,6 +105,7 @@ def judge(text: str, max_lost: float = MAX_LOST) -> dict:
     word_chars = len(text) - blanks
     seen, duplicates, kept_lines, lost = set(), 0, [], 0
     broken: dict[str, int] = {}
+    suspicious = may_break_rules(text)
     for line in text.split("\n"):
         own = line.encode("utf-8", "surrogatepass").split()
         if not own:
@@ -101,6 +113,9 @@ def judge(text: str, max_lost: float = MAX_LOST) -> dict:
             continue
         duplicates += line in seen
         seen.add(line)
+        if not suspicious and (len(own) >= SHORT_LINE or line.rstrip()[-1:] in END_MARKS) and not NAVIGATION.match(line.strip() + " "):
+            kept_lines.append(line)
+            continue
         own_words = [w.decode("utf-8", "surrogatepass") for w in own]
         rule = failing_rule(line, own_words)
         if rule is None:

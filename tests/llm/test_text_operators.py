@@ -76,6 +76,7 @@ def test_quality_measures_agree_with_brute_force(spark):
     texts = [None, "", " \n\t ", "one two", " x y " * 20, "Home | About | Contact\n" + "A plain sentence stands here. " * 12]
     texts += ["\n".join(" ".join(random.choice("abc") for _ in range(random.randrange(1, 30))) for _ in range(12)) for _ in range(60)]
     texts.append("w " * 30_000)
+    texts += ["\u3000\na | b | c", "\u00a0", "!! \u2003 !!\n\u2003"]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, kept int")
     for r in quality.clean_lines(docs).collect():
         text = texts[r.doc_id] or ""
