@@ -262,13 +262,13 @@ def rule_changes_applied(spark, sf):
     return rule_audit.apply_changes(base, changes.unionByName(created), "k", ("name", "contract_type"))
 
 
-_PART_RULES = """select p_partkey as rule_id, cast(p_size % 5 as bigint) as template_id, concat('LIA_', lpad(p_partkey, 6, '0')) as code, p_name as name, 'liability' as category,
+_RULES_OF_PARTS = """select p_partkey as rule_id, cast(p_size % 5 as bigint) as template_id, concat('LIA_', lpad(p_partkey, 6, '0')) as code, p_name as name, 'liability' as category,
   'high' as risk_level, 'keyword' as rule_type, '{{"keywords": ["x"]}}' as config, p_type as result_template, p_brand as suggestion_template,
   p_size > 10 as enabled, cast(p_size as int) as seq from {part}"""
 
 
-def part_rules(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.sql(_PART_RULES, part=load(spark, sf, "part"))
+def rules_of_parts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(_RULES_OF_PARTS, part=load(spark, sf, "part"))
     return rows.withColumn("conditions", F.array().cast(f"array<{schemas.CONDITION}>"))
 
 
@@ -276,7 +276,7 @@ def part_rules(spark: SparkSession, sf: str) -> DataFrame:
     row_number() over (order by p_size, p_partkey) as place from part where p_size % 5 = 3 and p_size > 10""")
 def rules_listed(spark, sf):
     """Enabled rules of one template, with their place in the list."""
-    listed = serving.rule_list(part_rules(spark, sf), template_id=3, enabled=True)
+    listed = serving.rule_list(rules_of_parts(spark, sf), template_id=3, enabled=True)
     return listed.select("rule_id", F.col("seq").cast("bigint").alias("seq")).withColumn("place", F.row_number().over(Window.orderBy("seq", "rule_id")).cast("bigint"))
 
 
@@ -284,7 +284,7 @@ def rules_listed(spark, sf):
     select p_partkey as rule_id, unnest(case when p_size % 3 = 0 then ['code_empty'] when p_size % 3 = 1 then ['keyword_without_words'] else [] end) as code from part where p_size > 10""")
 def rule_patches_audited(spark, sf):
     """A patch is audited with what it leaves as it is: an empty code, or keywords taken away."""
-    rules_ = part_rules(spark, sf)
+    rules_ = rules_of_parts(spark, sf)
     kind = F.col("seq") % 3
     changes = rules_.filter("enabled").select(
         "rule_id", F.lit(" ").alias("code"), F.lit("{}").alias("config"), F.lit("new name").alias("name"),
