@@ -135,13 +135,13 @@ def duplicate_clauses(clauses: DataFrame) -> DataFrame:
 
 def unknown_values(df: DataFrame, column: str, enum: str, enum_values: DataFrame) -> DataFrame:
     """Rows whose value is not in the enumeration dimension."""
-    allowed = F.broadcast(enum_values.filter(F.col("enum") == enum).select(F.col("value").alias(column)))
+    allowed = enum_values.filter(F.col("enum") == enum).select(F.col("value").alias(column))
     return df.filter(F.col(column).isNotNull()).join(allowed, column, "left_anti")
 
 
 def unread_operators(usage: DataFrame, readable: DataFrame) -> DataFrame:
     """(rule_type, operator) rows the engine never reads."""
-    return usage.join(F.broadcast(readable.filter("readable")), ["rule_type", "operator"], "left_anti")
+    return usage.join(readable.filter("readable"), ["rule_type", "operator"], "left_anti")
 
 
 # ---- changes ------------------------------------------------------------------------

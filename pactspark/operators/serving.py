@@ -87,7 +87,7 @@ def for_contract_type(clauses: DataFrame, contract_type: str) -> DataFrame:
 
 def labelled(df: DataFrame, column: str, enum: str, enum_values: DataFrame, name: str) -> DataFrame:
     """Add the display text of an enumeration value; unknown values show as they are."""
-    dim = F.broadcast(enum_values.filter(F.col("enum") == enum).select(F.col("value").alias(column), F.col("label").alias(name)))
+    dim = enum_values.filter(F.col("enum") == enum).select(F.col("value").alias(column), F.col("label").alias(name))
     return df.join(dim, column, "left").withColumn(name, F.coalesce(name, column))
 
 
