@@ -358,28 +358,23 @@ def evaluate(
     ``docs`` is (doc_id, business_type), ``clauses`` carries business_type too.
     ``all_matches`` reports every clause a clause rule finds something in.
     """
-    facts = document_facts(docs, clauses, metadata) if facts is None else facts
     kinds = {(r["rule_type"], r["metric"], r["list_source"]) for r in prepared.select("rule_type", "metric", "list_source").distinct().collect()}
-    rows = facts.join(F.broadcast(prepared), "business_type")
-    if any(kind in ("keyword", "regex", "presence", "blacklist") or metric != "amount" for kind, metric, _ in kinds):
-        answers = clause_answers(clauses, prepared)
-        rows = rows.join(answers.select("doc_id", "rule_id", F.struct(*[c for c in answers.columns if c not in ("doc_id", "rule_id")]).alias("a")), ["doc_id", "rule_id"], "left")
+    by_subject = any(kind == "blacklist" and source == "subject_blacklist" for kind, _, source in kinds)
+    by_document = by_subject or any(kind == "presence" or (kind == "threshold" and metric == "amount") for kind, metric, _ in kinds)
+    answers = clause_answers(clauses, prepared)
+    answers = answers.select("doc_id", "rule_id", F.struct(*[c for c in answers.columns if c not in ("doc_id", "rule_id")]).alias("a"))
+    found = F.when(_of_clauses(), F.col("a.finding") if not all_matches else F.lit(None)).when(_one_sided(), _one_sided_finding())
+    if by_document:
+        facts = document_facts(docs, clauses, metadata) if facts is None else facts
+        rows = facts.join(F.broadcast(prepared), "business_type").join(answers, ["doc_id", "rule_id"], "left")
+        kind = F.col("rule_type")
+        found = found.when(kind == "presence", _presence_finding()).when((kind == "threshold") & (F.col("metric") == "amount"), _amount_finding())
     else:
-        none = "struct<finding:struct<clause_index:int,clause_no:string,quote:string,detail:string>,severe:struct<clause_index:int,clause_no:string,word:string,quote:string>,mild:string," \
-               "small:decimal(38,10),anywhere:boolean,has_target:boolean,in_target:boolean,lacking:struct<clause_index:int,clause_no:string>,preferred:struct<clause_index:int,clause_no:string>>"
-        rows = rows.withColumn("a", F.lit(None).cast(none))
-    if any(kind == "blacklist" and source == "subject_blacklist" for kind, _, source in kinds):
+        rows = answers.join(F.broadcast(prepared), "rule_id")
+    if by_subject:
         listed = listed_subjects(metadata, blacklist).select("doc_id", F.struct("subject_name", "status").alias("listed"))
         rows = rows.join(listed, "doc_id", "left")
-    else:
-        rows = rows.withColumn("listed", F.lit(None).cast("struct<subject_name:string,status:string>"))
-    kind = F.col("rule_type")
-    found = (
-        F.when(_of_clauses(), F.col("a.finding") if not all_matches else F.lit(None))
-        .when(_one_sided(), _one_sided_finding())
-        .when(kind == "presence", _presence_finding())
-        .when((kind == "threshold") & (F.col("metric") == "amount"), _amount_finding())
-        .when((kind == "blacklist") & (F.col("list_source") == "subject_blacklist"), _subject_finding()))
+        found = found.when((F.col("rule_type") == "blacklist") & (F.col("list_source") == "subject_blacklist"), _subject_finding())
     columns = ("doc_id", "rule_id", "clause_index", "clause_no", "quote", "detail")
     findings = rows.withColumn("f", found).filter("f is not null").select("doc_id", "rule_id", "f.*")
     if all_matches:
