@@ -139,7 +139,7 @@ def groups(docs: DataFrame, rows_per_sender: int = ROWS_PER_SENDER) -> DataFrame
     plan, and with it what is shuffled, is the same at every size.
     """
     prints = materialise(fingerprinted(docs).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    found = suspects(prints, rows_per_sender).select(F.col("doc_id").alias("_id")).distinct().hint("merge")
+    found = suspects(prints.select("doc_id", "fp", "points"), rows_per_sender).select(F.col("doc_id").alias("_id")).distinct().hint("merge")
     texts = docs.select("doc_id", no_text(F.col("text")).alias("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     # Grouped by the bytes themselves; the hash is derived from the group's own bytes.
     by_bytes = texts.select("doc_id", compared(F.col("text")).alias("bytes"), F.char_length("text").alias("points")).groupBy("bytes").agg(
