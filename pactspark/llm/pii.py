@@ -38,7 +38,14 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[{DOMAIN}]++(?:\.[{DOMAIN}]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+#: An account number is proposed by its head; where it ends is found behind it.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+IBAN_RUN = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+"
+#: Characters of account numbers by country; those of other countries have 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 CONTEXT = {
@@ -104,10 +111,36 @@ def matches(text: Column, pattern: str) -> Column:
         state, step, lambda s: s["found"])))
 
 
+def account_numbers(text: Column) -> Column:
+    """[(start, end, text)] of the account numbers, leftmost first, without overlap.
+
+    Words and numbers in capitals may follow after a blank, so that a number's end is not
+    where the run of its characters ends. Every end at which no letter or digit follows is
+    tried by modulo 97: the one of the country's length, else that of the whole run; for
+    a country without a known length the last one.
+    """
+    kind = "array<struct<start:int,end:int,match:string>>"
+    known = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)])
+
+    def ended(head: Column, behind: Column) -> Column:
+        run = F.regexp_extract(behind, IBAN_RUN, 0)
+        return let(F.struct(behind.alias("b"), F.length(run).alias("n"), F.try_element_at(known, F.substring(behind, 1, 2)).alias("own")), lambda v: F.get(F.transform(F.array_sort(F.transform(
+            F.filter(F.sequence(F.lit(15), v["n"]), lambda n: ~F.substring(v["b"], n, F.lit(2)).rlike("^(?:\\x20|.[A-Za-z0-9])")),
+            lambda n: let(F.replace(F.substring(v["b"], F.lit(1), n), F.lit(" "), F.lit("")), lambda code: F.when(
+                (F.length(code) >= 15) & (v["own"].isNull() | (F.length(code) == v["own"]) | (n == v["n"])) & mod_97(code),
+                F.struct(F.coalesce(F.length(code) != v["own"], F.lit(False)).alias("other"), (-n).alias("n")))))), lambda e: F.struct(
+            head["start"].alias("start"), (head["start"] - e["n"]).alias("end"), F.substring(v["b"], F.lit(1), -e["n"]).alias("match"))), 0))
+
+    none = F.array().cast(kind)
+    apart = lambda found, m: F.when(F.coalesce(m["start"] >= F.get(found, F.size(found) - 1)["end"], F.lit(True)), F.concat(found, F.array(m))).otherwise(found)
+    return let(matches(text, IBAN), lambda heads: F.when(F.size(heads) == 0, none).otherwise(F.aggregate(F.filter(
+        F.transform(heads, lambda h: let(F.substring(text, h["start"] + 1, F.lit(65)), lambda behind: ended(h, behind))), lambda m: m["end"].isNotNull()), none, apart)))
+
+
 def spans_of(kind: str, order: int, text: Column) -> Column:
     """[(start, order, kind, end, score)] of one kind in a text."""
     pattern, needs, check, weight, checksum = KINDS[kind]
-    kept = F.filter(matches(text, pattern), lambda m: check(m["match"]))
+    kept = account_numbers(text) if kind == "iban" else F.filter(matches(text, pattern), lambda m: check(m["match"]))
 
     def scored(m: Column) -> Column:
         from_ = F.greatest(m["start"] - NEAR, F.lit(0))

@@ -71,6 +71,16 @@ def test_pii_checksums_context_and_redaction(spark):
     assert found[4].spans[0].score == 1.0
 
 
+@pytest.mark.parametrize("text, want", [
+    ("DE89370400440532013000 Thanks", "0:22"), ("DE89 3704 0044 0532 0130 00 EUR 500", "0:27"), ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "0:27"),
+    ("to DE89370400440532013000 GB82 WEST 1234 5698 7654 32 NOW", "3:25 26:53"), ("NO93 8601 1117 947 A 1", "0:18"), ("MT84MALT011000012345MTLCAST001S", "0:31"),
+    ("DE89 3704 0044 0532 0130 00X", ""), ("XDE89370400440532013000", ""), ("DE89370400440532013001 Thanks", ""), ("DE89 3704  0044 0532 0130 00", ""),
+    ("é🙂 GB82 WEST 1234 5698 7654 32", "3:30"), ("LC14BOSL123456789012345678901234 XX", "0:32"), ("AB12 " * 3000, "")])
+def test_pii_account_numbers_end_before_what_follows(spark, text, want):
+    found = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert " ".join(f"{s.start}:{s.end}" for s in found if s.kind == "iban") == want
+
+
 def test_quality_measures_agree_with_brute_force(spark):
     random.seed(2)
     texts = [None, "", " \n\t ", "one two", " x y " * 20, "Home | About | Contact\n" + "A plain sentence stands here. " * 12]
