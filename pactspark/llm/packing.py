@@ -14,7 +14,9 @@ Each task packs its partition, so nothing is shuffled; window ids hold the parti
 number. A task that is run again gives the same windows for the same rows.
 
 Ids come from the byte-level vocabulary of ``tokenizer`` (a rank file); they are those of
-the ``tokenizers`` file of the same vocabulary, which takes five times the time.
+the ``tokenizers`` file of the same vocabulary, which takes five times the time. That
+file finds its added token inside a text too: with ``added_tokens`` the literal is cut
+out first and becomes its own id, without it the literal is ordinary text.
 
 Defined cases: a null text is empty and yields its closing id; a null doc_id is kept;
 equal rows are packed each; an empty table gives no pieces; other columns are ignored.
@@ -36,6 +38,8 @@ from pactspark.llm.common import text_slices
 
 CAPACITY = 1024
 CLOSING_ID = 0
+#: The added tokens of the ``tokenizers`` file, which the rank file does not hold.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 #: Windows that wait to be filled, of 4 KB each.
 OPEN_WINDOWS = 8192
 
@@ -46,8 +50,8 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(tokenizer: str) -> Callable[[str], np.ndarray]:
-    """Text to ids, as unsigned 32-bit integers; control strings in a text are ordinary text."""
+def encoder(tokenizer: str, added_tokens: bool = False) -> Callable[[str], np.ndarray]:
+    """Text to ids, as unsigned 32-bit integers; added tokens in a text are ids of their own or ordinary text."""
     import base64
 
     import public_tokenizers
@@ -55,13 +59,13 @@ def encoder(tokenizer: str) -> Callable[[str], np.ndarray]:
 
     with open(tokenizer, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED_TOKENS if added_tokens else {})
 
     def ids(text: str) -> np.ndarray:
         try:
-            return encoding.encode_to_numpy(text, disallowed_special=())
+            return encoding.encode_to_numpy(text, allowed_special="all", disallowed_special=())
         except UnicodeEncodeError:  # lone surrogates
-            return np.array(encoding.encode_ordinary(text), dtype=np.uint32)
+            return np.array(encoding.encode(text, allowed_special="all", disallowed_special=()), dtype=np.uint32)
 
     return ids
 
@@ -153,8 +157,8 @@ class Packer:
             yield self.levels.new_window(), pieces
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer, schema: pa.Schema, first: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(tokenizer)
+def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer, schema: pa.Schema, first: int, added_tokens: bool = False) -> Iterator[pa.RecordBatch]:
+    encode = encoder(tokenizer, added_tokens)
 
     def written(windows: list[tuple[int, list[Piece]]]) -> pa.RecordBatch:
         rows = []
@@ -177,11 +181,13 @@ def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer,
     yield written(list(packer.settle()))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, open_windows: int = OPEN_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, open_windows: int = OPEN_WINDOWS,
+         added_tokens: bool = False) -> DataFrame:
     """Documents (doc_id, text) as pieces: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
     ``ids`` are little-endian unsigned 32-bit integers. A piece lies at ``offset`` of its
-    sequence; the pieces of a sequence leave no gap.
+    sequence; the pieces of a sequence leave no gap. ``added_tokens`` gives the ids of the
+    ``tokenizers`` file at its default setting.
     """
     path = tokenizer or rank_file()
     kind = docs.schema["doc_id"].dataType
@@ -200,7 +206,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
             yield batch
             yield from batches
 
-        yield from pieces_of(all_batches(), path, Packer(capacity, open_windows), schema, first)
+        yield from pieces_of(all_batches(), path, Packer(capacity, open_windows), schema, first, added_tokens)
 
     return docs.select("doc_id", "text").mapInArrow(run, out)
 

@@ -77,6 +77,29 @@ def test_packing_covers_every_id_once(spark, documents, rows):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_query_and_stage_take_added_tokens_as_the_tokenizer_does(spark, tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert packing.ADDED_TOKENS == {t["content"]: t["id"] for t in json.load(open(path))["added_tokens"]}
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a  <|endoftext|> b", "x<|endoftext|><|endoftext|>\n\ny", "<|endoftext|", "<|ENDOFTEXT|> é日本🙂", "long " * 3000 + "<|endoftext|>"]
+    docs = frame(spark, list(enumerate(texts)))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: tokenizer.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert sum(50256 in ids for ids in want.values()) == 4
+    got = {}
+    for p in sorted(corpus_pipeline.packed(spark, docs, SMALL).collect(), key=lambda p: p.start):
+        got.setdefault(p.doc_id, []).extend(np.frombuffer(p.ids, "<u4").tolist())
+    assert got == want
+    for r in queries.op2_packing(spark, str(tmp_path)).collect():
+        own = np.array(want[r.doc_id][r.start : r.start + r.length], "<u4")
+        assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(own.tobytes())
+
+
 def test_packing_takes_the_place_of_least_squares():
     levels = packing.LevelArray(8)
     random.seed(5)
