@@ -30,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import bounds, text_slices, whole, whole_groups
+from pactspark.llm.common import bounds, no_text, text_slices, whole, whole_groups
 from pactspark.session import materialise
 
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
@@ -63,17 +63,23 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` holds the 64 bits as a signed integer."""
+def text_key() -> Column:
+    """What tells rows of one doc_id apart: rows that share it and the doc_id have one text."""
+    return F.sha2(no_text(F.col("text")), 256)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, and ``sha``, its text's key, if ``keyed``; ``fp`` holds the 64 bits as a signed integer."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    key, more = ([text_key().alias("sha")], ", sha string") if keyed else ([], "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch):
                 fps = np.array([fingerprint(t.encode("utf-8", "surrogatepass"), shingle, seed) for t in texts], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", "text", *key).mapInArrow(run, f"doc_id {kind}, fp bigint{more}")
 
 
 def embedding(fps: np.ndarray) -> np.ndarray:
@@ -212,16 +218,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return stars.union(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, bands: int = BANDS, cell_rows: int = CELL_ROWS,
-                    shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable by links."""
-    prints = materialise(fingerprints(docs, shingle, seed), "simhashes")
+def rooted(docs: DataFrame, distance: int = MAX_DISTANCE, bands: int = BANDS, cell_rows: int = CELL_ROWS,
+           shingle: int = SHINGLE, seed: int = SEED, keyed: bool = False) -> DataFrame:
+    """The fingerprints of every row with ``root``, which names the component, and component_id."""
+    prints = materialise(fingerprints(docs, shingle, seed, keyed), "simhashes")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(nodes, distance, bands, cell_rows))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = materialise(rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"), "simhash-components")
-    return prints.join(of_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    of_fp = materialise(rooted.join(smallest, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "simhash-components")
+    return prints.join(of_fp, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, distance: int = MAX_DISTANCE, bands: int = BANDS, cell_rows: int = CELL_ROWS,
+                    shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable by links."""
+    return rooted(docs, distance, bands, cell_rows, shingle, seed).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: str = "fp"):
@@ -229,15 +241,23 @@ def hex_of(fp: str = "fp"):
 
 
 def keep_first(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id; of rows with that doc_id one.
+    """One row of each component: one of those with its smallest doc_id.
 
-    Documents of a component without any doc_id are all kept. Texts are shuffled once,
-    by doc_id, whatever the number of dropped ids.
+    Rows are judged by doc_id and text, so that rows without a doc_id, or of one doc_id
+    with different texts, share no verdict. Rows of a component without any doc_id are
+    all kept. Texts are shuffled once, by doc_id and text key, whatever the number of
+    dropped rows.
     """
-    found = near_duplicates(docs, **settings)
-    lost = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct()
-    left = whole(docs, id=F.col("doc_id")).join(lost.hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = materialise(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")), "repeated-ids")
-    once = left.join(repeated, F.col("id").eqNullSafe(F.col("_id")), "left_anti").select("row")
-    again = left.join(repeated, F.col("id") == F.col("_id"), "left_semi").dropDuplicates(["id"]).select("row")
+    found = rooted(docs, keyed=True, **settings)
+    goes = F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    keys = [F.col("doc_id").alias("_id"), F.col("sha").alias("_sha")]
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    lost = found.where(goes).select(*keys).distinct()
+    left = whole(docs, id=F.col("doc_id"), sha=text_key()).join(lost.hint("merge"), same, "left_anti")
+    # Several rows may have their component's smallest doc_id; one of each component stays.
+    firsts = found.where("doc_id = component_id")
+    crowded = firsts.groupBy("root").count().where("count > 1").select(F.col("root").alias("_root"))
+    repeated = materialise(firsts.join(crowded, F.col("root") == F.col("_root")).select(*keys, F.col("root").alias("_of")).distinct(), "repeated-ids")
+    once = left.join(repeated, same, "left_anti").select("row")
+    again = left.join(repeated, same).dropDuplicates(["_of"]).select("row")
     return once.union(again).select("row.*")

@@ -231,6 +231,20 @@ def test_simhash_defined_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_rows_and_not_ids(spark):
+    random.seed(3)
+    one, two, three, four = (" ".join(random.choices("abcdefghij", k=60)) for _ in range(4))
+    rows = [(1, one), (None, one), (None, two), (None, two), (None, None), (5, three), (5, four), (6, three), (4, four), (8, "x y"), (8, "x\ty"), (8, "z"), (8, "z")]
+    distances = [bin(brute.simhash(a) ^ brute.simhash(b)).count("1") for a, b in ((one, two), (one, three), (one, four), (two, three), (two, four), (three, four))]
+    assert min(distances) > 4
+    docs = frame(spark, rows).repartition(3)
+    left = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+    # Null rows go only with their own text; (5, four) goes with 4, (5, three) stays.
+    apart = sorted(((i or 0, t or "") for i, t in left if t not in ("x y", "x\ty")))
+    assert apart == sorted([(1, one), (0, two), (0, two), (0, ""), (5, three), (4, four), (8, "z")])
+    assert sum(t in ("x y", "x\ty") for _, t in left) == 1
+
+
 def test_mixing_meets_every_target(spark, documents):
     got = mixing.mix(documents).collect()
     sizes, taken = {}, {}
