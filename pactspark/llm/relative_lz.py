@@ -1,4 +1,7 @@
-r"""Substring deduplication by relative Lempel-Ziv parsing of the corpus against itself.
+r"""Substring deduplication by hashing windows within blocks of one anchor.
+
+No Lempel-Ziv factoring takes place: no source, longest match or extension is computed;
+"factors" below are copies that stand side by side, joined afterwards.
 
 A window is ``WINDOW`` consecutive words of one document; it is a copy if its word
 sequence also starts earlier in the corpus (smaller doc_id, or same document and earlier
