@@ -130,9 +130,10 @@ class TextIndex:
     def _starts(self, target: str) -> list[int]:
         """Where a window like ``target`` may start, by every piece of it that the text holds.
 
-        The target is cut into short pieces. A window that is like enough leaves one of
-        them unchanged, within ``FUZZY_ALIGN`` characters of its place, wherever the
-        changes are; no occurrence is passed over.
+        The target is cut into pieces of ``FUZZY_SEED`` characters. A window is tried if
+        one of them stands in it unchanged, within ``FUZZY_ALIGN`` characters of its
+        place. A window with a change in every piece is passed over, though it may be
+        like enough: with one change a piece, up to a likeness of 5 in 6.
         """
         found: set[int] = set()
         last = len(self.spaced) - len(target)
