@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm import chat, exact_exchange, mixing, packing, pii, quality, relative_lz, simhash, toxicity, warc
+from pactspark.llm import chat, exact_exchange, fill_middle, hard_negatives, mixing, packing, pii, quality, relative_lz, simhash, token_files, toxicity, warc
 from pactspark.llm.common import table
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -127,6 +127,57 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor and positive."""
+    label = F.col("label").cast("bigint")
+    moved = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (label + 1) % 10).otherwise(label)
+    vectors = table(spark, sf_dir, "embeddings").where(hard_negatives.usable(F.col("label"), F.col("embedding")))
+    vectors = vectors.select(F.col("vec_id").alias("id"), moved.alias("label"), hard_negatives.cells(F.col("embedding")).alias("cells"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+OP11_SQL = """
+WITH u AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(e AS DOUBLE) FOR e IN embedding] AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0),
+v AS (SELECT vec_id, label, [floor(256 * y) FOR y IN x] AS c FROM u),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.c, b.c) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to shards and read back."""
+    return token_files.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's transformed text and the text restored from it."""
+    back = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT *, len(lines) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, coalesce(array_to_string(lines[1:a], ''), '') AS prefix, coalesce(array_to_string(lines[a + 1:b], ''), '') AS middle, coalesce(array_to_string(lines[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat, op2_packing, op3_toxicity, op4_quality, op5_relative_lz, op6_exact_exchange, op7_mixing, op8_warc, op9_simhash, op10_pii)}
-SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op5_relative_lz": OP5_SQL, "op6_exact_exchange": OP6_SQL, "op8_warc": OP8_SQL}
+    f.__name__: f for f in (op1_chat, op2_packing, op3_toxicity, op4_quality, op5_relative_lz, op6_exact_exchange, op7_mixing, op8_warc, op9_simhash, op10_pii,
+                               op11_hard_negatives, op12_token_files, op13_fill_middle)}
+SQL: dict[str, str] = {"op1_chat": OP1_SQL, "op5_relative_lz": OP5_SQL, "op6_exact_exchange": OP6_SQL, "op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL,
+                       "op13_fill_middle": OP13_SQL}
