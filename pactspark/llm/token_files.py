@@ -14,15 +14,18 @@ Shards hold documents in ascending doc_id order, one after the other; the ranks'
 one file of u32 beside them. The reader looks up a control byte's four lengths in a table
 of 256 rows, sums them to places, and cuts each value out of four bytes by a mask.
 
-Texts are read once: ids are written to the shared folder, counted there, and only they
-are range-shuffled by (doc_id, hash of the text, row), so that repeated ids split too.
+Texts are read once: ids are written to the shared folder, in two bytes where they fit, and
+counted there; what is range-shuffled by (doc_id, hash of the text, row), so that repeated
+ids split too, is the coded ranks.
 A task writes shards of about ``SHARD_BYTES`` under names of its attempt; what is listed
 is what finished attempts return, so lost tasks leave nothing that is read.
 
-The tokenizer works word by word: a text is cut where a piece of its pattern begins for
-certain (before a blank that a letter follows, between a letter and a closing mark), and
-the ids of a cut are kept per worker, ``KEPT`` cuts and one batch's at most, so that the library meets each
-distinct word about once. Texts that hold an added token go to the library whole.
+The tokenizer's pattern begins a piece at every blank that no white space follows, so a
+text is cut there, and the ids of a cut are kept per worker (``KEPT`` cuts and one batch's
+at most): the library meets each distinct word about once. New cuts go to it joined by line
+feeds, which are pieces of their own between cuts that do not end in white space; where
+the ids of a cut end follows from the tokens' lengths. Texts that hold an added token go to
+the library whole.
 
 Defined cases: a null text is empty and yields the closing id; null doc_ids come last; of
 equal doc_ids the order is by a hash of the text, and equal rows are interchangeable;
@@ -51,10 +54,10 @@ MAGIC = b"TOKRANK1"
 SHARD_BYTES = 64 << 20
 #: Ids that the reader decodes at a time.
 DECODED = 1 << 20
-#: Cuts whose ids a task keeps, and the longest such cut.
-KEPT, KEPT_CHARS = 1_000_000, 48
-#: Where a piece of the byte-level pattern begins for certain.
-CUT = re.compile(r"(?= \w)|(?<=[A-Za-z0-9À-ÖØ-öø-ɏ])(?=[.,;:!?()\n])")
+#: Cuts whose ids a worker keeps, the longest such cut, and cuts that go to the library at a time.
+KEPT, KEPT_CHARS, JOINED = 1_200_000, 48, 256
+#: A blank before which no piece of the pattern need begin, and one before which it does.
+WITHIN, CUT = re.compile(r" (?=\s|\Z)"), re.compile(r"(?= \S)")
 
 _SLOTS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3
 #: The four lengths of each control byte.
@@ -75,27 +78,85 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     # This function travels by value, so what the tasks of one worker share must hang on a module that they import.
     workers = vars(tokenizers).setdefault("_pactspark_encoders", {})
     if path not in workers:
-        workers[path] = tokenizers.Tokenizer.from_file(path), {}
-    tokenizer, kept = workers[path]
-    added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-
-    def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            sizes[i] = len(token)  # a character for each byte
+        added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+        workers[path] = tokenizer, sizes, added, {}, {}
+    tokenizer, sizes, added, first, later = workers[path]
+
+    def singly(cuts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
+
+    def ids_of(cuts: list[str]) -> list[bytes]:
+        """The ids of cuts that neither begin with a line feed nor end in white space."""
+        out: list[bytes] = []
+        groups = [cuts[i:i + JOINED] for i in range(0, len(cuts), JOINED)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            token_ends = np.cumsum(sizes[ids])
+            ends = np.cumsum([len(c.encode()) + 1 for c in group]) - 1
+            last = np.searchsorted(token_ends, ends)
+            last = np.minimum(last, max(len(ids) - 1, 0))
+            if len(ids) and (token_ends[last] == ends).all():
+                begin = np.append(0, last[:-1] + 2)  # after the line feed
+                out += [ids[i:j + 1].tobytes() for i, j in zip(begin, last)]
+            else:
+                out += singly(group)
+        return out
+
+    def learn(known: dict[str, bytes], new: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of cuts that ``known`` lacks; short ones are kept there."""
+        odd = [c for c in new if c.strip() != c]
+        plain = [c for c in new if c and c.strip() == c] if odd or "" in new else new
+        found = dict(zip(plain + odd, ids_of([lead + c for c in plain]) + singly([lead + c for c in odd])))
+        known.update((c, b) for c, b in found.items() if len(c) <= KEPT_CHARS)
+        return found | {"": b""}
 
     def run(texts: list[str]) -> list[bytes]:
-        pieces = [[t] if any(a in t for a in added) else CUT.split(t) for t in texts]
-        if len(kept) > KEPT:
-            kept.clear()
-        new = [p for p in set().union(*pieces) if p not in kept]
-        found = dict(zip(new, ids(new)))
-        kept.update((p, b) for p, b in found.items() if len(p) <= KEPT_CHARS)
-        return [b"".join([kept.get(p) or found.get(p, b"") for p in each]) for each in pieces]
+        for known in (first, later):
+            if len(known) > KEPT:
+                known.clear()
+        whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+        taken = set(whole)
+        cuts: list[list[str]] = []
+        for i, t in enumerate(texts):
+            if i in taken:
+                cuts.append([""])
+            elif WITHIN.search(t):
+                head, *rest = CUT.split(t)
+                cuts.append(["", head[1:], *(c[1:] for c in rest)] if CUT.match(head) else [head, *(c[1:] for c in rest)])
+            else:
+                cuts.append(t.split(" "))
+        heads = learn(first, [c for c in {c[0] for c in cuts} if c not in first], "")
+        rows = [list(map(later.get, c[1:])) for c in cuts]
+        new = {x for c, row in zip(cuts, rows) if None in row for x, b in zip(c[1:], row) if b is None}
+        others = learn(later, list(new), " ")
+        out = []
+        for c, row in zip(cuts, rows):
+            if None in row:
+                row = [others[x] if b is None else b for x, b in zip(c[1:], row)]
+            head = first.get(c[0])
+            out.append((heads[c[0]] if head is None else head) + b"".join(row))
+        for i, b in zip(whole, singly([texts[i] for i in whole])):
+            out[i] = b
+        return out
 
     return run
 
 
+def short(ids: np.ndarray) -> bytes:
+    return ids.astype("<u2" if ids.max(initial=0) < 65_536 else "<u4").tobytes()
+
+
+def long(ids: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(ids, dtype="<u2" if ids.size == 2 * n else "<u4")
+
+
 def tokens(docs: DataFrame, tokenizer: str | None = None, closing_id: int = CLOSING_ID) -> DataFrame:
-    """(doc_id, tie, ids) of every row; ``ids`` little-endian unsigned 32-bit integers in bytes."""
+    """(doc_id, tie, n, ids) of every row; ``ids`` little-endian unsigned integers in bytes, all of two or all of four."""
     path = tokenizer or tokenizer_file()
     closing = np.array([closing_id], dtype="<u4").tobytes()
 
@@ -103,10 +164,12 @@ def tokens(docs: DataFrame, tokenizer: str | None = None, closing_id: int = CLOS
         encode = encoder(path)
         for batch in batches:
             for part, texts in text_slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array([b + closing for b in encode(texts)], pa.binary())], ["doc_id", "tie", "ids"])
+                ids = [np.frombuffer(b + closing, dtype="<u4") for b in encode(texts)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array([len(i) for i in ids], pa.int32()),
+                                                  pa.array([short(i) for i in ids], pa.binary())], ["doc_id", "tie", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("tie"), no_text(F.col("text")).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, tie bigint, ids binary")
+    return rows.mapInArrow(run, "doc_id bigint, tie bigint, n int, ids binary")
 
 
 def ranked(encoded: DataFrame) -> np.ndarray:
@@ -115,15 +178,15 @@ def ranked(encoded: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column("ids"):
-                more = np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u4"))
+            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids")):
+                more = np.bincount(long(ids.as_buffer(), n))
                 if len(more) > len(counts):
                     counts = np.append(counts, np.zeros(len(more) - len(counts), dtype=np.int64))
                 counts[: len(more)] += more
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
 
-    counts = encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("n", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return counts.orderBy(F.desc("n"), "id").toPandas()["id"].to_numpy().astype("<u4")
 
 
@@ -198,6 +261,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(rank_of)  # a number per id of the vocabulary
 
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [pack(shared.value[long(ids.as_buffer(), n)]) for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids"))]
+            both = [pa.array(c, pa.binary()) for c in (zip(*pairs) if pairs else ((), ()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tie", "row", "n")), *both], ["doc_id", "tie", "row", "n", "control", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
         part = TaskContext.get().partitionId()
@@ -216,10 +285,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
 
         size = 0
         for batch in batches:
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                ranks = shared.value[np.frombuffer(ids.as_buffer(), dtype="<u4")]
-                control, data = pack(ranks)
-                for column, value in zip(held, (doc_id, len(ranks), control, data)):
+            for doc_id, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data"))):
+                for column, value in zip(held, (doc_id, n, control, data)):
                     column.append(value)
                 size += len(control) + len(data) + 17
                 if size >= shard_bytes:
@@ -231,8 +298,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [()] * 6, types)], ["path", "part", "place", "documents", "ids", "bytes"])
 
     by = [F.asc_nulls_last("doc_id"), F.asc("tie"), F.asc("row")]
-    dealt = encoded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
-    listed = materialise(dealt.select("doc_id", "ids").mapInArrow(run, "path string, part bigint, place bigint, documents bigint, ids bigint, bytes bigint"), "token-shards")
+    ranks = encoded.withColumn("row", F.monotonically_increasing_id()).mapInArrow(coded, "doc_id bigint, tie bigint, row bigint, n int, control binary, data binary")
+    dealt = ranks.repartitionByRange(*by).sortWithinPartitions(*by)
+    listed = materialise(dealt.select("doc_id", "n", "control", "data").mapInArrow(run, "path string, part bigint, place bigint, documents bigint, ids bigint, bytes bigint"), "token-shards")
     return running_sum(listed, [], F.floor(F.col("part") / 256), [F.col("part"), F.col("place")], {"start": F.col("ids")})
 
 
