@@ -15,8 +15,8 @@ one file of u32 beside them. The reader looks up a control byte's four lengths i
 of 256 rows, sums them to places, and cuts each value out of four bytes by a mask.
 
 Texts are read once: ids are written to the shared folder, in two bytes where they fit, and
-counted there; what is range-shuffled by (doc_id, hash of the text, row), so that repeated
-ids split too, is the coded ranks.
+counted there, and only they are range-shuffled by (doc_id, hash of the text, row), so that
+repeated ids split too.
 A task writes shards of about ``SHARD_BYTES`` under names of its attempt; what is listed
 is what finished attempts return, so lost tasks leave nothing that is read.
 
@@ -75,45 +75,58 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids, each text's as little-endian unsigned 32-bit integers."""
     import tokenizers
 
+    class Known(dict):
+        """Ids of cuts; what is looked up in vain is noted."""
+
+        def __init__(self) -> None:
+            super().__init__()
+            self.wanted: list[str] = []
+
+        def __missing__(self, cut: str) -> None:
+            self.wanted.append(cut)
+
     # This function travels by value, so what the tasks of one worker share must hang on a module that they import.
     workers = vars(tokenizers).setdefault("_pactspark_encoders", {})
     if path not in workers:
         tokenizer = tokenizers.Tokenizer.from_file(path)
+        getattr(tokenizer.model, "_resize_cache", lambda size: None)(0)  # each word comes once
         vocabulary = tokenizer.get_vocab(with_added_tokens=False)
         sizes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             sizes[i] = len(token)  # a character for each byte
         added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-        workers[path] = tokenizer, sizes, added, {}, {}
+        workers[path] = tokenizer, sizes, added, Known(), Known()
     tokenizer, sizes, added, first, later = workers[path]
 
     def singly(cuts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
 
     def ids_of(cuts: list[str]) -> list[bytes]:
-        """The ids of cuts that neither begin with a line feed nor end in white space."""
+        """The ids of cuts that neither begin nor end in white space, but for one blank at the front."""
         out: list[bytes] = []
         groups = [cuts[i:i + JOINED] for i in range(0, len(cuts), JOINED)]
         for group, e in zip(groups, tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             token_ends = np.cumsum(sizes[ids])
             ends = np.cumsum([len(c.encode()) + 1 for c in group]) - 1
-            last = np.searchsorted(token_ends, ends)
-            last = np.minimum(last, max(len(ids) - 1, 0))
+            last = np.minimum(np.searchsorted(token_ends, ends), max(len(ids) - 1, 0))
             if len(ids) and (token_ends[last] == ends).all():
-                begin = np.append(0, last[:-1] + 2)  # after the line feed
-                out += [ids[i:j + 1].tobytes() for i, j in zip(begin, last)]
+                held = ids.tobytes()
+                stops = (last * 4 + 4).tolist()
+                out += [held[i:j] for i, j in zip([0, *(j + 4 for j in stops[:-1])], stops)]  # a line feed lies between
             else:
                 out += singly(group)
         return out
 
-    def learn(known: dict[str, bytes], new: list[str], lead: str) -> dict[str, bytes]:
-        """Ids of cuts that ``known`` lacks; short ones are kept there."""
-        odd = [c for c in new if c.strip() != c]
-        plain = [c for c in new if c and c.strip() == c] if odd or "" in new else new
-        found = dict(zip(plain + odd, ids_of([lead + c for c in plain]) + singly([lead + c for c in odd])))
-        known.update((c, b) for c, b in found.items() if len(c) <= KEPT_CHARS)
-        return found | {"": b""}
+    def learn(known: Known, lead: str) -> list[str]:
+        """Look up what was wanted; returns the cuts that are too long to be kept."""
+        new = list(set(known.wanted))
+        known.wanted.clear()
+        odd = [c for c in new if c.strip() != c or not c]
+        plain = [c for c in new if c and c.strip() == c] if odd else new
+        known.update(zip(plain, ids_of([lead + c for c in plain])))
+        known.update(zip(odd, singly([lead + c if c else "" for c in odd])))
+        return [c for c in new if len(c) > KEPT_CHARS]
 
     def run(texts: list[str]) -> list[bytes]:
         for known in (first, later):
@@ -121,25 +134,31 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 known.clear()
         whole = [i for i, t in enumerate(texts) if any(a in t for a in added)]
         taken = set(whole)
-        cuts: list[list[str]] = []
+        heads, rests = [], []
         for i, t in enumerate(texts):
             if i in taken:
-                cuts.append([""])
+                head, rest = "", []
             elif WITHIN.search(t):
                 head, *rest = CUT.split(t)
-                cuts.append(["", head[1:], *(c[1:] for c in rest)] if CUT.match(head) else [head, *(c[1:] for c in rest)])
+                rest = [c[1:] for c in rest]
             else:
-                cuts.append(t.split(" "))
-        heads = learn(first, [c for c in {c[0] for c in cuts} if c not in first], "")
-        rows = [list(map(later.get, c[1:])) for c in cuts]
-        new = {x for c, row in zip(cuts, rows) if None in row for x, b in zip(c[1:], row) if b is None}
-        others = learn(later, list(new), " ")
-        out = []
-        for c, row in zip(cuts, rows):
-            if None in row:
-                row = [others[x] if b is None else b for x, b in zip(c[1:], row)]
-            head = first.get(c[0])
-            out.append((heads[c[0]] if head is None else head) + b"".join(row))
+                head, *rest = t.split(" ")
+            heads.append(head)
+            rests.append(rest)
+        get, get_first = later.__getitem__, first.__getitem__
+        rows = [list(map(get, r)) for r in rests]
+        starts = list(map(get_first, heads))
+        if first.wanted:
+            long = learn(first, "")
+            starts = list(map(get_first, heads))
+            for c in long:
+                del first[c]
+        if later.wanted:
+            long = learn(later, " ")
+            rows = [list(map(get, r)) if None in row else row for r, row in zip(rests, rows)]
+            for c in long:
+                del later[c]
+        out = [b"".join([s, *row]) for s, row in zip(starts, rows)]
         for i, b in zip(whole, singly([texts[i] for i in whole])):
             out[i] = b
         return out
@@ -261,12 +280,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(rank_of)  # a number per id of the vocabulary
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [pack(shared.value[long(ids.as_buffer(), n)]) for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids"))]
-            both = [pa.array(c, pa.binary()) for c in (zip(*pairs) if pairs else ((), ()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "tie", "row", "n")), *both], ["doc_id", "tie", "row", "n", "control", "data"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
         part = TaskContext.get().partitionId()
@@ -285,7 +298,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
 
         size = 0
         for batch in batches:
-            for doc_id, n, control, data in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "control", "data"))):
+            for doc_id, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
+                control, data = pack(shared.value[long(ids.as_buffer(), n)])
                 for column, value in zip(held, (doc_id, n, control, data)):
                     column.append(value)
                 size += len(control) + len(data) + 17
@@ -298,9 +312,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [()] * 6, types)], ["path", "part", "place", "documents", "ids", "bytes"])
 
     by = [F.asc_nulls_last("doc_id"), F.asc("tie"), F.asc("row")]
-    ranks = encoded.withColumn("row", F.monotonically_increasing_id()).mapInArrow(coded, "doc_id bigint, tie bigint, row bigint, n int, control binary, data binary")
-    dealt = ranks.repartitionByRange(*by).sortWithinPartitions(*by)
-    listed = materialise(dealt.select("doc_id", "n", "control", "data").mapInArrow(run, "path string, part bigint, place bigint, documents bigint, ids bigint, bytes bigint"), "token-shards")
+    dealt = encoded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    listed = materialise(dealt.select("doc_id", "n", "ids").mapInArrow(run, "path string, part bigint, place bigint, documents bigint, ids bigint, bytes bigint"), "token-shards")
     return running_sum(listed, [], F.floor(F.col("part") / 256), [F.col("part"), F.col("place")], {"start": F.col("ids")})
 
 
