@@ -3,7 +3,10 @@ r"""Personal data: patterns propose spans, checksums confirm them, words nearby
 Everything is built-in expressions on the row; no shuffle and no Python. A pattern's
 matches and the pieces between them give all places in two passes over the text, each
 pattern only where a character that it needs is in the text. The patterns are written so
-that a run is entered at its start only, without backtracking over long runs.
+that a run is entered at its start only, without backtracking over long runs. A text with
+matches is also cut into blocks of ``BLOCK`` characters, out of which the neighbourhood of
+a match is taken, and results are gathered ``CHUNK`` at a time, so that the time grows
+with the text and not with its product with the matches.
 
 Base kinds (always reported): email; ip, parts at most 255; card, 12 to 19 digits passing
 Luhn; phone, 9 to 15 digits. Further kinds: iban, confirmed by the remainder modulo 97, and
@@ -28,6 +31,8 @@ from pactspark.llm.common import no_text
 
 NEAR = 40
 MIN_SCORE = 0.6
+BLOCK = 512
+CHUNK = 128
 
 LOCAL, DOMAIN = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 #: Kind, pattern, a pattern that the text must hold for it, weight of the pattern, of its
@@ -95,20 +100,46 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 CONTEXT_WEIGHT = 0.3
 
 
+def gathered(items: Column, start: Column, none: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """A fold over ``items`` that keeps what it makes; ``step(at, item)`` is a struct of the next ``at`` and ``made``, an array.
+
+    What a chunk makes is gathered on its own, for appending copies the whole array.
+    """
+
+    def add(state: Column, item: Column) -> Column:
+        return let(step(state["at"], item), lambda s: F.struct(s["at"].alias("at"), F.concat(state["made"], s["made"]).alias("made")))
+
+    def chunk(state: Column, place: Column) -> Column:
+        part = F.aggregate(F.slice(items, place, F.lit(CHUNK)), F.struct(state["at"].alias("at"), none.alias("made")), add)
+        return let(part, lambda p: F.struct(p["at"].alias("at"), F.concat(state["made"], F.array(p["made"])).alias("made")))
+
+    first = F.struct(start.alias("at"), F.slice(F.array(none), 1, 0).alias("made"))
+    return F.when(F.size(items) == 0, none).otherwise(F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(items), F.lit(CHUNK)), first, chunk, lambda s: s["made"])))
+
+
+def blocks(text: Column) -> Column:
+    """The text in pieces of ``BLOCK`` characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def taken(pieces: Column, start: Column, length: Column) -> Column:
+    """Characters from the 0-based ``start`` out of the pieces of a text."""
+    first = F.floor(start / BLOCK).cast("int")
+    last = F.floor((start + length) / BLOCK).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * BLOCK + 1, length)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """[(start, end, text)] of the pattern's matches, leftmost first, without overlap."""
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.char_length(pair["gap"])
-        end = start + F.char_length(pair["hit"])
-        return F.struct(end.alias("at"), F.concat(s["found"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("match")))).alias("found"))
+    def step(at: Column, pair: Column) -> Column:
+        start = at + F.char_length(pair["gap"])
+        return let(F.struct(start.alias("start"), (start + F.char_length(pair["hit"])).alias("end"), pair["hit"].alias("match")), lambda m: F.struct(m["end"].alias("at"), F.array(m).alias("made")))
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(hits, lambda h: F.when(F.size(h) == 0, empty).otherwise(F.aggregate(
-        F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(h)), h, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))),
-        state, step, lambda s: s["found"])))
+    pairs = lambda h: F.zip_with(F.slice(F.split(text, pattern), F.lit(1), F.size(h)), h, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
+    return let(hits, lambda h: F.when(F.size(h) == 0, empty).otherwise(let(pairs(h), lambda p: gathered(p, F.lit(0), empty, step))))
 
 
 def account_numbers(text: Column) -> Column:
@@ -132,9 +163,16 @@ def account_numbers(text: Column) -> Column:
             head["start"].alias("start"), (head["start"] - e["n"]).alias("end"), F.substring(v["b"], F.lit(1), -e["n"]).alias("match"))), 0))
 
     none = F.array().cast(kind)
-    apart = lambda found, m: F.when(F.coalesce(m["start"] >= F.get(found, F.size(found) - 1)["end"], F.lit(True)), F.concat(found, F.array(m))).otherwise(found)
-    return let(matches(text, IBAN), lambda heads: F.when(F.size(heads) == 0, none).otherwise(F.aggregate(F.filter(
-        F.transform(heads, lambda h: let(F.substring(text, h["start"] + 1, F.lit(65)), lambda behind: ended(h, behind))), lambda m: m["end"].isNotNull()), none, apart)))
+
+    def apart(at: Column, m: Column) -> Column:
+        free = m["start"] >= at
+        return F.struct(F.when(free, m["end"]).otherwise(at).alias("at"), F.when(free, F.array(m)).otherwise(none).alias("made"))
+
+    def found(heads: Column) -> Column:
+        ends = let(blocks(text), lambda pieces: F.transform(heads, lambda h: let(taken(pieces, h["start"], F.lit(65)), lambda behind: ended(h, behind))))
+        return let(F.filter(ends, lambda m: m["end"].isNotNull()), lambda proven: gathered(proven, F.lit(0), none, apart))
+
+    return let(matches(text, IBAN), lambda heads: F.when(F.size(heads) == 0, none).otherwise(found(heads)))
 
 
 def spans_of(kind: str, order: int, text: Column) -> Column:
@@ -142,17 +180,17 @@ def spans_of(kind: str, order: int, text: Column) -> Column:
     pattern, needs, check, weight, checksum = KINDS[kind]
     kept = account_numbers(text) if kind == "iban" else F.filter(matches(text, pattern), lambda m: check(m["match"]))
 
-    def scored(m: Column) -> Column:
+    def scored(pieces: Column, m: Column) -> Column:
         from_ = F.greatest(m["start"] - NEAR, F.lit(0))
-        around = F.concat_ws(" ", F.substring(text, from_ + 1, m["start"] - from_), F.substring(text, m["end"] + 1, F.lit(NEAR)))
+        around = F.concat_ws(" ", taken(pieces, from_, m["start"] - from_), taken(pieces, m["end"], F.lit(NEAR)))
         near = F.when(around.rlike(rf"(?i)\b(?:{CONTEXT[kind]})"), CONTEXT_WEIGHT).otherwise(0.0)
         score = F.least(F.lit(1.0), F.lit(weight + checksum) + near)
         return F.struct(m["start"].alias("start"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), m["end"].alias("end"), score.alias("score"))
 
-    found = F.transform(kept, scored)
+    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,score:double>>")
+    found = let(kept, lambda ms: F.when(F.size(ms) == 0, none).otherwise(let(blocks(text), lambda pieces: F.transform(ms, lambda m: scored(pieces, m)))))
     if kind not in BASE_KINDS:
         found = F.filter(found, lambda s: s["score"] >= MIN_SCORE)
-    none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int,score:double>>")
     return F.when(F.contains(text, F.lit(needs)), found).otherwise(none) if needs else found
 
 
@@ -169,7 +207,11 @@ def written(spans: Column) -> Column:
 
 def redacted(found: DataFrame) -> DataFrame:
     """Adds ``redacted``: the text with every span replaced by its kind in brackets; of overlapping spans the first."""
-    step = lambda s, p: F.when(p["start"] < s["at"], s).otherwise(F.struct(
-        p["end"].alias("at"), F.concat(s["done"], F.substring(s["text"], s["at"] + 1, p["start"] - s["at"]), F.lit("["), p["kind"], F.lit("]")).alias("done"), s["text"].alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"), F.col("text").alias("text"))
-    return found.withColumn("redacted", F.aggregate("spans", start, step, lambda s: F.concat(s["done"], F.substring(s["text"], s["at"] + 1, F.char_length(s["text"])))))
+    def step(pieces: Column):
+        return lambda at, p: F.struct(F.when(p["start"] < at, at).otherwise(p["end"]).alias("at"), F.when(p["start"] < at, none).otherwise(F.array(taken(pieces, at, p["start"] - at), F.concat(F.lit("["), p["kind"], F.lit("]")))).alias("made"))
+
+    none = F.array().cast("array<string>")
+    closed = F.concat("spans", F.array(F.struct(F.char_length("text").alias("start"), F.lit(None).cast("int").alias("order"), F.lit(None).cast("string").alias("kind"),
+                                                F.char_length("text").alias("end"), F.lit(None).cast("double").alias("score"))))
+    return found.withColumn("redacted", F.when(F.size("spans") == 0, F.col("text")).otherwise(
+        let(closed, lambda spans: let(blocks(F.col("text")), lambda pieces: F.array_join(gathered(spans, F.lit(0), none, step(pieces)), "")))))

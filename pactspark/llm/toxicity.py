@@ -6,13 +6,16 @@ not, hashed to ``BUCKETS``. Each is scaled by its log-count ratio
     r = log((p / |p|) / (q / |q|)),   p, q = texts of either class with it, plus 1
 
 and a logistic regression with an L2 penalty on the scaled features gives the score.
-Only n-grams whose shares in the classes differ by ``MIN_Z`` standard errors are used,
-``MAX_FEATURES`` at most.
+Only n-grams whose shares in the classes differ by ``MIN_Z`` standard errors are used. An
+n-gram lies inside one text and the delimiter behind it, so a score depends on its own
+text alone.
 
 Training sees labelled rows outside the held-out fold, ``MAX_PER_CLASS`` of each class
-at most, the ones with the smallest hash of their id. Counting is a Spark job; what
-reaches the driver is the feature table and, per training row, the numbers of the
-features that it has: both bounded by these parameters, not by the corpus. Scoring is
+at most, the ones with the smallest hash of their id; of several rows with one id the
+text that comes first is read. The sampled texts are written once. Counting is a Spark
+job; what reaches the driver is the feature table, an entry per bucket at most, and, per
+training row, the numbers of the features that it has: both bounded by these parameters,
+not by the corpus. Scoring is
 one pass over the whole texts with a table of fixed size.
 
 Defined cases: null and blank texts get the score of a text without features; a missing
@@ -34,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactspark.llm.common import text_slices, whole
+from pactspark.session import materialise
 
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 MAX_PER_CLASS = 4_000
-MAX_FEATURES = 4_096
 MIN_Z = 4.0
 THRESHOLD = 0.7
 PENALTY = 0.02
@@ -46,8 +49,8 @@ ROUNDS = 400
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
-#: Longer than any n-gram, so that none spans two texts.
-GAP = "\0" * 8
+#: Closes each text.
+DELIMITER = "\0"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -57,16 +60,19 @@ def held_out(doc_id: Column) -> Column:
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, bucket) of every n-gram, one pair of arrays per order."""
     lowered = [t.lower() for t in texts]
-    points = np.frombuffer((GAP.join(lowered) + GAP).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    owner = np.repeat(np.arange(len(lowered), dtype=np.int32), [len(t) + len(GAP) for t in lowered])
+    points = np.frombuffer("".join(t + DELIMITER for t in lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) + 1 for t in lowered], dtype=np.int64)
+    owner = np.repeat(np.arange(len(lowered), dtype=np.int32), sizes)
     n = len(points)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(n)  # code points from here to the end of the own text
     shrink = np.cumprod(np.full(n, BASE_INVERSE, dtype=np.uint64)) * np.uint64(BASE)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((points + np.uint64(1)) * (np.cumprod(np.full(n, BASE, dtype=np.uint64)) * np.uint64(BASE_INVERSE)), out=sums[1:])
     for order in ORDERS:
         x = (sums[order:] - sums[:-order]) * shrink[: n + 1 - order] + np.uint64(order)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        yield owner[: len(x)], (x >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        own = left[: len(x)] >= order
+        yield owner[: len(x)][own], (x[own] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
 
 
 def present(texts: list[str], slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +108,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_P
     order = F.xxhash64(F.lit(11), "doc_id")
     sample = known.where("label = 1").orderBy(order, "doc_id").limit(max_per_class).union(known.where("label = 0").orderBy(order, "doc_id").limit(max_per_class))
     # At most twice max_per_class rows of two numbers: small whatever the corpus.
-    return docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("_id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -129,7 +136,7 @@ def counted(rows: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Model:
     """The model; see the module for what bounds it."""
-    rows = training_rows(docs, labels, max_per_class)
+    rows = materialise(training_rows(docs, labels, max_per_class), "training-rows")
     counts = counted(rows).persist()
     try:
         total = counts.where("bucket = -1").first()
@@ -141,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
         share = (F.col("p") + F.col("q")) / (positive + negative)
         error = F.sqrt(share * (1 - share) * (1 / positive + 1 / negative)) + 1e-9
         z = F.abs(F.col("p") / positive - F.col("q") / negative) / error
-        chosen = counts.where("bucket >= 0").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(MAX_FEATURES).toPandas()
+        chosen = counts.where("bucket >= 0").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").toPandas()
     finally:
         counts.unpersist()
     if chosen.empty:

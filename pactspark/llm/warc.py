@@ -3,7 +3,17 @@ r"""WARC archives: written record by record, read sequentially.
 Each record is a gzip member of its own. The reader feeds small pieces of a file to a
 zlib decompressor, frames each record by its Content-Length, never holds more than a
 record, checks that nothing follows the frame but its two line breaks, and verifies
-block and payload digests.
+block and payload digests. An archive that ends inside a record raises, wherever it was
+cut, and so does one that is no gzip file or no WARC file.
+
+Archives of other writers are read too: every record type comes back with its own
+``record_type``; record ids of any form stand in ``record_id`` and ``refers_to_id``, while
+``page_id`` and ``refers_to`` are set only for ids of our own form; digests are verified
+where they are given and their algorithm is known (hexadecimal or base32); a chunked body
+is put together, and its digest may be of either form; the payload of a record that holds
+no HTTP message is its block; a record marked as truncated may be shorter than its HTTP
+length. ``payload_digest`` is the SHA-256 of the payload where there is one, else what the
+record states.
 
 Writing: of rows with equal payloads of at least ``MIN_PAYLOAD`` bytes, the one with the
 smallest page_id is a response; the others are revisits, which carry the HTTP head (with
@@ -22,6 +32,7 @@ responses; an empty table gives one empty list of archives.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -71,44 +82,87 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 def members(file: BinaryIO, read_bytes: int = READ_BYTES) -> Iterator[bytes]:
     """The gzip members of a file, one after the other, decompressed piece by piece."""
-    unpack, parts, rest = zlib.decompressobj(31), [], b""
-    while True:
-        piece = rest or file.read(read_bytes)
-        if not piece:
-            break
-        parts.append(unpack.decompress(piece))
-        rest = unpack.unused_data
+    unpack, parts, rest, begun = zlib.decompressobj(31), [], b"", False
+    while piece := rest or file.read(read_bytes):
+        try:
+            parts.append(unpack.decompress(piece))
+        except zlib.error as error:
+            raise ValueError(f"not a gzip member: {error}") from error
+        begun, rest = True, unpack.unused_data
         if unpack.eof:
             yield b"".join(parts)
-            unpack, parts = zlib.decompressobj(31), []
-    if any(parts):
+            unpack, parts, begun = zlib.decompressobj(31), [], False
+    if begun:
         raise ValueError("the archive ends inside a record")
 
 
 def headers(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")[1:]
+    """Names in lower case; a line that begins with a blank continues the one before."""
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8", "surrogateescape")).split("\r\n")[1:]
     return {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
 
 
+def count_of(value: str | None) -> int | None:
+    return int(value) if value is not None and re.fullmatch("[0-9]+", value) else None
+
+
+def agrees(stated: str, *contents: bytes) -> bool:
+    """Whether a stated digest (``algorithm:value``) is that of one of the contents; an unknown algorithm is taken on trust."""
+    algorithm, _, value = stated.partition(":")
+    algorithm = algorithm.lower().replace("-", "")
+    if algorithm not in hashlib.algorithms_guaranteed or algorithm.startswith("shake"):
+        return True
+    digests = [hashlib.new(algorithm, c).digest() for c in contents]
+    return value.lower() in {d.hex() for d in digests} or value.upper().rstrip("=") in {base64.b32encode(d).decode().rstrip("=") for d in digests}
+
+
+def unchunked(body: bytes) -> bytes | None:
+    """A chunked body put together, or None where its framing is wrong."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = re.match(rb"\s*([0-9A-Fa-f]{1,15})\s*(?:;|$)", body[at:end]) if end >= 0 else None
+        if not size:
+            return None
+        n, at = int(size[1], 16), end + 2
+        if not n:
+            return b"".join(parts)
+        if body[at + n:at + n + 2] != b"\r\n":
+            return None
+        parts.append(body[at:at + n])
+        at += n + 2
+
+
 def parsed(member: bytes) -> dict:
     """A record's fields; raises where framing or a digest is wrong."""
-    if not member.startswith(b"WARC/"):
+    head, end, rest = member.partition(b"\r\n\r\n")
+    if not head.startswith(b"WARC/") or not end:
         raise ValueError("not a WARC record")
-    head, _, rest = member.partition(b"\r\n\r\n")
     fields = headers(head)
-    length = int(fields["content-length"])
-    if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
-        raise ValueError(f"record {fields.get('warc-record-id')}: its length is not {length}")
+    name, length, kind = fields.get("warc-record-id"), count_of(fields.get("content-length")), fields.get("warc-type", "unknown").lower()
+    if length is None or len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
+        raise ValueError(f"record {name}: its length is not {fields.get('content-length')}")
     block = rest[:length]
-    if fields["warc-block-digest"] != "sha256:" + hashlib.sha256(block).hexdigest():
-        raise ValueError(f"record {fields.get('warc-record-id')}: block digest differs")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size, kind = int(headers(http)["content-length"]), fields["warc-type"]
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"record {fields.get('warc-record-id')}: payload differs from its digest or length")
-    return {"page_id": page_of(fields["warc-record-id"]), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest,
-            "record_type": kind, "refers_to": page_of(fields.get("warc-refers-to")), "payload": payload if kind == "response" else None}
+    if not agrees(fields.get("warc-block-digest", ""), block):
+        raise ValueError(f"record {name}: block digest differs")
+    http, size, payload, stored = {}, None, block, block
+    if fields.get("content-type", "").lower().startswith("application/http"):
+        head, _, stored = block.partition(b"\r\n\r\n")
+        http, payload = headers(head), stored
+        size = count_of(http.get("content-length"))
+        if "chunked" in http.get("transfer-encoding", "").lower():
+            whole = unchunked(stored)
+            payload, size = (stored if whole is None else whole), None
+    held = kind != "revisit"
+    stated = fields.get("warc-payload-digest")
+    if held and "warc-truncated" not in fields:
+        if size is not None and kind == "response" and size != len(payload):
+            raise ValueError(f"record {name}: payload differs from its length")
+        if stated and not agrees(stated, payload, stored):
+            raise ValueError(f"record {name}: payload differs from its digest")
+    return {"record_id": name, "page_id": page_of(name), "url": fields.get("warc-target-uri"), "payload_bytes": len(payload) if held else size,
+            "payload_digest": hashlib.sha256(payload).hexdigest() if held else (stated or "").removeprefix("sha256:") or None, "record_type": kind,
+            "refers_to": page_of(fields.get("warc-refers-to")), "refers_to_id": fields.get("warc-refers-to"), "payload": payload if held else None}
 
 
 def file_system(uri: str):
@@ -159,10 +213,10 @@ def write(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD, archive
 
 def read(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of the archives listed in ``archives`` (path), an archive per task at a time."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                        ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+                        ("record_type", pa.string()), ("refers_to", pa.int64()), ("refers_to_id", pa.string()), ("payload", pa.binary())])
     if not payloads:
-        schema = schema.remove(6)
+        schema = schema.remove(8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, _ = file_system(folder)
@@ -178,7 +232,7 @@ def read(spark: SparkSession, archives: DataFrame, folder: str, payloads: bool =
                             held, size = [], 0
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    out = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+    out = "record_id string, page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, refers_to_id string"
     tasks = max(spark.sparkContext.defaultParallelism, archives.count())
     return archives.select("path").repartition(tasks, "path").mapInArrow(run, out + (", payload binary" if payloads else ""))
 

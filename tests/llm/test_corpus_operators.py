@@ -33,7 +33,7 @@ def test_query_against_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "labels"):
+    for t in ("documents", "pages", "conversations", "labels", "embeddings"):
         con.sql(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
     got, want = queries.QUERIES[name](spark, SMALL), con.sql(queries.SQL[name])
     assert rows_of(got.columns, got.collect()) == rows_of(list(want.columns), want.fetchall())
@@ -275,6 +275,23 @@ def test_mixing_caps_and_defined_cases(spark):
     assert mixing.apply_mix(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("texts", [lambda i: "w " * (i % 9 + 1) + f"x{i}", lambda i: "same text of six words each"])
+def test_mixing_stage_without_ids_stays_near_its_targets(spark, texts):
+    rows = [(None if s != "b" else 7, texts(i), s) for s, n in (("a", 2000), ("b", 700), ("c", 300), (None, 40)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    sizes, longest = {}, {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+        longest[s] = max(longest.get(s, 0), len(t.split()))
+    want = brute.shared_targets(sizes)
+    got = {}
+    for r in mixing.apply_mix(docs).select("source", mixing.words_in(F.col("text")).alias("n")).collect():
+        got[r.source] = got.get(r.source, 0) + r.n
+    assert all(abs(got[s] - want[s]) <= longest[s] for s in want)
+    each = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("t"), F.count("*").alias("n")).collect()
+    assert all(abs(r.t - want[r.source]) <= 1 and r.n == sum(s == r.source for _, _, s in rows) for r in each)
+
+
 PAGES = [(5, "u v\r\nX: y", "<p>" + "é" * 60), (6, None, "<p>" + "é" * 60), (7, "", "<p>" + "é" * 60), (8, "q", None), (9, "q", "short"), (4, "q", "short"),
          (None, "n", "<p>" + "é" * 60), (10, "l", "long" * 100_000), (5, "again", "<p>" + "é" * 60)]
 
@@ -306,6 +323,51 @@ def test_warc_reader_frames_and_verifies():
             warc.parsed(broken)
 
 
+def test_warc_reader_refuses_every_cut():
+    body = b"payload" * 40
+    one, two = (warc.record(i, "http://a", body, hashlib.sha256(body).hexdigest(), None) for i in (1, 2))
+    assert len(list(warc.members(io.BytesIO(one)))) == 1
+    for cut in range(1, len(two)):
+        for step in (3, 1 << 16):
+            with pytest.raises(ValueError, match="ends inside"):
+                list(warc.members(io.BytesIO(one + two[:cut]), step))
+
+
+def foreign(kind, block, *lines):
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:0-1>\r\n".encode() + b"".join(x.encode() + b"\r\n" for x in lines) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_warc_reader_takes_records_of_other_writers():
+    import base64
+
+    body = b"<p>h\xc3\xa9llo</p>"
+    sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    http = "Content-Type: application/http; msgtype=response"
+    chunked = b"4\r\n" + body[:4] + b"\r\n9;x=y\r\n" + body[4:14] + b"\r\n0\r\nTrailer: t\r\n\r\n"
+    info = warc.parsed(foreign("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"))
+    assert (info["record_type"], info["page_id"], info["record_id"], info["payload"]) == ("warcinfo", None, "<urn:uuid:0-1>", b"software: x\r\n")
+    plain = warc.parsed(foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, http, "WARC-Payload-Digest: " + sha1(body)))
+    assert plain["payload"] == body and plain["payload_bytes"] == len(body) and plain["payload_digest"] == hashlib.sha256(body).hexdigest()
+    for stated in (sha1(chunked), sha1(body[:14])):
+        found = warc.parsed(foreign("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked, http, "WARC-Payload-Digest: " + stated))
+        assert found["payload"] == body[:14]
+    with pytest.raises(ValueError, match="payload differs"):
+        warc.parsed(foreign("response", b"HTTP/1.1 200 OK\r\n\r\n" + body, http, "WARC-Payload-Digest: " + sha1(b"other")))
+    with pytest.raises(ValueError, match="block digest"):
+        warc.parsed(foreign("resource", body, "WARC-Block-Digest: " + sha1(b"other")))
+    short = warc.parsed(foreign("response", b"HTTP/1.1 200 OK\r\nContent-Length: 999\r\n\r\n" + body, http, "WARC-Truncated: length"))
+    assert short["payload_bytes"] == len(body)
+    request = warc.parsed(foreign("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request", "WARC-Block-Digest: blake9:zz"))
+    assert request["record_type"] == "request" and request["payload"] == b""
+    revisit = warc.parsed(foreign("revisit", b"HTTP/1.1 304 x\r\n\r\n", http, "WARC-Refers-To: <urn:uuid:7>", "WARC-Payload-Digest: " + sha1(body)))
+    assert (revisit["refers_to"], revisit["refers_to_id"], revisit["payload"], revisit["payload_bytes"], revisit["payload_digest"]) == (None, "<urn:uuid:7>", None, None, sha1(body))
+    folded = warc.parsed(foreign("metadata", b"", "X: a\r\n b"))
+    assert folded["payload_bytes"] == 0
+    for broken in (b"WARC/1.0\r\nContent-Length: x\r\n\r\n\r\n\r\n", b"WARC/1.0\r\n\r\n\r\n\r\n", b"WARC/1.0"):
+        with pytest.raises(ValueError):
+            warc.parsed(broken)
+
+
 def test_pipeline_stages_keep_columns_of_any_name(spark):
     names = ["row", "id", "_id", "key", "_key", "epochs", "last_key", "cut_source", "sha", "n", "score", "toxicity", "doc id.x"]
     rows = [(i, f"some words of text {i % 4} that differ {i % 4}", "s" if i % 2 else None, *range(len(names))) for i in range(12)]

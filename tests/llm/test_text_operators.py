@@ -81,6 +81,27 @@ def test_pii_account_numbers_end_before_what_follows(spark, text, want):
     assert " ".join(f"{s.start}:{s.end}" for s in found if s.kind == "iban") == want
 
 
+def test_pii_of_a_long_text_with_many_matches(spark):
+    import time
+
+    words = "é mail a{0}@b.example or call 10.0.{1}.7 DE89 3704 0044 0532 0130 00 "
+    long = "".join(words.format(i, i % 250) for i in range(20_000))
+    small = "".join(words.format(i, i % 250) for i in range(700))
+    docs = spark.createDataFrame([(1, long), (2, small)], "doc_id long, text string").repartition(2)
+    start = time.time()
+    found = {r.doc_id: r for r in pii.redacted(pii.find(docs)).select("doc_id", "redacted", F.size("spans").alias("n"), F.sha2(pii.written(F.filter("spans", lambda s: s["order"] < 4)), 256).alias("b")).collect()}
+    assert time.time() - start < 120
+    assert found[1].n == 60_000 and found[1].redacted == "é mail [email] or call [ip] [iban] " * 20_000
+    assert found[2].redacted == "é mail [email] or call [ip] [iban] " * 700
+    assert found[2].b == __import__("hashlib").sha256(brute.base_spans(small).encode()).hexdigest()
+
+
+def test_pii_redacts_the_first_of_overlapping_spans(spark):
+    text = "x" * 600 + " 10.0.0.1.2@b.example " + "y" * 600 + " +49 30 1234 5678 z"
+    row = pii.redacted(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert len(row.spans) > 2 and row.redacted == "x" * 600 + " [email] " + "y" * 600 + " [phone] z"
+
+
 def test_quality_measures_agree_with_brute_force(spark):
     random.seed(2)
     texts = [None, "", " \n\t ", "one two", " x y " * 20, "Home | About | Contact\n" + "A plain sentence stands here. " * 12]
@@ -137,3 +158,48 @@ def test_toxicity_defined_cases(spark):
         assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.reject(docs, none).columns == docs.columns and toxicity.reject(docs, none).count() == 5
     assert toxicity.scored(docs.limit(0), one).count() == 0
+
+
+def naive_grams(text):
+    """(order, n-gram) of a text: those that end with its delimiter at the latest."""
+    closed = text.lower() + "\0"
+    return {(n, closed[i:i + n]) for n in toxicity.ORDERS for i in range(len(closed) - n + 1)}
+
+
+def buckets_of(texts):
+    out = [set() for _ in texts]
+    for owner, bucket in toxicity.grams(texts):
+        for o, b in zip(owner.tolist(), bucket.tolist()):
+            out[o].add(b)
+    return out
+
+
+def test_toxicity_reads_a_text_alike_beside_any_neighbour():
+    texts = ["hello world", "", "a", "Ünïcode 🙂", "x" * 40, "hello world"]
+    alone = [buckets_of([t])[0] for t in texts]
+    assert buckets_of(texts) == alone and buckets_of(texts[::-1]) == alone[::-1]
+    assert [len(a) for a in alone] == [len(naive_grams(t)) for t in texts]
+
+
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    import math
+
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert (model.slots >= 0).sum() > 50
+    rows = docs.select("doc_id", "text").collect()[:60]
+    want = [1 / (1 + math.exp(-(model.bias + sum(model.weights[model.slots[b]] for b in buckets_of([r.text or ""])[0] if model.slots[b] >= 0)))) for r in rows]
+    assert np.allclose(model.scores([r.text or "" for r in rows]), want)
+    got = {r.doc_id: r.score for r in toxicity.scored(docs.repartition(7), labels).collect()}
+    assert np.allclose([got[r.doc_id] for r in rows], want)
+
+
+def test_toxicity_reads_one_text_of_a_repeated_id(spark):
+    import zlib
+
+    one, two = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    docs = spark.createDataFrame([(one, f"text {i}") for i in range(500)] + [(two, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(one, 1), (two, 0)], "doc_id long, toxic int")
+    assert sorted(map(tuple, toxicity.training_rows(docs, labels).collect())) == [("b", 0), ("text 0", 1)]
