@@ -349,6 +349,18 @@ def hits(findings: DataFrame, prepared: DataFrame) -> DataFrame:
     )
 
 
+def _kinds(prepared: DataFrame) -> tuple[bool, bool]:
+    """Whether a rule asks about listed subjects, and whether one asks about a document's facts."""
+    kinds = {(r["rule_type"], r["metric"], r["list_source"]) for r in prepared.select("rule_type", "metric", "list_source").distinct().collect()}
+    by_subject = any(kind == "blacklist" and source == "subject_blacklist" for kind, _, source in kinds)
+    return by_subject, by_subject or any(kind == "presence" or (kind == "threshold" and metric == "amount") for kind, metric, _ in kinds)
+
+
+def reads_documents(prepared: DataFrame) -> bool:
+    """Whether the rules need metadata and clause types; otherwise they read clauses once."""
+    return _kinds(prepared)[1]
+
+
 def evaluate(
     docs: DataFrame, clauses: DataFrame, metadata: DataFrame, blacklist: DataFrame, prepared: DataFrame,
     *, facts: DataFrame | None = None, all_matches: bool = False,
@@ -358,9 +370,7 @@ def evaluate(
     ``docs`` is (doc_id, business_type), ``clauses`` carries business_type too.
     ``all_matches`` reports every clause a clause rule finds something in.
     """
-    kinds = {(r["rule_type"], r["metric"], r["list_source"]) for r in prepared.select("rule_type", "metric", "list_source").distinct().collect()}
-    by_subject = any(kind == "blacklist" and source == "subject_blacklist" for kind, _, source in kinds)
-    by_document = by_subject or any(kind == "presence" or (kind == "threshold" and metric == "amount") for kind, metric, _ in kinds)
+    by_subject, by_document = _kinds(prepared)
     answers = clause_answers(clauses, prepared)
     answers = answers.select("doc_id", "rule_id", F.struct(*[c for c in answers.columns if c not in ("doc_id", "rule_id")]).alias("a"))
     found = F.when(_of_clauses(), F.col("a.finding") if not all_matches else F.lit(None)).when(_one_sided(), _one_sided_finding())

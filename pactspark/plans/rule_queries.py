@@ -37,7 +37,10 @@ def keys_of(spark: SparkSession, sf: str) -> DataFrame:
 def all_hits(spark: SparkSession, sf: str, *codes: str) -> DataFrame:
     chosen = prepared(spark)
     chosen = chosen.filter(F.col("rule_code").isin(*codes)) if codes else chosen
-    h = rules.evaluate(keys_of(spark, sf), clauses(spark, sf), extracted(spark, sf), latin.blacklist(spark), chosen)
+    # Written only where two branches of the plan read them.
+    whole = rules.reads_documents(chosen)
+    cut, found = (clauses(spark, sf), extracted(spark, sf)) if whole else (base.clauses(spark, sf), base.extracted(spark, sf))
+    h = rules.evaluate(keys_of(spark, sf), cut, found, latin.blacklist(spark), chosen)
     return h.select("doc_id", "rule_code", "clause_index", "quote", F.col("evidence_detail").alias("detail"), "reason")
 
 
