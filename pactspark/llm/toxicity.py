@@ -42,7 +42,7 @@ from pactspark.session import materialise
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 MAX_PER_CLASS = 4_000
-MIN_Z = 4.0
+MIN_Z = 7.0
 THRESHOLD = 0.7
 PENALTY = 0.02
 ROUNDS = 400
