@@ -270,7 +270,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
 
     ``start`` is the number of ids in all shards before.
     """
-    encoded = materialise(tokens(docs, tokenizer, closing_id), "token-ids")
+    ids = tokens(docs, tokenizer, closing_id)
+    held = scratch_path(docs.sparkSession, "token-ids")
+    ids.write.option("compression", "zstd").parquet(held)
+    encoded = docs.sparkSession.read.schema(ids.schema).parquet(held)
     order = ranked(encoded)
     system, root = file_system(folder)
     system.create_dir(root, recursive=True)
