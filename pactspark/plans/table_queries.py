@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactspark import schemas
+from pactspark.operators import check_suite as check_suite_of
 from pactspark.operators import checks, evaluate, reports, serving, tasks
 from pactspark.operators.merge import conclusion, weight
 from pactspark.packs.fixed import LABELS
@@ -237,6 +238,46 @@ def check_suite(spark, sf):
     return s.select("code", "violated", "passed", F.col("error").isNotNull().alias("failed_to_run"))
 
 
+_SUITE = ("anchor", "risk_item", "contract_metadata", "review_task", "writeback_log", "clause", "parse_result", "risk_evidence", "contract")
+
+
+def _row(*columns: str) -> str:
+    return " || '|' || ".join(f"coalesce(cast({c} as varchar), '')" for c in columns)
+
+
+@query("check_suite_whole", f"""{cte(*_SUITE)}, v as (
+    select 'C1' as code, {_row('anchor_id', 'owner_type', 'owner_id')} as r from ({_ORPHANS})
+    union all select 'C2', {_row('risk_id', 'title')} from risk_item r where not unanchored and not exists (select 1 from anchor a where a.owner_type = 'risk_item' and a.owner_id = r.risk_id)
+    union all select 'C3', {_row('task_id', 'contract_id', 'high_risk_count', 'medium_risk_count', 'low_risk_count', 'h', 'm', 'l')} from (
+      select task_id, t.contract_id, high_risk_count, medium_risk_count, low_risk_count, count(*) filter (where risk_level = 'high') as h,
+        count(*) filter (where risk_level = 'medium') as m, count(*) filter (where risk_level = 'low') as l from review_task t left join risk_item r on r.contract_id = t.contract_id group by all)
+      where high_risk_count <> h or medium_risk_count <> m or low_risk_count <> l
+    union all select 'C4', {_row('task_id', 'contract_id')} from review_task where status = 'blocked' and coalesce(blocked_reason, '') = ''
+    union all select 'C5', {_row('task_id', 'contract_id', 'overall_risk', 'conclusion')} from review_task where status = 'completed' and (coalesce(overall_risk, '') = '' or coalesce(conclusion, '') = '')
+    union all select 'C6', {_row('contract_id', 'count(*)')} from writeback_log where status = 'success' group by contract_id having count(*) > 1
+    union all select 'C7', {_row('clause_id', 'c.contract_id', 'p.contract_id')} from clause c join parse_result p on c.parse_result_id = p.parse_result_id where c.contract_id <> p.contract_id
+    union all select 'C8', {_row('anchor_id', 'owner_type', 'owner_id', 'page_no')} from anchor where x0 < 0 or y0 < 0 or x0 >= x1 or y0 >= y1
+    union all select 'I1', {_row('risk_id')} from risk_item where is_global and clause_id is not null
+    union all select 'I3', {_row('risk_id')} from risk_item r where merged_by = 'both' and not (exists (select 1 from risk_evidence e where e.risk_id = r.risk_id and evidence_type = 'rule')
+      and exists (select 1 from risk_evidence e where e.risk_id = r.risk_id and evidence_type = 'llm'))
+    union all select 'I4', {_row('risk_id')} from risk_item where suggestion_edited is not null and not adopted
+    union all select 'A1', {_row('anchor_id', 'anchor_level', 'source')} from anchor where (source = 'native_text' and anchor_level <> 'paragraph' and char_start is null)
+      or (anchor_level = 'paragraph' and char_start is not null)
+    union all select 'E1', {_row('evidence_id', 'risk_id', 'evidence_type')} from risk_evidence where (evidence_type = 'rule' and rule_id is null) or (evidence_type = 'llm' and coalesce(raw_snippet, '') = '')
+    union all select 'T1', {_row('task_id', 'parsed_pages', 'total_pages')} from review_task where parsed_pages > total_pages
+    union all select 'U1', {_row('applicant', 'd', 'count(*)')} from (select applicant, coalesce(cast(deleted_at as timestamp), timestamp '1970-01-01') as d from contract) group by applicant, d having count(*) > 1
+    union all select 'U3', {_row('contract_id', 'meta_key', 'count(*)')} from contract_metadata group by contract_id, meta_key having count(*) > 1),
+    n as (select code, count(*) as violated from v group by code),
+    s as (select code, string_agg(r, ' ; ' order by r) as sample from (select code, r, row_number() over (partition by code order by r) as k from v) where k <= 5 group by code)
+    select c.code, coalesce(n.violated, 0) as violated, n.violated is null as passed, coalesce(sample, '') as sample, cast(null as varchar) as error
+    from (select unnest([{', '.join(f"'{c}'" for c in checks.CHECKS)}]) as code) c left join n on n.code = c.code left join s on s.code = c.code""")
+def check_suite_whole(spark, sf):
+    """All checks with their smallest violations, over one scan per table; a contract's applicant stands for its file's hash."""
+    t = tables(spark, sf, *_SUITE)
+    s = check_suite_of.suite({**t, "contract": t["contract"].withColumn("file_hash", F.col("applicant"))})
+    return s.select("code", "violated", "passed", F.array_join("sample", " ; ").alias("sample"), "error")
+
+
 # ---- task state -----------------------------------------------------------------------------------
 
 _EDGES = "(('pending','parsing'), ('pending','blocked'), ('parsing','reviewing'), ('parsing','blocked'), ('reviewing','completed'), ('reviewing','blocked'), ('blocked','parsing'))"
