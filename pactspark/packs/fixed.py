@@ -224,9 +224,9 @@ PROGRESS_TTL_SECONDS = 24 * 3600
 # ---- blacklist (fixed values; invented companies) ------------------------------
 
 BLACKLIST = (
-    ("深圳市鑫达通贸易有限公司", "91440300MA5DEMO001", "经营异常", "通过登记的住所无法联系（演示数据）"),
-    ("杭州云创科技有限公司", "91330100MA2DEMO002", "严重违法失信", "被列入严重违法失信企业名单（演示数据）"),
-    ("广州汇丰物流有限公司", "91440100MA5DEMO003", "注销", "企业已办理注销登记（演示数据）"),
-    ("北京恒信建筑工程有限公司", "91110108MA0DEMO004", "经营异常", "未按规定期限公示年度报告（演示数据）"),
-    ("成都天成电子有限公司", "91510100MA6DEMO005", "严重违法失信", "存在重大税收违法记录（演示数据）"),
+    ("松岭样例商贸有限公司", "91110000MA00TEST1A", "经营异常", "样例：年报逾期未报"),
+    ("白桥样例软件有限公司", "91310000MA00TEST2B", "严重违法失信", "样例：列入失信名单"),
+    ("青屿样例物流有限公司", "91440000MA00TEST3C", "注销", "样例：登记已注销"),
+    ("石川样例建材有限公司", "91500000MA00TEST4D", "经营异常", "样例：登记地址查无此企业"),
+    ("云麓样例电器有限公司", "91510000MA00TEST5E", "严重违法失信", "样例：税务处罚未履行"),
 )

@@ -175,10 +175,10 @@ def test_data_security_truth_table(spark):
 
 
 def test_listed_subjects_party_a_first(spark):
-    m = spark.createDataFrame([(1, "party_b_name", "杭州云创科技有限公司"), (1, "party_a_name", "深圳市鑫达通贸易有限公司"), (2, "party_b_name", "某某公司")],
+    m = spark.createDataFrame([(1, "party_b_name", "白桥样例软件有限公司"), (1, "party_a_name", "松岭样例商贸有限公司"), (2, "party_b_name", "某某公司")],
                               "doc_id bigint, meta_key string, meta_value string")
     rows = rules.listed_subjects(m, contracts.blacklist(spark)).collect()
-    assert [(r["doc_id"], r["subject_name"]) for r in rows] == [(1, "深圳市鑫达通贸易有限公司")]
+    assert [(r["doc_id"], r["subject_name"]) for r in rows] == [(1, "松岭样例商贸有限公司")]
 
 
 def test_broken_patterns_do_not_stop_the_others(spark):
