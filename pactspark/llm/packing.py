@@ -7,8 +7,11 @@ where the sum of the squared numbers of windows per level grows least. That keep
 level crowded, so that rests of most lengths find a window that they complete. The only
 state is an array with the number of open windows per level and their ids, one
 entry per level; the open windows' ids wait beside it, ``OPEN_WINDOWS`` at most. When
-there are more, and at the end of a partition, the waiting pieces are laid end to end
-and cut into full windows and a last few of a power of two, which need no padding.
+there are more, and at the end of a partition, open windows are closed: from the fullest
+on, each keeps its pieces where they were placed, and its gap is filled with what is cut
+off the pieces of the emptiest ones. What is left of those goes into a last few windows of
+a power of two, so there is no padding. ``placed`` tells which pieces stand where the
+level array put them.
 
 Each task packs its partition, so nothing is shuffled; window ids hold the partition's
 number. A task that is run again gives the same windows for the same rows.
@@ -116,6 +119,7 @@ class Piece(NamedTuple):
     start: int
     ids: np.ndarray
     doc_tokens: int
+    placed: bool = True
 
 
 class Packer:
@@ -138,23 +142,41 @@ class Packer:
             yield from self.settle()
 
     def settle(self) -> Iterator[tuple[int, list[Piece]]]:
-        """Lay what waits end to end and cut it into windows: full ones, then powers of two, which need no padding."""
-        queue = [p for pieces in self.waiting.values() for p in pieces][::-1]
+        """Close what waits: fill the fullest windows from the emptiest, and the rest into powers of two."""
+        open_windows = sorted(self.waiting.items(), key=lambda w: -sum(len(p.ids) for p in w[1]))
         self.waiting.clear()
         self.levels.clear()
-        left = sum(len(p.ids) for p in queue)
-        while left:
-            room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-            left -= room
-            pieces = []
+        loose: list[Piece] = []
+
+        def cut(room: int) -> Iterator[Piece]:
+            """Loose pieces of exactly ``room`` ids."""
             while room:
-                piece = queue.pop()
+                piece = loose.pop()
                 if len(piece.ids) > room:
-                    queue.append(piece._replace(start=piece.start + room, ids=piece.ids[room:]))
+                    loose.append(piece._replace(start=piece.start + room, ids=piece.ids[room:]))
                     piece = piece._replace(ids=piece.ids[:room])
-                pieces.append(piece)
+                yield piece
                 room -= len(piece.ids)
-            yield self.levels.new_window(), pieces
+
+        at, end, held = 0, len(open_windows), 0
+        while at < end:
+            window, pieces = open_windows[at]
+            gap = self.capacity - sum(len(p.ids) for p in pieces)
+            while held < gap and end > at + 1:
+                end -= 1
+                more = [p._replace(placed=False) for p in open_windows[end][1]]
+                loose += more
+                held += sum(len(p.ids) for p in more)
+            if held < gap:
+                break
+            at, held = at + 1, held - gap
+            yield window, [*pieces, *cut(gap)]
+        loose += [p._replace(placed=False) for _, pieces in open_windows[at:end] for p in pieces]
+        left = sum(len(p.ids) for p in loose)
+        while left:
+            room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
+            left -= room
+            yield self.levels.new_window(), list(cut(room))
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer, schema: pa.Schema, first: int, added_tokens: bool = False) -> Iterator[pa.RecordBatch]:
@@ -165,7 +187,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer,
         for window, pieces in windows:
             offset = 0
             for p in pieces:
-                rows.append((p.doc_id, p.start, len(p.ids), p.ids.tobytes(), p.doc_tokens, first + window, offset))
+                rows.append((p.doc_id, p.start, len(p.ids), p.ids.tobytes(), p.doc_tokens, first + window, offset, p.placed))
                 offset += len(p.ids)
         columns = zip(*rows) if rows else [()] * len(schema)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
@@ -183,7 +205,7 @@ def pieces_of(batches: Iterator[pa.RecordBatch], tokenizer: str, packer: Packer,
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, open_windows: int = OPEN_WINDOWS,
          added_tokens: bool = False) -> DataFrame:
-    """Documents (doc_id, text) as pieces: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
+    """Documents (doc_id, text) as pieces: doc_id, start, length, ids, doc_tokens, sequence_id, offset, placed.
 
     ``ids`` are little-endian unsigned 32-bit integers. A piece lies at ``offset`` of its
     sequence; the pieces of a sequence leave no gap. ``added_tokens`` gives the ids of the
@@ -193,14 +215,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     kind = docs.schema["doc_id"].dataType
     out = T.StructType([T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                         T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
-                        T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+                        T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("placed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, batch = TaskContext.get().partitionId() << 40, next(batches, None)
         if batch is None:
             return
         schema = pa.schema([("doc_id", batch.schema.field(0).type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
-                            ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+                            ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("placed", pa.bool_())])
 
         def all_batches():
             yield batch

@@ -43,7 +43,7 @@ FROM t GROUP BY conv_id
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents"), added_tokens=True)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "placed")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

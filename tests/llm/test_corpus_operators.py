@@ -77,6 +77,27 @@ def test_packing_covers_every_id_once(spark, documents, rows):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_keeps_what_the_level_array_placed(spark):
+    pieces = queries.op2_packing(spark, "/root/testdata/sf0.1").select("placed", "length").collect()
+    assert sum(p.placed for p in pieces) > 0.9 * len(pieces)
+    packer = packing.Packer(8, 5)
+    rnd, out, n = random.Random(4), [], 0
+    for i in range(400):
+        ids = np.arange(rnd.randrange(1, 9), dtype="<u4")
+        n += len(ids)
+        out += packer.add(packing.Piece(i, 0, ids, len(ids)))
+    out += packer.settle()
+    fills = [sum(len(p.ids) for p in pieces) for _, pieces in out]
+    assert sum(fills) == n and all(f == 8 or f in (1, 2, 4) for f in fills) and len({w for w, _ in out}) == len(out)
+    starts = {}
+    for _, pieces in out:
+        assert [p.placed for p in pieces] == sorted((p.placed for p in pieces), reverse=True)
+        for p in pieces:
+            assert p.ids.tolist() == list(range(p.start, p.start + len(p.ids))) and (p.start == 0 or not p.placed)
+            starts.setdefault(p.doc_id, []).append((p.start, len(p.ids)))
+    assert len(starts) == 400
+
+
 def test_packing_query_and_stage_take_added_tokens_as_the_tokenizer_does(spark, tmp_path):
     import json
 
