@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from pactspark import schemas
 from pactspark.operators import check_suite as check_suite_of
-from pactspark.operators import checks, evaluate, reports, serving, tasks
+from pactspark.operators import checks, evaluate, reports, scans, serving, tasks
 from pactspark.operators.merge import conclusion, weight
 from pactspark.packs.fixed import LABELS
 from pactspark.plans.registry import query
-from pactspark.plans.standins import cte, load, table, tables
+from pactspark.plans.standins import SQL, cte, load, table, tables
 from pactspark.session import scratch_path
 from pactspark.sources import intake, sinks, upserts
 
@@ -297,6 +297,18 @@ def task_transitions(spark, sf):
     return r.select("task_id", "event_id", "from_status", "status", "accepted", "version")
 
 
+
+_CROWDED = "case when event_id % 3 = 0 then 0 else user_id end"
+
+
+@query("task_transitions_crowded", _REPLAY.replace("select user_id as task_id", f"select {_CROWDED} as task_id").replace(
+    "n as (select", "n as materialized (select") + " select task_id, event_id, from_status, status, accepted, version from st")
+def task_transitions_crowded(spark, sf):
+    """One task has a third of all events: its log is replayed in stretches over many tasks."""
+    e = load(spark, sf, "events").withColumn("user_id", F.expr(_CROWDED))
+    log = spark.sql(SQL["task_event"], events=e).select("task_id", "event_id", "to_status")
+    return scans.replay(log).select("task_id", "event_id", "from_status", "status", "accepted", "version")
+
 @query("task_states", f"""{_REPLAY} select task_id, arg_max(status, event_id) as status, count(*) as version, min(created_at) filter (where status = 'parsing') as started_at,
     max(created_at) filter (where status = 'completed') as completed_at from st where accepted group by 1""")
 def task_states(spark, sf):

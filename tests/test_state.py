@@ -160,3 +160,23 @@ def test_expectations_take_each_risk_once(spark):
     m = {r["pos"]: (r["matched"], r["passed"]) for r in evaluate.match_expected(e, a).collect()}
     assert m == {0: (True, True), 1: (False, False)}
     assert [r["seq"] for r in evaluate.extras(a, evaluate.match_expected(e, a)).collect()] == [1]
+
+
+def test_replay_by_scan_equals_replay_at_every_depth(spark):
+    import random
+
+    from pactspark.operators import scans
+
+    rnd = random.Random(2)
+    rows = [(i % 7 if i % 3 else 100, i, rnd.choice([*tasks.STATES, "unknown", None])) for i in range(400)]
+    events = spark.createDataFrame(rows, "task_id bigint, event_id bigint, to_status string").repartition(5)
+    order = ["task_id", "event_id", "from_status", "status", "accepted", "version"]
+    want, now = [], {}
+    for task, event, to in rows:
+        state, n = now.get(task, ("pending", 0))
+        ok = (state, to) in tasks.TRANSITIONS
+        now[task] = (to, n + 1) if ok else (state, n)
+        want.append((task, event, state, now[task][0], ok, now[task][1]))
+    for folds in ((9, 18, 25, 33, 42), (1, 2, 4, 33, 42), (3, 33)):
+        assert sorted(tuple(r) for r in scans.replay(events, folds=folds).select(order).collect()) == sorted(want)
+    assert scans.replay(events.limit(0)).count() == 0
