@@ -9,6 +9,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from pactspark.functions.similarity import char_diff
 from pactspark.functions.text import WS, strip, strip_whitespace
+from pactspark.operators.boxes import overlapping
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -84,12 +85,6 @@ def case_verdicts(cases: DataFrame, outcomes: DataFrame, matched: DataFrame) ->
                          (level_ok & conclusion_ok & F.coalesce("risks_ok", F.lit(True))).alias("passed"))
 
 
-def intersects(a: str, b: str) -> Column:
-    """Boxes given by column prefixes share an area."""
-    return ((F.col(f"{a}x0") < F.col(f"{b}x1")) & (F.col(f"{b}x0") < F.col(f"{a}x1"))
-            & (F.col(f"{a}y0") < F.col(f"{b}y1")) & (F.col(f"{b}y0") < F.col(f"{a}y1")))
-
-
 def shares_start(want: Column, got: Column, head: int) -> Column:
     """The first characters of one occur in the other, white space aside."""
     w, g = strip_whitespace(want), strip_whitespace(got)
@@ -98,9 +93,10 @@ def shares_start(want: Column, got: Column, head: int) -> Column:
 
 def covered_text(anchors: DataFrame, spans: DataFrame) -> DataFrame:
     """Text of the spans under each anchor's box, in reading order."""
-    a = anchors.select("anchor_id", "doc_id", "page_no", "quote_text", *(F.col(k).alias(f"a_{k}") for k in ("x0", "y0", "x1", "y1")))
-    s = spans.select("doc_id", "page_no", "span_no", F.col("text").alias("span"), *(F.col(k).alias(f"s_{k}") for k in ("x0", "y0", "x1", "y1")))
-    under = a.join(s, ["doc_id", "page_no"]).filter(intersects("a_", "s_"))
+    sides = ("x0", "y0", "x1", "y1")
+    a = anchors.select("anchor_id", "doc_id", "page_no", *sides)
+    s = spans.select("doc_id", "page_no", "span_no", F.col("text").alias("span"), *sides)
+    under = overlapping(a, s, ["doc_id", "page_no"]).select("a.anchor_id", "b.span_no", "b.span")
     joined = under.groupBy("anchor_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("span_no", "span"))), lambda x: x["span"]), "").alias("covered"))
     return anchors.select("anchor_id", "quote_text").join(joined, "anchor_id", "left")

@@ -1,11 +1,14 @@
-"""Registered queries that go through an index: keywords in any number."""
+"""Registered queries that go through an index: keywords in any number, boxes on a grid."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pactspark.operators import keyword_index, rules
+from pactspark.operators import boxes, evaluate, keyword_index, pages, rules
+from pactspark.plans import document_queries as base
 from pactspark.plans import rule_queries
+from pactspark.plans.document_queries import LINES_CTE
 from pactspark.plans.registry import query
 from pactspark.plans.rule_queries import HITS_CTE
 from pactspark.plans.standins import load
@@ -35,3 +38,37 @@ def rules_keyword_indexed(spark, sf):
     found = keyword_index.keyword_findings(rule_queries.clauses(spark, sf), prepared)
     h = rules.hits(found, prepared)
     return h.select("doc_id", "rule_code", "clause_index", "quote", F.col("evidence_detail").alias("detail"), "reason")
+
+
+# ---- boxes on a grid ---------------------------------------------------------------------------
+
+_SPAN = "cast(p_partkey * 37 % 5003 as double) / 10 as x0, cast(p_partkey * 91 % 7001 as double) / 10 as y0, cast(p_partkey * 37 % 5003 + p_size * 3 as double) / 10 as x1, cast(p_partkey * 91 % 7001 + 120 as double) / 10 as y1"
+_BOX = "cast(p_partkey * 53 % 5003 as double) / 10 as x0, cast(p_partkey * 17 % 7001 as double) / 10 as y0, cast(p_partkey * 53 % 5003 + p_size * 9 as double) / 10 as x1, cast(p_partkey * 17 % 7001 + p_size * 2 as double) / 10 as y1"
+
+
+@query("boxes_on_one_page", f"""with s as (select p_partkey as span_no, {_SPAN} from part), a as (select p_partkey as anchor_no, {_BOX} from part)
+    select anchor_no, count(*) as n, min(span_no) as first_span, max(span_no) as last_span from a join s on a.x0 < s.x1 and s.x0 < a.x1 and a.y0 < s.y1 and s.y0 < a.y1 group by anchor_no""")
+def boxes_on_one_page(spark, sf):
+    """All parts as spans of one crowded page, and as anchors over it: which spans lie under each anchor."""
+    p = load(spark, sf, "part")
+    s = p.selectExpr("p_partkey as span_no", "1L as page_no", *_SPAN.split(", "))
+    a = p.selectExpr("p_partkey as anchor_no", "1L as page_no", *_BOX.split(", "))
+    return boxes.overlapping(a, s, ["page_no"]).groupBy(F.col("a.anchor_no").alias("anchor_no")).agg(
+        F.count("*").alias("n"), F.min("b.span_no").alias("first_span"), F.max("b.span_no").alias("last_span"))
+
+
+_PLAIN = r"regexp_replace({}, '\s+', '', 'g')"
+
+
+@query("anchors_misplaced", rf"""
+    with {LINES_CTE}, m as (select doc_id, para, {_PLAIN.format('t')} as g, {_PLAIN.format("case when para % 3 = 1 then lead(t) over (partition by doc_id order by para) else t end")} as w from nl)
+    select doc_id, para as anchor_id, coalesce(w <> '' and g <> '' and (contains(g, substr(w, 1, 6)) or contains(w, substr(g, 1, 6))), false) as ok from m""")
+def anchors_misplaced(spark, sf):
+    """Anchors on lines, a third of which quote the line after: only those that quote what lies under them are right."""
+    b = pages.line_blocks(base.paged(spark, sf))
+    following = Window.partitionBy("doc_id").orderBy("para_index")  # the lines of one document
+    quoted = b.withColumn("next", F.lead("text").over(following))
+    a = quoted.select(F.concat_ws("-", "doc_id", "para_index").alias("anchor_id"), "doc_id", "page_no", F.when(F.col("para_index") % 3 == 1, F.col("next")).otherwise(F.col("text")).alias("quote_text"), "x0", "y0", "x1", "y1")
+    spans = b.select("doc_id", "page_no", F.col("para_index").alias("span_no"), "text", "x0", "y0", "x1", "y1")
+    at = F.split("anchor_id", "-")
+    return evaluate.anchor_coverage(a, spans).select(F.get(at, 0).cast("bigint").alias("doc_id"), F.get(at, 1).cast("bigint").alias("anchor_id"), "ok")

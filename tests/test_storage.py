@@ -220,3 +220,49 @@ def test_indexed_keywords_equal_a_scan(spark):
     assert got == sorted((i, w) for i, t in enumerate(texts) if t and i % 2 for w in words if w in t)
     assert keyword_index.find(left, right.limit(0), ["id"]).count() == 0
     assert keyword_index.find(left.limit(0), right, ["id"]).count() == 0
+
+
+# --- boxes
+
+
+def test_boxes_on_a_grid_equal_all_pairs(spark):
+    from pactspark.operators import boxes
+
+    rnd = random.Random(5)
+
+    def box():
+        x, y = rnd.uniform(-50, 50), rnd.uniform(0, 900)
+        return x, y, x + rnd.choice([0, 1, 8, 60, -3]), y + rnd.choice([0, 0.5, 12, 400, -2])
+
+    def rows(n, odd):
+        return [(i, rnd.choice([1, 1, 2, None]), *box()) for i in range(n)] + odd
+
+    nan = float("nan")
+    a = rows(150, [(900, 1, None, 1.0, 2.0, 3.0), (901, 1, nan, 1.0, 2.0, 3.0), (902, 1, -1e6, -1e6, 1e6, 1e6), (903, 3, 0.0, 0.0, 1.0, 1.0)])
+    b = rows(200, [(900, 1, 1.0, 1.0, 2.0, None), (901, 2, 5.0, 5.0, 5.0, 5.0)])
+    schema = "id int, page int, x0 double, y0 double, x1 double, y1 double"
+
+    def met(p, q):
+        if p[1] is None or p[1] != q[1] or any(v is None or v != v for v in (*p[2:], *q[2:])):
+            return False
+        return p[2] < q[4] and q[2] < p[4] and p[3] < q[5] and q[3] < p[5]
+
+    got = boxes.overlapping(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["page"]).select("a.id", F.col("b.id").alias("other")).collect()
+    assert sorted((r.id, r.other) for r in got) == sorted((p[0], q[0]) for p in a for q in b if met(p, q))
+    assert boxes.overlapping(spark.createDataFrame(a, schema), spark.createDataFrame([], schema), ["page"]).count() == 0
+
+
+# --- all checks
+
+
+def test_the_whole_suite_says_what_it_cannot_run(spark):
+    from pactspark.operators import check_suite
+
+    none = "cast(null as string)"
+    tasks = spark.range(40).selectExpr("id as task_id", "id % 30 as contract_id", "'blocked' as status", f"case when id < 12 then {none} else 'x' end as blocked_reason", f"{none} as overall_risk",
+                                       f"{none} as conclusion", "0 as high_risk_count", "0 as medium_risk_count", "0 as low_risk_count", "1 as parsed_pages", "2 as total_pages")
+    got = {r.code: r for r in check_suite.suite({"review_task": tasks}).collect()}
+    assert len(got) == 17
+    assert (got["C4"].violated, got["C4"].passed) == (12, False) and got["C4"].sample == sorted(f"{i}|{i}" for i in range(12))[:5]
+    assert (got["U2"].violated, got["U2"].sample[0]) == (10, "0|2") and got["C5"].passed and got["C5"].sample == []
+    assert got["C1"].error == "no table anchor, risk_item, contract_metadata" and got["C1"].violated is None and not got["C1"].passed
