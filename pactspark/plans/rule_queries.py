@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pactspark import schemas
-from pactspark.operators import gate, merge, pages, rule_audit, rules, sections, serving, verdicts
+from pactspark.operators import gate, merge, metadata, pages, rule_audit, rules, sections, serving, verdicts
 from pactspark.packs import fixed, latin
 from pactspark.plans import document_queries as base
 from pactspark.plans.document_queries import META_CTE, SECTIONS_CTE, documents
@@ -537,10 +537,10 @@ def review_from_pages(spark, sf):
     Every hit, miss and verdict is the evidence of exactly one risk; anchors with
     offsets hold the text that stands there, on the page they name.
     """
-    docs = pages.assemble(base.paged(spark, sf).drop("chars")).join(keys_of(spark, sf), "doc_id")
+    docs = materialise(pages.assemble(base.paged(spark, sf).drop("chars")).join(keys_of(spark, sf), "doc_id"), "assembled")
     cut = sections.sections_of_text(docs, latin.SECTION_PATTERNS, latin.TYPE_KEYWORDS, keep=["business_type", "bounds"])
     c = materialise(cut.withColumn("page_no", pages.page_of(F.col("char_start"), F.col("bounds"))).drop("bounds"), "clauses")
-    m = extracted(spark, sf)
+    m = materialise(metadata.extract(docs, base.latin_entries(F.col("text"))), "metadata")
     facts = rules.document_facts(keys_of(spark, sf), c, m)
     found = rules.evaluate(keys_of(spark, sf), c, m, latin.blacklist(spark), prepared(spark), facts=facts)
     said = verdicts.locate_clauses(verdicts.parse(verdicts.salvage(verdicts.replay(verdicts.prompts(c), latin.REPLAY))), c)

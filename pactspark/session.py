@@ -54,8 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other run uses; all of an application's go when it ends."""
+    context = spark.sparkContext
+    root = f"{shared_dir(spark)}/pactspark-{context.applicationId}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.deleteOnExit(folder)
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
