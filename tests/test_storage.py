@@ -266,3 +266,31 @@ def test_the_whole_suite_says_what_it_cannot_run(spark):
     assert (got["C4"].violated, got["C4"].passed) == (12, False) and got["C4"].sample == sorted(f"{i}|{i}" for i in range(12))[:5]
     assert (got["U2"].violated, got["U2"].sample[0]) == (10, "0|2") and got["C5"].passed and got["C5"].sample == []
     assert got["C1"].error == "no table anchor, risk_item, contract_metadata" and got["C1"].violated is None and not got["C1"].passed
+
+
+# --- lists
+
+
+def test_pages_and_places_equal_one_sort(spark):
+    from pactspark.operators.listing import Listing
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice([None, "a", "b", "é"]), rnd.randrange(5)) for i in range(333)]
+    frame = spark.createDataFrame(rows, "id int, kind string, n int").repartition(4)
+    want = sorted(rows, key=lambda r: (-r[2], r[0]))
+    listed = Listing(frame, [F.desc("n"), F.asc("id")])
+    assert listed.total == 333
+    assert {r.id: r.place for r in listed.placed().collect()} == {r[0]: i for i, r in enumerate(want, 1)}
+    for size in (1, 7, 100, 400):
+        for number in (1, 2, 34, 60):
+            part = want[(number - 1) * size:number * size]
+            assert [(r.id, r.place) for r in listed.page(number, size).collect()] == [(r[0], (number - 1) * size + k) for k, r in enumerate(part, 1)]
+    by_kind = Listing(frame, [F.asc("kind"), F.asc("id")])
+    seen = {}
+    for r in sorted(rows):
+        seen.setdefault(r[1], []).append(r[0])
+    assert {r.id: r.place for r in by_kind.placed(["kind"]).collect()} == {i: k for ids in seen.values() for k, i in enumerate(ids, 1)}
+    none = Listing(frame.limit(0), [F.asc("id")])
+    assert none.total == 0 and none.placed().count() == 0 and none.page(1, 10).count() == 0
+    with pytest.raises(ValueError):
+        listed.page(0, 10)
