@@ -24,8 +24,9 @@ Scale: about one phrase per eight words is shuffled, as hashes. Every batch keep
 first of its equal phrases (or windows) and marks the others itself, so a text that a
 third of all rows share is one row per batch in the shuffle. An anchor that a batch sees
 with several phrases sends these straight to the window step and leaves one note in its
-block, so that blocks of frequent words stay small too. Hashes that decide equality have
-128 bits together. Batches follow from the order of rows, so a task that is run again
+block, so that blocks of frequent words stay small too. Among what has one anchor a hash
+of 64 bits decides equality, since the anchor's own hash says nothing more about windows
+that hold it; words are not compared. Batches follow from the order of rows, so a task that is run again
 repeats itself on files and on sorted input.
 
 Defined cases: a null text has no words; a null doc_id orders last; rows equal in doc_id
