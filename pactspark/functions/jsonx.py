@@ -17,9 +17,14 @@ SALVAGED = StructType([StructField("json", StringType()), StructField("strategy"
 
 
 def is_json(text: Column) -> Column:
-    """True for valid JSON other than a bare null."""
-    variant = F.try_parse_json(text)
-    return variant.isNotNull() & (F.coalesce(F.trim(text), F.lit("")) != "null")
+    """True for one valid JSON value, other than a bare null, and nothing behind it.
+
+    The parser stops after a value whatever follows. Inside a list and inside an object
+    the value must end where the text ends, and no text breaks out of both.
+    """
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}")))
+    return listed.isNotNull() & named.isNotNull() & (F.coalesce(F.trim(text), F.lit("")) != "null")
 
 
 def whole_or_fenced(text: Column) -> Column:

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from pactspark.plans import contract_queries, document_queries, index_queries, listing_queries, rule_queries, storage_queries, stream_queries, table_queries  # noqa: F401
+    from pactspark.plans import contract_queries, document_queries, index_queries, judging_queries, listing_queries, rule_queries, storage_queries, stream_queries, table_queries  # noqa: F401

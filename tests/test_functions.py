@@ -171,3 +171,20 @@ def test_running_operators_cross_chunks(spark):
     total = running_sum(df, ["k"], chunk, order, {"s": F.col("o")})
     want = {(r["k"], r["o"]): sum(range(r["k"], r["o"], 3)) for r in df.collect()}
     assert all(want[(r["k"], r["o"])] == r["s"] for r in total.collect())
+
+
+def test_json_is_one_whole_value(spark):
+    import json
+
+    from pactspark.functions.jsonx import is_json
+
+    texts = ['{"a": 1}', "[1, 2]", "12", '"x"', "true", '{"a": 1} x', "12 apples", "1, 2", '1, "b": 2', "1] [2", '1}{"b":2', '1] , [2', "", " ", "null", "{", "[1", "nul", '{"a": {"b": []}} ', "1\n2", None]
+
+    def whole(text):
+        try:
+            return text is not None and json.loads(text) is not None
+        except ValueError:
+            return False
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.coalesce(is_json(F.col("t")), F.lit(False)).alias("ok")).collect()
+    assert {texts[r.i]: r.ok for r in got} == {t: whole(t) for t in texts}
