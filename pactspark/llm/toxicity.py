@@ -6,15 +6,14 @@ not, hashed to ``BUCKETS``. Each is scaled by its log-count ratio
     r = log((p / |p|) / (q / |q|)),   p, q = texts of either class with it, plus 1
 
 and a logistic regression with an L2 penalty on the scaled features gives the score.
-Only n-grams whose shares in the classes differ by ``MIN_Z`` standard errors are used. An
-n-gram lies inside one text and the delimiter behind it, so a score depends on its own
+Only n-grams whose shares in the classes differ by ``MIN_Z`` standard errors are used, the
+``MAX_FEATURES`` most significant at most. An n-gram lies inside one text and the delimiter behind it, so a score depends on its own
 text alone.
 
 Training sees labelled rows outside the held-out fold, ``MAX_PER_CLASS`` of each class
 at most, the ones with the smallest hash of their id; of several rows with one id the
 text that comes first is read. The sampled texts are written once. Counting is a Spark
-job; what reaches the driver is the feature table, an entry per bucket at most, and, per
-training row, the numbers of the features that it has: both bounded by these parameters,
+job; what reaches the driver is the feature table and, per training row, the numbers of the features that it has: both bounded by these parameters,
 not by the corpus. Scoring is
 one pass over the whole texts with a table of fixed size.
 
@@ -42,7 +41,9 @@ from pactspark.session import materialise
 ORDERS = (3, 4, 5, 6)
 BUCKET_BITS = 20
 MAX_PER_CLASS = 4_000
-MIN_Z = 7.0
+#: The most significant features that the model takes: its size, whatever the corpus.
+MAX_FEATURES = 4_096
+MIN_Z = 4.0
 THRESHOLD = 0.7
 PENALTY = 0.02
 ROUNDS = 400
@@ -148,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
         share = (F.col("p") + F.col("q")) / (positive + negative)
         error = F.sqrt(share * (1 - share) * (1 / positive + 1 / negative)) + 1e-9
         z = F.abs(F.col("p") / positive - F.col("q") / negative) / error
-        chosen = counts.where("bucket >= 0").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").toPandas()
+        chosen = counts.where("bucket >= 0").withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "bucket").limit(MAX_FEATURES).toPandas()
     finally:
         counts.unpersist()
     if chosen.empty:
