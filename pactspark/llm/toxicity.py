@@ -7,14 +7,14 @@ not, hashed to ``BUCKETS``. Each is scaled by its log-count ratio
 
 and a logistic regression with an L2 penalty on the scaled features gives the score.
 Only n-grams whose shares in the classes differ by ``MIN_Z`` standard errors are used, the
-``MAX_FEATURES`` most significant at most. An n-gram lies inside one text and the delimiter behind it, so a score depends on its own
-text alone.
+``MAX_FEATURES`` most significant at most. An n-gram lies inside one text and the delimiter
+behind it, so a score depends on its own text alone.
 
 Training sees labelled rows outside the held-out fold, ``MAX_PER_CLASS`` of each class
 at most, the ones with the smallest hash of their id; of several rows with one id the
 text that comes first is read. The sampled texts are written once. Counting is a Spark
-job; what reaches the driver is the feature table and, per training row, the numbers of the features that it has: both bounded by these parameters,
-not by the corpus. Scoring is
+job; what reaches the driver is the feature table and, per training row, the numbers of
+the features that it has: both bounded by these parameters, not by the corpus. Scoring is
 one pass over the whole texts with a table of fixed size.
 
 Defined cases: null and blank texts get the score of a text without features; a missing
