@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pactspark.operators import keyword_index
 from pactspark.plans import incremental
-from pactspark.sources import feed, snapshots, writeback
+from pactspark.sources import feed, sinks, snapshots, writeback
 
 
 def rows_of(df):
@@ -89,6 +89,18 @@ def candidates(spark, ids):
     return spark.createDataFrame([(i, f"E{i}", None if i == 2 else f"text {i}", f"key-{i}") for i in ids], writeback.DELIVERY)
 
 
+def test_a_risk_of_several_clauses_is_replaced_row_for_row(spark, tmp_path):
+    risks = spark.createDataFrame([(1, "r", "t", "high", 5, None, None), (1, "q", "t", "high", 9, None, None), (2, "p", "t", "high", 1, None, None)],
+                                  "contract_id long, risk_id string, title string, risk_level string, clause_index int, anchors array<struct<quote_text: string>>, evidences array<struct<title: string>>")
+    clauses = spark.createDataFrame([(1, 5, 15), (1, 5, 15), (1, 5, 16)], "contract_id long, seq int, clause_id long")
+    metadata = spark.createDataFrame([], "contract_id long, meta_key string, meta_value string, anchor struct<quote_text: string>")
+    store = snapshots.Store(spark, str(tmp_path / "s"))
+    for _ in range(2):
+        sinks.persist_review(store, sinks.review_rows(risks, clauses, metadata), risks.select("contract_id").where("contract_id = 1").distinct(), 4)
+    got = [(r.risk_id, r.clause_id) for r in store.read("risk").orderBy("risk_id", "clause_id").collect()]
+    assert got == [("q", None), ("r", 15), ("r", 15), ("r", 16)]
+
+
 def test_write_back_is_whole_or_nothing(spark, tmp_path):
     folder = str(tmp_path / "out")
     assert writeback.log(spark, folder).count() == 0 and writeback.deliveries(spark, folder).count() == 0
