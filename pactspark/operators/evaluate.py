@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from pactspark.functions.similarity import char_diff
+from pactspark.functions.similarity import char_diff, common_characters
 from pactspark.functions.text import WS, strip, strip_whitespace
 from pactspark.operators.boxes import overlapping
 
@@ -107,9 +107,13 @@ def anchor_coverage(anchors: DataFrame, spans: DataFrame, head: int = 6) -> Data
     return covered.withColumn("ok", F.coalesce(shares_start(F.col("quote_text"), F.col("covered"), head), F.lit(False)))
 
 
+def _tidy(text: str) -> Column:
+    return strip(F.regexp_replace(text, f"{WS}+", " "))
+
+
 def differences(pairs: DataFrame, before: str, after: str) -> DataFrame:
     """Character runs added, deleted and kept between two texts, one row per run."""
-    tidy = [strip(F.regexp_replace(c, f"{WS}+", " ")) for c in (before, after)]
+    tidy = [_tidy(c) for c in (before, after)]
     return pairs.withColumn("segments", char_diff(*tidy)).select(
         *[c for c in pairs.columns if c not in (before, after)], F.posexplode("segments").alias("seg_no", "s")
     ).select("*", "s.kind", F.col("s.text").alias("seg_text")).drop("s")
@@ -119,3 +123,12 @@ def difference_totals(diffs: DataFrame, *keys: str) -> DataFrame:
     n = F.length("seg_text")
     return diffs.groupBy(*keys).agg(*(
         F.sum(F.when(F.col("kind") == k, n).otherwise(0)).alias(f"{k}_chars") for k in ("same", "add", "del")))
+
+
+def difference_counts(pairs: DataFrame, before: str, after: str, *keys: str) -> DataFrame:
+    """``difference_totals`` of ``differences`` without the runs: their lengths follow from that of what is kept."""
+    tidy = pairs.select(*keys, _tidy(before).alias("b"), _tidy(after).alias("a"))
+    kept = tidy.withColumn("same", common_characters("b", "a")).filter("b <> '' or a <> ''")
+    long = F.char_length
+    return kept.groupBy(*keys).agg(
+        F.sum("same").alias("same_chars"), F.sum(long("a") - F.col("same")).alias("add_chars"), F.sum(long("b") - F.col("same")).alias("del_chars"))

@@ -188,3 +188,15 @@ def test_json_is_one_whole_value(spark):
 
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.coalesce(is_json(F.col("t")), F.lit(False)).alias("ok")).collect()
     assert {texts[r.i]: r.ok for r in got} == {t: whole(t) for t in texts}
+
+
+def test_difference_counts_are_totals_of_the_runs(spark):
+    from pactspark.functions import similarity
+    from pactspark.operators import evaluate
+
+    assert similarity.common_length("a" * 70_000, "b" + "a" * 69_999) == 69_999  # quadratic in steps of one character until now
+    rows = [("x", "abcabba", "cbabac"), ("x", "", "new"), ("x", None, "  a  b "), ("y", "same", "same"), ("y", "𝄞a𝄞", "a𝄞"), ("z", "", " ")]
+    pairs = spark.createDataFrame(rows, "k string, before string, after string")
+    want = evaluate.difference_totals(evaluate.differences(pairs, "before", "after"), "k")
+    got = evaluate.difference_counts(pairs, "before", "after", "k")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
