@@ -261,18 +261,33 @@ def block_anchor(clause: Column, source: Column) -> Column:
     )
 
 
-def attach_boxes(anchors: DataFrame, pages: DataFrame) -> DataFrame:
+def attach_boxes(anchors: DataFrame, pages: DataFrame, chars: Column | None = None) -> DataFrame:
     """Boxes of anchors from the characters of their page.
 
     The one place the character table is read; joined on (doc_id, page_no), so a
     long document is spread over its pages. Ranges without ink lose their anchor.
+    Where ``chars`` says how the characters follow from ``page_text``, only texts are
+    moved, and characters are made for pages with an anchor, after the join.
     """
-    chars = pages.select("doc_id", "page_no", "chars")
+    own = pages.select("doc_id", "page_no", F.col("chars") if chars is None else F.col("text").alias("page_text"))
+    beside = anchors.join(own, ["doc_id", "page_no"])
+    placed = beside if chars is None else beside.select(*anchors.columns, chars.alias("chars"))
     box = box_for_range(F.col("chars"), F.col("local_start").cast("int"), F.col("local_stop").cast("int"))
-    return anchors.join(chars, ["doc_id", "page_no"]).withColumn("box", box).filter("box is not null").select(
+    return placed.withColumn("box", box).filter("box is not null").select(
         *anchors.columns, *(F.col(f"box.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")))
 
 
+def anchors_of_entries(docs: DataFrame, entries: Column) -> DataFrame:
+    """``metadata_anchors`` of what ``entries`` finds, taken beside the text it was found in."""
+    place = F.struct(
+        F.col("char_start").alias("start"), F.col("char_end").alias("stop"), F.lit("exact").alias("level"),
+        F.lit(False).alias("partial")).cast(PLACE)
+    flat = docs.select("doc_id", "text", "bounds", "source", F.inline(entries)).filter("char_start is not null")
+    return flat.filter(span_is_valid(F.col("char_start"), F.col("char_end"), F.col("text"))).select(
+        "doc_id", "meta_key", span_anchor(place, F.col("text"), F.col("bounds"), F.col("source")).alias("a")
+    ).select("doc_id", "meta_key", "a.*")
+
+
 def metadata_anchors(metadata: DataFrame, docs: DataFrame) -> DataFrame:
     """Exact anchors of metadata values from the spans they were extracted with."""
     joined = metadata.filter("char_start is not null").join(docs.select("doc_id", "text", "bounds", "source"), "doc_id")

@@ -222,3 +222,15 @@ def test_verdict_levels_default_to_medium(spark):
     raw = '{"risks": [{"title": "t", "risk_level": "??", "category": "??"}, "x", {"title": " "}]}'
     r = verdicts.parse(verdicts.salvage(spark.createDataFrame([(1, 0, raw)], schemas.RESPONSES))).collect()
     assert [(x["title"], x["risk_level"], x["category"], x["reason"]) for x in r] == [("t", "medium", "other", "t")]
+
+
+def test_boxes_from_page_texts_equal_those_of_stored_characters(spark):
+    from pactspark.plans import document_queries as base
+
+    made = base.paged(spark, "/root/testdata/sf0.001").filter("doc_id < 100")
+    docs, entries = pages.assemble(made.drop("chars")), base.latin_entries(F.col("text"))
+    found = anchors.anchors_of_entries(docs, entries)
+    assert sorted(map(str, found.collect())) == sorted(map(str, anchors.metadata_anchors(metadata.extract(docs, entries), docs).collect()))
+    got = anchors.attach_boxes(found, made.drop("chars"), base.page_chars("page_text"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, anchors.attach_boxes(found, made).collect()))
+    assert got.count() > 0
