@@ -36,17 +36,18 @@ def match_expected(expected: DataFrame, actual: DataFrame) -> DataFrame:
     expected_anchor_page, expected_anchor_level. ``actual``: case_id, seq, title,
     reason, legal_basis, risk_level, anchor_page, anchor_level. Only expectations
     are collected, per case; the actual risks enter as the short lists of positions
-    whose text has one of the keywords.
+    whose text has one of the keywords. All sides grow with the cases and are merged: the
+    planner takes a narrow column of a large file for small and would broadcast it.
     """
     words = F.when(F.coalesce(F.size("match_keywords"), F.lit(0)) > 0, F.col("match_keywords")).otherwise(F.array("title"))
     e = expected.withColumn("words", words)
     hay = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("reason", F.lit("")), F.coalesce("legal_basis", F.lit("")))
     a = actual.select("case_id", F.col("seq").alias("actual_seq"), hay.alias("hay"))
-    pairs = e.select("case_id", "pos", "words").join(a, "case_id").filter(
+    pairs = e.select("case_id", "pos", "words").join(a.hint("merge"), "case_id").filter(
         F.exists("words", lambda w: F.col("hay").contains(w)))
     options = pairs.groupBy("case_id", "pos").agg(F.sort_array(F.collect_list("actual_seq")).alias("options"))
     none = F.array().cast("array<int>")
-    per_case = e.select("case_id", "pos").join(options, ["case_id", "pos"], "left").groupBy("case_id").agg(
+    per_case = e.select("case_id", "pos").join(options.hint("merge"), ["case_id", "pos"], "left").groupBy("case_id").agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce(F.col("options").cast("array<int>"), none).alias("o")))).alias("w"))
     taken = per_case.withColumn("taken", take_in_order(F.transform("w", lambda x: x["o"]))).select(
         "case_id", F.explode(F.arrays_zip(F.transform("w", lambda x: x["pos"]).alias("pos"), F.col("taken").alias("actual_seq"))).alias("z")
@@ -54,7 +55,7 @@ def match_expected(expected: DataFrame, actual: DataFrame) -> DataFrame:
     found = actual.select(
         "case_id", F.col("seq").cast("int").alias("actual_seq"), F.col("title").alias("actual_title"),
         F.col("risk_level").alias("actual_level"), "anchor_page", "anchor_level")
-    joined = expected.join(taken, ["case_id", "pos"]).join(found, ["case_id", "actual_seq"], "left")
+    joined = expected.join(taken.hint("merge"), ["case_id", "pos"]).join(found.hint("merge"), ["case_id", "actual_seq"], "left")
     matched = F.col("actual_title").isNotNull()
     anchored = F.col("anchor_page").isNotNull()
     page_ok = F.when(~F.coalesce("must_anchor", F.lit(False)), F.lit(True)).otherwise(
@@ -70,14 +71,14 @@ def match_expected(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def extras(actual: DataFrame, matched: DataFrame) -> DataFrame:
     used = matched.filter("matched").select("case_id", F.col("actual_seq").alias("seq"))
-    return actual.join(used, ["case_id", "seq"], "left_anti").select("case_id", "seq", "title")
+    return actual.join(used.hint("merge"), ["case_id", "seq"], "left_anti").select("case_id", "seq", "title")
 
 
 def case_verdicts(cases: DataFrame, outcomes: DataFrame, matched: DataFrame) -> DataFrame:
     """A case passes when level, conclusion and every expectation agree; extras do not fail it."""
     per_case = matched.groupBy("case_id").agg(
         F.bool_and("passed").alias("risks_ok"), F.avg(F.col("matched").cast("int")).alias("recall"))
-    joined = cases.join(outcomes, "case_id", "left").join(per_case, "case_id", "left")
+    joined = cases.join(outcomes.hint("merge"), "case_id", "left").join(per_case.hint("merge"), "case_id", "left")
     level_ok = F.coalesce(F.col("overall_risk") == F.col("expected_overall"), F.lit(False))
     wanted = F.coalesce("expected_conclusion", F.lit(""))
     conclusion_ok = (wanted == "") | F.coalesce(F.col("conclusion") == wanted, F.lit(False))

@@ -234,3 +234,12 @@ def test_boxes_from_page_texts_equal_those_of_stored_characters(spark):
     got = anchors.attach_boxes(found, made.drop("chars"), base.page_chars("page_text"))
     assert sorted(map(str, got.collect())) == sorted(map(str, anchors.attach_boxes(found, made).collect()))
     assert got.count() > 0
+
+
+def test_expectations_are_never_broadcast(spark):
+    from pactspark.plans import registry
+
+    registry.load_all()
+    for name in ("extras_listed", "expected_matched", "cases_judged"):
+        plan = registry.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastExchange" not in plan, name
