@@ -243,3 +243,16 @@ def test_expectations_are_never_broadcast(spark):
     for name in ("extras_listed", "expected_matched", "cases_judged"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastExchange" not in plan, name
+
+
+def test_risks_without_a_clause_do_not_meet_in_one_task(spark):
+    from pactspark.plans import table_queries
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = table_queries.bundles(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        joins = [line for line in plan.splitlines() if "LeftOuter" in line]
+        assert any("clause_key" in line for line in joins) and not any("[clause_id" in line for line in joins)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
