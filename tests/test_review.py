@@ -256,3 +256,11 @@ def test_risks_without_a_clause_do_not_meet_in_one_task(spark):
         assert any("clause_key" in line for line in joins) and not any("[clause_id" in line for line in joins)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_blocks_without_boxes_make_no_characters(spark):
+    from pactspark.plans import registry
+
+    registry.load_all()
+    plan = registry.QUERIES["line_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "+ 9.0)" not in plan  # where a character ends
