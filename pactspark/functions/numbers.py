@@ -96,20 +96,16 @@ BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 def box_for_range(chars: Column, start: Column, stop: Column) -> Column:
     """Smallest box around the visible characters in ``[start, stop)``, else null.
 
-    One pass over the range; the rest of the page's characters is not touched.
+    The range is cut out and its sides are taken as arrays, so no step is made for each
+    character but the test whether it is visible; the rest of the page's characters is
+    not touched.
     """
-    none = F.struct(*(F.lit(None).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1"))).cast(BOX)
-
-    def grow(box: Column, c: Column) -> Column:
-        wider = F.struct(
-            F.least(box["x0"], c["x0"]).alias("x0"), F.least(box["y0"], c["y0"]).alias("y0"),
-            F.greatest(box["x1"], c["x1"]).alias("x1"), F.greatest(box["y1"], c["y1"]).alias("y1"),
-        )
-        return F.when(c["c"].isNull() | is_space(c["c"]), box).otherwise(wider)
-
-    places = F.when((start >= 0) & (start < stop), F.sequence(start, stop - 1))
-    union = F.aggregate(places, none, lambda box, i: let(F.get(chars, i), lambda c: grow(box, c)))
-    return let(union, lambda box: F.when(box["x0"].isNotNull(), box))
+    own = F.when((start >= 0) & (start < stop), F.slice(chars, start + 1, stop - start))
+    seen = F.filter(own, lambda c: c["c"].isNotNull() & ~is_space(c["c"]))
+    union = let(seen, lambda v: F.struct(
+        F.array_min(v["x0"]).alias("x0"), F.array_min(v["y0"]).alias("y0"),
+        F.array_max(v["x1"]).alias("x1"), F.array_max(v["y1"]).alias("y1")))
+    return let(union, lambda box: F.when(box["x0"].isNotNull(), box.cast(BOX)))
 
 
 def pixels_to_points(value: Column, dpi: int) -> Column:

@@ -145,7 +145,9 @@ def line_blocks(pages: DataFrame) -> DataFrame:
     """Every non-blank line as a block, numbered across its document.
 
     Boxes are taken while the line is still beside its page's characters, so the
-    character arrays never travel; pages without them give blocks without boxes.
+    character arrays never travel; pages without them give blocks without boxes. The
+    outer explosion keeps the optimizer from asking for the lines' number first, for
+    which it would make all boxes a second time.
     """
     placed = pages.withColumn("lines", lines_of(F.col("text")))
     if "chars" in pages.columns:
@@ -159,8 +161,8 @@ def line_blocks(pages: DataFrame) -> DataFrame:
     cut = placed.select("doc_id", "page_no", "text", line.alias("lines"))
     base = page_offsets(placed.select("doc_id", "page_no", "text", "lines"), {"para_base": F.size("lines")})
     flat = cut.select("doc_id", "page_no", "lines").join(base, ["doc_id", "page_no"]).select(
-        "doc_id", "page_no", "page_start", "para_base", F.posexplode("lines").alias("pos", "line")
-    )
+        "doc_id", "page_no", "page_start", "para_base", F.posexplode_outer("lines").alias("pos", "line")
+    ).filter("pos is not null")
     return flat.select(
         "doc_id",
         (F.col("para_base") + F.col("pos")).alias("para_index"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pactspark.operators import boxes, evaluate, keyword_index, pages, rules
+from pactspark.operators import boxes, evaluate, keyword_index, rules
 from pactspark.plans import document_queries as base
 from pactspark.plans import rule_queries
 from pactspark.plans.document_queries import LINES_CTE
@@ -65,7 +65,7 @@ _PLAIN = r"regexp_replace({}, '\s+', '', 'g')"
     select doc_id, para as anchor_id, coalesce(w <> '' and g <> '' and (contains(g, substr(w, 1, 6)) or contains(w, substr(g, 1, 6))), false) as ok from m""")
 def anchors_misplaced(spark, sf):
     """Anchors on lines, a third of which quote the line after: only those that quote what lies under them are right."""
-    b = pages.line_blocks(base.paged(spark, sf))
+    b = base.boxed_lines(spark, sf)
     following = Window.partitionBy("doc_id").orderBy("para_index")  # the lines of one document
     quoted = b.withColumn("next", F.lead("text").over(following))
     a = quoted.select(F.concat_ws("-", "doc_id", "para_index").alias("anchor_id"), "doc_id", "page_no", F.when(F.col("para_index") % 3 == 1, F.col("next")).otherwise(F.col("text")).alias("quote_text"), "x0", "y0", "x1", "y1")

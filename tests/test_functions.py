@@ -200,3 +200,16 @@ def test_difference_counts_are_totals_of_the_runs(spark):
     want = evaluate.difference_totals(evaluate.differences(pairs, "before", "after"), "k")
     got = evaluate.difference_counts(pairs, "before", "after", "k")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_blocks_ask_for_their_boxes_once(spark):
+    """The optimizer must not put a test of the lines' number, with all boxes in it, before the join."""
+    from pactspark.operators import pages
+    from pactspark.plans.document_queries import page_chars
+
+    p = spark.createDataFrame([(1, 1, " ab c \n\nd"), (1, 2, ""), (1, 3, None)], "doc_id bigint, page_no int, text string")
+    b = pages.line_blocks(p.withColumn("chars", page_chars()))
+    plan = b._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "slice(" in x]
+    got = [(r.page_no, r.text, r.x0, r.y0, r.x1, r.y1) for r in b.orderBy("para_index").collect()]
+    assert got == [(1, "ab c", 10.0, 0.0, 49.0, 12.0), (1, "d", 80.0, 0.0, 89.0, 12.0)]
