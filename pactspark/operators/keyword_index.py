@@ -2,17 +2,23 @@
 
 A table of settings is broadcast and every clause meets every rule; a table of millions of
 keywords can't be. Here a keyword meets only texts that hold its rarest gram: grams of
-``GRAM`` characters (the whole keyword where it is shorter) are counted over all texts, each
-keyword takes the gram that the fewest texts hold, texts and keywords are joined by it, and
-what meets is verified on the text itself, so that a hash of grams decides nothing. A keyword
-with a gram that no text holds is in no text and falls away before the join.
+``GRAM`` characters (the whole keyword where it is shorter) that some keyword has are counted
+over all texts, each keyword takes the gram that the fewest texts hold, texts and keywords are
+joined by it, and what meets is verified on the text itself, so that a hash of grams decides
+nothing. A keyword with a gram that no text holds is in no text and falls away before the join.
 
-Both sides of the join grow, so it is a shuffle; a gram that many texts hold is some
-keyword's rarest only where all its grams are frequent, and adaptive execution splits it.
+Grams are made once, by numpy on the code points of a text, and those of no keyword go before
+anything is shuffled; what is left is written. Both sides of the join grow, so it is a shuffle;
+a gram that many texts hold is some keyword's rarest only where all its grams are frequent, and
+adaptive execution splits it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +29,27 @@ from pactspark.session import materialise
 GRAM = 4
 
 
-def grams(text: Column, size: int) -> Column:
-    """Hashes of the grams that a text holds, each once."""
-    every = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(every, lambda g: F.xxhash64(F.lit(size), g)))
+def grams(sizes: list[int]) -> Callable[[Column], Column]:
+    """Hashes of the grams of these sizes that a text holds, each once."""
+
+    def of(text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+        parts, mixed = [], np.zeros(len(points), dtype=np.uint64)
+        for n in range(1, max(sizes) + 1):
+            if len(points) < n:
+                break
+            # an odd factor keeps what differs apart; a size is part of its hash
+            mixed = (mixed[: len(points) - n + 1] ^ points[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            if n in sizes:
+                parts.append(np.unique(mixed + np.uint64(n)))
+        return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
+
+    @F.pandas_udf("array<bigint>")
+    def held(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else of(t) for t in texts], dtype="object")
+
+    return held.asNondeterministic()
 
 
 def find(texts: DataFrame, keywords: DataFrame, key: list[str], on: list[str] = ()) -> DataFrame:
@@ -35,27 +58,39 @@ def find(texts: DataFrame, keywords: DataFrame, key: list[str], on: list[str] =
     ``texts`` holds ``key`` (unique) and content; ``keywords`` keyword, and like ``texts``
     the columns ``on``, which must agree. Null and empty keywords are in no text.
     """
-    own = list(on)
+    met, same = _met(texts, keywords, key, list(on))
+    return texts.join(met, same).where(F.contains("content", F.col("keyword"))).select(*key, "keyword")
+
+
+def places(texts: DataFrame, keywords: DataFrame, key: list[str]) -> DataFrame:
+    """``find`` with ``at``, where the keyword stands first, counted from 1."""
+    met, same = _met(texts, keywords, key, [])
+    found = texts.join(met, same).withColumn("at", F.position("keyword", "content").cast("bigint"))
+    return found.where("at > 0").select(*key, "keyword", "at")
+
+
+def _met(texts: DataFrame, keywords: DataFrame, key: list[str], own: list[str]) -> tuple[DataFrame, Column]:
+    """Texts and keywords that share the keyword's rarest gram, and how they are joined to ``texts``."""
     wanted = keywords.select("keyword", *own).where("keyword <> ''").distinct().withColumn("size", F.least(F.char_length("keyword"), F.lit(GRAM)))
     wanted = materialise(wanted, "keywords")
     sizes = [r.size for r in wanted.select("size").distinct().collect()]  # at most GRAM
+    same = F.lit(True)
+    for k in key:
+        same = same & (F.col(k) == F.col(f"_{k}"))
     if not sizes:
-        return texts.select(*key).limit(0).withColumn("keyword", F.lit(""))
-    every = F.flatten(F.array(*(grams(F.col("content"), n) for n in sizes)))
-    held = texts.where("content is not null").select(*key, *(c for c in own if c not in key), F.explode(every).alias("gram"))
-    counts = held.groupBy("gram").count()
+        return texts.select(*(F.col(k).alias(f"_{k}") for k in key)).limit(0).withColumn("keyword", F.lit("")), same
     of = F.when(F.lit(False), F.array().cast("array<bigint>"))
     for n in sizes:
-        of = of.when(F.col("size") == n, grams(F.col("keyword"), n))
-    each = wanted.select("keyword", *own, F.explode(of).alias("gram")).join(counts, "gram", "left")
-    rarest = each.groupBy("keyword", *own).agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("r"))
+        of = of.when(F.col("size") == n, F.col(f"g{n}"))
+    made = wanted.withColumns({f"g{n}": grams([n])(F.col("keyword")) for n in sizes})
+    each = materialise(made.select("keyword", *own, F.explode_outer(of).alias("gram")), "keyword-grams")
+    held = texts.where("content is not null").select(*key, *(c for c in own if c not in key), F.explode_outer(grams(sizes)(F.col("content"))).alias("gram"))
+    held = materialise(held.join(each.select("gram").distinct(), "gram", "left_semi"), "text-grams")
+    counts = held.groupBy("gram").count()
+    ranked = each.join(counts, "gram", "left")
+    rarest = ranked.groupBy("keyword", *own).agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("r"))
     asked = rarest.where("r.n > 0").select("keyword", *own, F.col("r.gram").alias("gram"))
-    met = held.join(asked, ["gram", *own]).select(*(F.col(k).alias(f"_{k}") for k in key), "keyword")
-    same = None
-    for k in key:
-        test = F.col(k) == F.col(f"_{k}")
-        same = test if same is None else same & test
-    return texts.join(met, same).where(F.contains("content", F.col("keyword"))).select(*key, "keyword")
+    return held.join(asked, ["gram", *own]).select(*(F.col(k).alias(f"_{k}") for k in key), "keyword"), same
 
 
 def keyword_findings(clauses: DataFrame, rules: DataFrame) -> DataFrame:

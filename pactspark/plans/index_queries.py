@@ -27,7 +27,7 @@ def keywords_indexed(spark, sf):
     b = load(spark, sf, "benchmark").select(words.alias("ws"))
     three = F.when(F.size("ws") >= 3, F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, 3), " ")))
     keywords = b.select(F.explode(three).alias("keyword")).union(b.select(F.explode("ws"))).distinct()
-    texts = load(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    texts = base.texts(spark, sf).select("doc_id", F.col("text").alias("content"))
     return keyword_index.find(texts, keywords, ["doc_id"]).groupBy("keyword").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

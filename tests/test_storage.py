@@ -306,3 +306,19 @@ def test_pages_and_places_equal_one_sort(spark):
     assert none.total == 0 and none.placed().count() == 0 and none.page(1, 10).count() == 0
     with pytest.raises(ValueError):
         listed.page(0, 10)
+
+
+def test_grams_of_no_keyword_go_before_the_shuffle(spark, monkeypatch):
+    """What is written of the texts is as large as what keywords ask for, not as the texts."""
+    kept = {}
+
+    def noted(df, label, write=keyword_index.materialise):
+        kept[label] = write(df, label)
+        return kept[label]
+
+    monkeypatch.setattr(keyword_index, "materialise", noted)
+    texts = spark.createDataFrame([(1, "an 🙂 apple, and a pear " * 20), (2, "none of it"), (3, None), (4, "")], "id int, content string")
+    words = spark.createDataFrame([("apple",), ("🙂 ",), ("p",), ("",), (None,)], "keyword string")
+    assert sorted(tuple(r) for r in keyword_index.find(texts, words, ["id"]).collect()) == [(1, "apple"), (1, "p"), (1, "🙂 ")]
+    assert kept["text-grams"].count() == 4  # appl, pple, p and the pair
+    assert sorted(tuple(r) for r in keyword_index.places(texts, words, ["id"]).collect()) == [(1, "apple", 6), (1, "p", 7), (1, "🙂 ", 4)]
