@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -147,21 +148,45 @@ class TextIndex:
                 at = self.spaced.find(target[place : place + size], at + 1)
         return sorted(found)
 
+    def _bounds(self, target: str) -> list[tuple[float, int]]:
+        """Windows that may start a match, each with the likeness it can't exceed: the characters in common, in any order."""
+        starts = self._starts(target)
+        wanted = Counter(target)
+        out, held, at = [], Counter(), None
+        for start in starts:
+            window = self.spaced[start : start + len(target)]
+            if at is None or start - at > len(target):
+                held = Counter(window)
+                common = sum(min(n, held[c]) for c, n in wanted.items())
+            else:  # slides on
+                for gone in self.spaced[at : start]:
+                    common -= held[gone] <= wanted[gone]
+                    held[gone] -= 1
+                for new in self.spaced[at + len(target) : start + len(target)]:
+                    common += held[new] < wanted[new]
+                    held[new] += 1
+            out.append((2.0 * common / (len(target) + len(window)), start))
+            at = start
+        return out
+
     def fuzzy(self, quote: str) -> tuple[int, int] | None:
         """The window of the quote's length that is most like it, the earliest of equals."""
         target = comparable(quote)
         if len(target) < FUZZY_MIN_LENGTH:
             return None
-        best, best_score = None, 0.0
+        best, best_score = None, FUZZY_SIMILARITY - 1e-9
         matcher = SequenceMatcher(None, autojunk=True)
-        for start in self._starts(target):
+        # most characters in common first: once a window is better than what the rest can reach, the rest is not compared
+        for bound, start in sorted((-bound, start) for bound, start in self._bounds(target)):
+            if -bound < best_score:
+                break
+            if -bound == best_score and best is not None and start > best:
+                continue
             # the text window is the second sequence, as the measure is not symmetric
             matcher.set_seqs(target, self.spaced[start : start + len(target)])
-            least = max(best_score, FUZZY_SIMILARITY - 1e-9)
-            if matcher.real_quick_ratio() > least and matcher.quick_ratio() > least:
-                score = matcher.ratio()
-                if score > best_score:
-                    best, best_score = start, score
+            score = matcher.ratio()
+            if score > best_score or (score == best_score and best is not None and start < best):
+                best, best_score = start, score
         if best is None or best_score < FUZZY_SIMILARITY:
             return None
         return self._span(self.spaced_at, best, len(target))

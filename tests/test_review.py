@@ -264,3 +264,21 @@ def test_blocks_without_boxes_make_no_characters(spark):
     registry.load_all()
     plan = registry.QUERIES["line_blocks"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "+ 9.0)" not in plan  # where a character ends
+
+
+def test_fuzzy_compares_few_windows(monkeypatch):
+    """Windows that cannot be better than the best so far are not compared; of equals the earliest stays."""
+    compared = []
+
+    class Counted(anchors.SequenceMatcher):
+        def ratio(self):
+            compared.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(anchors, "SequenceMatcher", Counted)
+    text = "".join(f"{i * 2654435761 % 2**32:08x}" for i in range(1, 40))
+    quote = text[70:100] + "Z" + text[101:130]
+    assert anchors.TextIndex(text).fuzzy(quote) == (70, 130)
+    assert len(compared) <= 4
+    twice = anchors.TextIndex(text + " " + text)
+    assert twice.fuzzy(quote) == (70, 130)
