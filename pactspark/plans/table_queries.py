@@ -272,7 +272,7 @@ def _row(*columns: str) -> str:
     select c.code, coalesce(n.violated, 0) as violated, n.violated is null as passed, coalesce(sample, '') as sample, cast(null as varchar) as error
     from (select unnest([{', '.join(f"'{c}'" for c in checks.CHECKS)}]) as code) c left join n on n.code = c.code left join s on s.code = c.code""")
 def check_suite_whole(spark, sf):
-    """All checks with their smallest violations, over one scan per table; a contract's applicant stands for its file's hash."""
+    """All checks with their smallest violations; a contract's applicant stands for its file's hash."""
     t = tables(spark, sf, *_SUITE)
     s = check_suite_of.suite({**t, "contract": t["contract"].withColumn("file_hash", F.col("applicant"))})
     return s.select("code", "violated", "passed", F.array_join("sample", " ; ").alias("sample"), "error")

@@ -280,6 +280,31 @@ def test_the_whole_suite_says_what_it_cannot_run(spark):
     assert got["C1"].error == "no table anchor, risk_item, contract_metadata" and got["C1"].violated is None and not got["C1"].passed
 
 
+def test_the_suite_joins_keys_in_their_own_types(spark):
+    """An owner id that is null is not the empty one, and a counter that is null differs from nothing."""
+    from pactspark.operators import check_suite
+
+    def made(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    got = {r.code: r for r in check_suite.suite({
+        "anchor": made([("a1", "risk_item", "r1", 0), ("a2", "risk_item", None, 0), ("a3", "page", "r1", 0), ("a4", "contract_metadata", "r1", 0), ("a5", "contract_metadata", "m1", 0)],
+                       "anchor_id string, owner_type string, owner_id string, seq int").selectExpr(
+            "*", "1 as page_no", "0 as x0", "0 as y0", "1 as x1", "1 as y1", "1 as char_start", "2 as char_end", "'ocr' as source", "'exact' as anchor_level"),
+        "risk_item": made([("r1", 1, "both", False), ("r2", 1, "both", True), ("r3", 1, "both", True), ("", 1, "rule", False)], "risk_id string, contract_id bigint, merged_by string, unanchored boolean").selectExpr(
+            "*", "'t' as title", "'high' as risk_level", "false as is_global", "null as clause_id", "null as suggestion_edited", "false as adopted"),
+        "contract_metadata": made([("m1", 1, "k")], "metadata_id string, contract_id bigint, meta_key string"),
+        "review_task": made([(1, 1, 4), (2, 2, None), (3, 3, 0), (4, None, 1)], "task_id int, contract_id bigint, high_risk_count int").selectExpr(
+            "*", "0 as medium_risk_count", "0 as low_risk_count", "'reviewing' as status", "'' as blocked_reason", "'' as overall_risk", "'' as conclusion", "1 as parsed_pages", "1 as total_pages"),
+        "risk_evidence": made([("e1", "r1", "rule"), ("e2", "r1", "llm"), ("e3", "r2", "rule"), ("e4", "r2", "rule")], "evidence_id string, risk_id string, evidence_type string").selectExpr(
+            "*", "1 as rule_id", "'t' as title", "'raw' as raw_snippet"),
+    }).collect()}
+    assert got["C1"].sample == ["a2|risk_item|", "a3|page|r1", "a4|contract_metadata|r1"] and got["C1"].violated == 3
+    assert got["C2"].sample == ["|t"] and got["I3"].sample == ["r2", "r3"]
+    assert got["C3"].sample == ["4||1|0|0|0|0|0"]  # no risks are those of a contract that is not known
+    assert got["C7"].error == "no table clause, parse_result"
+
+
 # --- lists
 
 
