@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactspark import schemas
 from pactspark.packs.fixed import IMAGE_SUFFIXES
+from pactspark.session import materialise
+from pactspark.sources.storage import file_system
+
+#: Stored files of a folder, and bytes that a reading task holds at a time.
+FILES_IN_FOLDER, READ_BYTES = 4096, 8 << 20
 
 
 def read_originals(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -18,6 +27,65 @@ def read_originals(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
         "content", "modificationTime")
 
 
+def store_originals(files: DataFrame, folder: str) -> DataFrame:
+    """A file per row of (key bigint, content binary) below ``folder``; returns (key, path).
+
+    Each attempt of a task writes into folders of its own and the list is what finished
+    attempts return, so nobody has to list or move files. A null content has no file and a
+    null path.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(folder)
+        at, count = "", 0
+        for batch in batches:
+            paths = []
+            for content in batch.column("content"):
+                if not content.is_valid:
+                    paths.append(None)
+                    continue
+                if count % FILES_IN_FOLDER == 0:
+                    at = f"{root}/{uuid.uuid4().hex}"
+                    system.create_dir(at, recursive=True)
+                paths.append(f"{at}/{count % FILES_IN_FOLDER}.txt")
+                count += 1
+                with system.open_output_stream(paths[-1], compression=None) as out:
+                    out.write(content.as_buffer())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(paths, pa.string())], ["key", "path"])
+
+    return materialise(files.select(F.col("key").cast("bigint").alias("key"), "content").mapInArrow(run, "key bigint, path string"), "original-list")
+
+
+def read_stored(listed: DataFrame, folder: str) -> DataFrame:
+    """The listed files (key, path) with their bytes, size and content hash; tasks share the list evenly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = file_system(folder)
+        keys, paths, contents, size = [], [], [], 0
+
+        def taken() -> pa.RecordBatch:
+            arrays = [pa.array(keys, pa.int64()), pa.array(paths, pa.string()), pa.array(contents, pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["key", "path", "content"])
+
+        for batch in batches:
+            for key, path in zip(batch.column("key").to_pylist(), batch.column("path").to_pylist()):
+                content = None
+                if path is not None:
+                    with system.open_input_stream(path, compression=None) as file:
+                        content = file.read()
+                    size += len(content)
+                for column, value in zip((keys, paths, contents), (key, path, content)):
+                    column.append(value)
+                if size >= READ_BYTES or len(keys) >= FILES_IN_FOLDER:
+                    yield taken()
+                    keys, paths, contents, size = [], [], [], 0
+        yield taken()
+
+    parts = 4 * listed.sparkSession.sparkContext.defaultParallelism
+    files = listed.repartition(parts).mapInArrow(run, "key bigint, path string, content binary")
+    return files.select("key", "path", F.octet_length("content").cast("bigint").alias("file_size"), content_hash(F.col("content")).alias("file_hash"), "content")
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 

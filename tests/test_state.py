@@ -1,6 +1,7 @@
 """Task state, streams, sinks, upserts and checks."""
 
 import datetime
+import hashlib
 import time
 
 import pytest
@@ -117,6 +118,22 @@ def test_originals_are_read_with_hash_and_format(spark, tmp_path):
     assert [r["file_name"] for r in intake.rejected_formats(files, "file_name").collect()] == ["b.txt"]
 
 
+def test_stored_originals_are_one_file_per_row(spark, tmp_path):
+    """Rows of the same id keep files of their own, and a page without html has none."""
+    from pactspark.plans import registry
+
+    registry.load_all()
+    rows = [(1, "a\nb"), (1, "c"), (2, ""), (3, None), (4, "é" * 9), (None, "d")] + [(i, f"page {i}") for i in range(5, 9000)]
+    spark.createDataFrame(rows, "page_id bigint, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r.page_id, r.file_hash, r.file_size) for r in registry.QUERIES["originals_read"](spark, str(tmp_path)).collect()), key=repr)
+
+    def stored(html):
+        data = html.replace("\n", " ").encode() + b"\n"
+        return hashlib.sha256(data).hexdigest(), len(data)
+
+    assert got == sorted(((i, *(stored(html) if html is not None else (None, None))) for i, html in rows), key=repr)
+
+
 def test_todos_parse_and_reject(spark):
     good = '{"approval_no": "A1", "status": "pending", "submitted_at": "2026-01-02T03:04:05", "attachments": [{"attachment_id": "1", "file_name": "x.pdf"}, {"attachment_id": null}]}'
     t = intake.parse_todos(spark.createDataFrame([(good,), ("{",)], "value string"))
