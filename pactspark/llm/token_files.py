@@ -22,9 +22,10 @@ is what finished attempts return, so lost tasks leave nothing that is read.
 
 The tokenizer's pattern begins a piece at every blank that no white space follows, so a
 text is cut there, and the ids of a cut are kept per worker (``KEPT`` cuts and one batch's
-at most): the library meets each distinct word about once. New cuts go to it joined by line
-feeds, which are pieces of their own between cuts that do not end in white space; where
-the ids of a cut end follows from the tokens' lengths. Texts that hold an added token go to
+at most): the library meets each distinct word about once. New cuts go to it many at a
+time: those that a blank begins one after the other, as each begins a piece, and the first
+cuts of texts joined by line feeds, which are pieces of their own between cuts that do not
+end in white space; where the ids of a cut end follows from the tokens' lengths. Texts that hold an added token go to
 the library whole.
 
 Defined cases: a null text is empty and yields the closing id; null doc_ids come last; of
@@ -75,16 +76,6 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids, each text's as little-endian unsigned 32-bit integers."""
     import tokenizers
 
-    class Known(dict):
-        """Ids of cuts; what is looked up in vain is noted."""
-
-        def __init__(self) -> None:
-            super().__init__()
-            self.wanted: list[str] = []
-
-        def __missing__(self, cut: str) -> None:
-            self.wanted.append(cut)
-
     # This function travels by value, so what the tasks of one worker share must hang on a module that they import.
     workers = vars(tokenizers).setdefault("_pactspark_encoders", {})
     if path not in workers:
@@ -95,39 +86,55 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         for token, i in vocabulary.items():
             sizes[i] = len(token)  # a character for each byte
         added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
-        workers[path] = tokenizer, sizes, added, Known(), Known()
+        workers[path] = tokenizer, sizes, added, {}, {}
     tokenizer, sizes, added, first, later = workers[path]
 
     def singly(cuts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
 
-    def ids_of(cuts: list[str]) -> list[bytes]:
-        """The ids of cuts that neither begin nor end in white space, but for one blank at the front."""
+    def ids_of(cuts: list[str], gap: str) -> list[bytes]:
+        """The ids of cuts that neither begin nor end in white space, but for one blank at the front, which needs no gap."""
         out: list[bytes] = []
         groups = [cuts[i:i + JOINED] for i in range(0, len(cuts), JOINED)]
-        for group, e in zip(groups, tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+        joined = [gap.join(g) for g in groups]
+        for group, text, e in zip(groups, joined, tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             token_ends = np.cumsum(sizes[ids])
-            ends = np.cumsum([len(c.encode()) + 1 for c in group]) - 1
+            lengths = list(map(len, group if text.isascii() else map(str.encode, group)))
+            ends = np.cumsum(lengths) + np.arange(len(group)) * len(gap)
             last = np.minimum(np.searchsorted(token_ends, ends), max(len(ids) - 1, 0))
             if len(ids) and (token_ends[last] == ends).all():
                 held = ids.tobytes()
                 stops = (last * 4 + 4).tolist()
-                out += [held[i:j] for i, j in zip([0, *(j + 4 for j in stops[:-1])], stops)]  # a line feed lies between
+                step = 4 * len(gap)  # a line feed is an id of its own
+                out += [held[i:j] for i, j in zip([0, *(j + step for j in stops[:-1])], stops)]
             else:
                 out += singly(group)
         return out
 
-    def learn(known: Known, lead: str) -> list[str]:
-        """Look up what was wanted; returns the cuts that are too long to be kept."""
-        new = list(set(known.wanted))
-        known.wanted.clear()
+    def learn(known: dict[str, bytes], new: list[str], lead: str, gap: str) -> list[str]:
+        """Look up new cuts; returns those that are too long to be kept."""
         odd = [c for c in new if c.strip() != c or not c]
         plain = [c for c in new if c and c.strip() == c] if odd else new
-        known.update(zip(plain, ids_of([lead + c for c in plain])))
+        known.update(zip(plain, ids_of([lead + c for c in plain], gap)))
         known.update(zip(odd, singly([lead + c if c else "" for c in odd])))
         return [c for c in new if len(c) > KEPT_CHARS]
 
+    def filled(known: dict[str, bytes], rows: list[list[str]], lead: str, gap: str) -> list[list[bytes]]:
+        """The ids of every cut; only places of new cuts are looked at twice."""
+        get = known.get
+        out = [list(map(get, row)) for row in rows]
+        holes = [[j for j, ids in enumerate(row) if ids is None] for row in out]
+        new = {row[j] for row, places in zip(rows, holes) for j in places}
+        if new:
+            long = learn(known, list(new), lead, gap)
+            for row, ids, places in zip(rows, out, holes):
+                for j in places:
+                    ids[j] = known[row[j]]
+            for c in long:
+                del known[c]
+        return out
+
     def run(texts: list[str]) -> list[bytes]:
         for known in (first, later):
             if len(known) > KEPT:
@@ -145,19 +152,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 head, *rest = t.split(" ")
             heads.append(head)
             rests.append(rest)
-        get, get_first = later.__getitem__, first.__getitem__
-        rows = [list(map(get, r)) for r in rests]
-        starts = list(map(get_first, heads))
-        if first.wanted:
-            long = learn(first, "")
-            starts = list(map(get_first, heads))
-            for c in long:
-                del first[c]
-        if later.wanted:
-            long = learn(later, " ")
-            rows = [list(map(get, r)) if None in row else row for r, row in zip(rests, rows)]
-            for c in long:
-                del later[c]
+        starts = filled(first, [heads], "", "\n")[0]
+        rows = filled(later, rests, " ", "")
         out = [b"".join([s, *row]) for s, row in zip(starts, rows)]
         for i, b in zip(whole, singly([texts[i] for i in whole])):
             out[i] = b
@@ -174,6 +170,18 @@ def long(ids: pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(ids, dtype="<u2" if ids.size == 2 * n else "<u4")
 
 
+def ids_of_batch(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids per document, all their ids) of a batch with columns ``n`` and ``ids``."""
+    n, column = batch.column("n").to_numpy().astype(np.int64), batch.column("ids").cast(pa.large_binary())
+    _, ends, held = column.buffers()
+    if not len(n) or held is None:
+        return n, np.zeros(0, dtype="<u2")
+    places = np.frombuffer(ends, dtype="<i8")[column.offset:column.offset + len(n) + 1]
+    if places[-1] - places[0] == 2 * n.sum():  # every document's are of two bytes, as none can be of fewer
+        return n, np.frombuffer(held, np.uint8)[places[0]:places[-1]].view("<u2")
+    return n, np.concatenate([long(ids.as_buffer(), k).astype("<u4") for k, ids in zip(n.tolist(), column)])
+
+
 def tokens(docs: DataFrame, tokenizer: str | None = None, closing_id: int = CLOSING_ID) -> DataFrame:
     """(doc_id, tie, n, ids) of every row; ``ids`` little-endian unsigned integers in bytes, all of two or all of four."""
     path = tokenizer or tokenizer_file()
@@ -197,11 +205,10 @@ def ranked(encoded: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for n, ids in zip(batch.column("n").to_pylist(), batch.column("ids")):
-                more = np.bincount(long(ids.as_buffer(), n))
-                if len(more) > len(counts):
-                    counts = np.append(counts, np.zeros(len(more) - len(counts), dtype=np.int64))
-                counts[: len(more)] += more
+            more = np.bincount(ids_of_batch(batch)[1])
+            if len(more) > len(counts):
+                counts = np.append(counts, np.zeros(len(more) - len(counts), dtype=np.int64))
+            counts[: len(more)] += more
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], ["id", "n"])
 
@@ -209,12 +216,15 @@ def ranked(encoded: DataFrame) -> np.ndarray:
     return counts.orderBy(F.desc("n"), "id").toPandas()["id"].to_numpy().astype("<u4")
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, data bytes) of one document's ranks."""
+def pack(ranks: np.ndarray, sizes: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of the ranks of documents, ``sizes`` of each (else of one), whose control bytes begin anew."""
+    sizes = np.array([len(ranks)]) if sizes is None else sizes
     lengths = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    slots = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    slots[: len(ranks)] = lengths - 1
-    control = (slots.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(axis=1).astype(np.uint8)
+    room = -(-sizes // 4) * 4
+    slots = np.zeros(int(room.sum()), dtype=np.uint8)
+    slots[np.arange(len(ranks)) + np.repeat(np.cumsum(room - sizes) - (room - sizes), sizes)] = lengths - 1
+    four = slots.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
     held = np.arange(4) < lengths[:, None]
     return control.tobytes(), ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[held].tobytes()
 
@@ -301,14 +311,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, closing_id
 
         size = 0
         for batch in batches:
-            for doc_id, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids")):
-                control, data = pack(shared.value[long(ids.as_buffer(), n)])
-                for column, value in zip(held, (doc_id, n, control, data)):
-                    column.append(value)
-                size += len(control) + len(data) + 17
+            doc_ids, (sizes, ids) = batch.column("doc_id").to_pylist(), ids_of_batch(batch)
+            ends, weights = np.append(0, np.cumsum(sizes)), np.cumsum(2 * sizes + 17)
+            first = 0
+            while first < len(sizes):  # some documents at a time
+                before = weights[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(weights, before + min(2 * DECODED, shard_bytes), side="right")))
+                control, data = pack(shared.value[ids[ends[first]:ends[last]]], sizes[first:last])
+                for column, values in zip(held, (doc_ids[first:last], sizes[first:last].tolist(), [control], [data])):
+                    column.extend(values)
+                size += len(control) + len(data) + 17 * (last - first)
                 if size >= shard_bytes:
                     close()
                     size = 0
+                first = last
         if held[0]:
             close()
         types = (pa.string(), *[pa.int64()] * 5)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,19 @@ def test_cut_texts_have_the_library_s_ids():
         assert [np.frombuffer(b, "<u4").tolist() for b in encode(texts)] == library_ids(texts)
 
 
+def test_ids_of_many_documents_are_packed_at_once():
+    rnd = np.random.default_rng(5)
+    docs = [rnd.integers(0, top, n).astype("<u4") for n, top in ((1, 200), (5, 70_000), (4, 300), (7, 1 << 25), (2, 60_000))]
+    sizes = np.array([len(d) for d in docs])
+    assert token_files.pack(np.concatenate(docs), sizes) == tuple(b"".join(x) for x in zip(*(token_files.pack(d) for d in docs)))
+    for some in (docs, [d for d in docs if d.max() < 65_536], []):
+        batch = pa.RecordBatch.from_arrays([pa.array([len(d) for d in some], pa.int32()), pa.array([token_files.short(d) for d in some], pa.binary())], ["n", "ids"])
+        for cut in (batch, batch.slice(1)):
+            n, ids = token_files.ids_of_batch(cut)
+            want = some[len(some) - cut.num_rows:]
+            assert n.tolist() == [len(d) for d in want] and ids.tolist() == [int(i) for d in want for i in d]
+
+
 def test_pack_and_unpack():
     rnd = random.Random(6)
     docs = [np.array([rnd.choice([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1]) for _ in range(n)], dtype=np.uint32) for n in (0, 1, 3, 4, 5, 0, 1000, 2)]
