@@ -125,15 +125,17 @@ def split_line_box(text: Column, box: Column, given: Column) -> Column:
     """One box per character: the given ones when they fit, else equal widths."""
 
     def cut(chars: Column, step: Column) -> Column:
-        return F.transform(chars, lambda c, i: F.struct(
-            c.alias("c"), (box["x0"] + step * i.cast("double")).alias("x0"), box["y0"].alias("y0"),
-            (box["x0"] + step * (i.cast("double") + F.lit(1.0))).alias("x1"), box["y1"].alias("y1")))
+        n = F.size(chars)
+        edges = F.transform(F.sequence(F.lit(0), n), lambda i: box["x0"] + step * i.cast("double"))
+        level = lambda y: F.array_repeat(y, n)
+        return let(edges, lambda e: F.arrays_zip(
+            chars.alias("c"), F.slice(e, F.lit(1), n).alias("x0"), level(box["y0"]).alias("y0"), F.slice(e, F.lit(2), n).alias("x1"), level(box["y1"]).alias("y1")))
 
     def fitted(chars: Column) -> Column:
         return F.zip_with(chars, given, lambda c, own: F.struct(
             c.alias("c"), *(own[k].alias(k) for k in ("x0", "y0", "x1", "y1"))))
 
-    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    letters = F.array_remove(F.split(text, ""), "")
     return let(letters, lambda chars: F.when(F.coalesce(F.size(given), F.lit(-1)) == F.size(chars), fitted(chars)).otherwise(
         let((box["x1"] - box["x0"]) / F.greatest(F.size(chars), F.lit(1)).cast("double"), lambda step: cut(chars, step))))
 

@@ -148,6 +148,18 @@ def test_values_inside_text():
     assert jsonx.embedded_value("null") is None
 
 
+def test_equal_boxes_of_a_long_line_share_their_edges(spark):
+    from pyspark.sql import functions as F
+
+    box = F.struct(F.lit(50.0).alias("x0"), F.lit(1.0).alias("y0"), F.lit(350.0).alias("x1"), F.lit(2.0).alias("y1"))
+    none = F.lit(None).cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")
+    line = "é😀 " * 7
+    got = one(spark, numbers.split_line_box(F.lit(line), box, none))
+    step = 300.0 / len(line)
+    assert [tuple(b) for b in got] == [(c, 50.0 + step * i, 1.0, 50.0 + step * (i + 1), 2.0) for i, c in enumerate(line)]
+    assert got[0].asDict().keys() == {"c", "x0", "y0", "x1", "y1"}
+
+
 def test_character_boxes(spark):
     box = F.struct(*(F.lit(float(v)).alias(k) for k, v in zip(("x0", "y0", "x1", "y1"), (0, 0, 30, 10))))
     none = F.lit(None).cast("array<struct<x0: double, y0: double, x1: double, y1: double>>")
