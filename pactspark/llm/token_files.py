@@ -35,6 +35,7 @@ other columns are ignored; an empty table gives no shards and an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -74,6 +75,7 @@ def tokenizer_file() -> str:
 
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to ids, each text's as little-endian unsigned 32-bit integers."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has a core; threads of the library only wait for work
     import tokenizers
 
     # This function travels by value, so what the tasks of one worker share must hang on a module that they import.
