@@ -13,6 +13,7 @@ from pactspark.plans import document_queries as base
 from pactspark.plans.document_queries import SECTIONS_CTE
 from pactspark.plans.registry import query
 from pactspark.plans.standins import load
+from pactspark.session import materialise
 from pactspark.sources import intake
 
 # ---- expectations with pages and levels --------------------------------------------------------
@@ -27,7 +28,7 @@ _JUDGED = f"""l as ({_LINES.format(lineitem='lineitem')}),
 
 
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.sql(_LINES, lineitem=load(spark, sf, "lineitem"))
+    e = materialise(spark.sql(_LINES, lineitem=load(spark, sf, "lineitem")), "judged-lines")  # both sides read them, several times
     title = F.concat(F.lit("r"), F.col("pos").cast("string"), F.lit("."))
     expected = e.select("case_id", "pos", title.alias("title"), F.lit(None).cast("array<string>").alias("match_keywords"), F.when(F.col("q") > 25, "high").otherwise("low").alias("risk_level"),
                         (F.col("st") == "F").alias("must_anchor"), F.when(F.col("rf") == "R", 1).when(F.col("rf") == "N", 2).alias("expected_anchor_page"),

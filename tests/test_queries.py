@@ -41,3 +41,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_expectations_read_the_lines_once(spark):
+    """The grouped lines are written, and all branches of the matching read what was written."""
+    plan = registry.QUERIES["expected_placed"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan and "judged-lines" in plan
