@@ -62,8 +62,8 @@ def sections_of_blocks(
     )
 
 
-def section_array(text: Column, patterns: Sequence[str] = CLAUSE_NO_PATTERNS) -> Column:
-    """The clauses of one text, as an array, without leaving the row."""
+def section_array(text: Column, patterns: Sequence[str] = CLAUSE_NO_PATTERNS, *, content: bool = True) -> Column:
+    """The clauses of one text, as an array, without leaving the row; ``content`` may be left out."""
 
     def with_numbers(lines: Column) -> Column:
         return F.transform(lines, lambda x: F.struct(
@@ -78,10 +78,10 @@ def section_array(text: Column, patterns: Sequence[str] = CLAUSE_NO_PATTERNS) ->
     def section(lines: Column, opens: Column, s: Column, k: Column) -> Column:
         stop = F.coalesce(F.get(opens, k + 1), F.size(lines))
         head, tail = F.get(lines, s), F.get(lines, stop - 1)
+        joined = [F.array_join(F.transform(F.slice(lines, s + 1, stop - s), lambda x: x["text"]), "\n").alias("content")] if content else []
         return F.struct(
             k.alias("seq"), head["no"].alias("clause_no"),
-            clause_title(head["text"], head["no"]).alias("title"),
-            F.array_join(F.transform(F.slice(lines, s + 1, stop - s), lambda x: x["text"]), "\n").alias("content"),
+            clause_title(head["text"], head["no"]).alias("title"), *joined,
             s.cast("bigint").alias("para_index"), head["start"].alias("char_start"), tail["stop"].alias("char_end"),
         )
 

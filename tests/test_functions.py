@@ -225,3 +225,27 @@ def test_blocks_ask_for_their_boxes_once(spark):
     assert not [x for x in plan.splitlines() if "Filter" in x and "slice(" in x]
     got = [(r.page_no, r.text, r.x0, r.y0, r.x1, r.y1) for r in b.orderBy("para_index").collect()]
     assert got == [(1, "ab c", 10.0, 0.0, 49.0, 12.0), (1, "d", 80.0, 0.0, 89.0, 12.0)]
+
+
+def test_similarity_is_that_of_the_sequence_matcher():
+    from difflib import SequenceMatcher
+
+    draw = random.Random(3)
+    for size in (0, 1, 8, 63, 199, 200, 201, 420):
+        for letters in ("ab", "abcdefgh ", "试用期工资 𝄞xyz", "abcdefghijklmnopqrstuvwxyz" * 9 + "ÄÖÜéñç"):
+            b = "".join(draw.choices(letters, k=size))
+            a = "".join(draw.choices(letters + "!", k=draw.randrange(240))) + b[size // 3 : size // 2] + b[:5]
+            want = SequenceMatcher(None, a, b).ratio() if a and b else float(a == b)
+            assert similarity.ratio(a, b) == want, (a, b)
+    assert similarity.ratio(None, "") == 1.0 and similarity.ratio("a", None) == 0.0
+
+
+def test_title_similarity_pairs_titles_inside_their_document(spark, tmp_path):
+    from pactspark.plans import registry
+
+    registry.load_all()
+    rows = [(2, "en", "As one\nAs two\n\nIt is\nso\nlower\nAs one"), (1, "en", "none\nAs x\nA\nAs x"), (3, "en", ""), (4, "en", None)]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = registry.QUERIES["title_similarity"](spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, out.collect())) == [(2, 0, 0.333333), (2, 1, 0.0), (2, 2, 0.0)]
