@@ -190,6 +190,11 @@ def _one_sided() -> Column:
     return (F.col("rule_type") == "threshold") & (F.col("metric") == "liability_asymmetry") & (F.size("severe") > 0)
 
 
+def _wording() -> Column:
+    """Presence rules that look for a text."""
+    return (F.col("rule_type") == "presence") & F.col("required_pattern").isNotNull()
+
+
 def _slim(clauses: DataFrame, *more: str) -> DataFrame:
     return clauses.select("doc_id", "business_type", F.col("seq").alias("clause_index"), "clause_no", "content",
                           first_percent(F.col("content")).alias("ratio"), *more)
@@ -211,14 +216,15 @@ def clause_answers(clauses: DataFrame, prepared: DataFrame) -> DataFrame:
     wording that a presence rule requires stands, within one clause, and where it lacks.
     """
     content = F.col("content")
-    wording = (F.col("rule_type") == "presence") & F.col("required_pattern").isNotNull()
+    wording = _wording()
     asked = prepared.filter(_of_clauses() | _one_sided() | wording)
+    typed = _kinds(prepared)[2]  # the type of every clause is made only where a rule asks for wording
     place = F.struct("clause_index", "clause_no")
     has = F.when(wording, content.contains(F.col("required_pattern")))
-    inside = F.when(wording, F.coalesce(F.col("clause_type") == F.col("within"), F.lit(False)))
+    inside = F.when(wording, F.coalesce(F.col("clause_type") == F.col("within"), F.lit(False))) if typed else F.lit(None).cast("boolean")
     liked = F.exists("anchor_keywords", lambda k: content.contains(k))
     severe = F.when(_one_sided(), _first_in(F.col("severe"), lambda k: content.contains(k)))
-    marked = _slim(clauses, "clause_type").join(F.broadcast(asked), "business_type").select(
+    marked = _slim(clauses, *(["clause_type"] if typed else [])).join(F.broadcast(asked), "business_type").select(
         "doc_id", "rule_id", "clause_index", "clause_no", _clause_finding().alias("found"),
         let(severe, lambda w: F.when(w.isNotNull(), F.struct("clause_index", "clause_no", w.alias("word"), quote_around(content, w).alias("quote")))).alias("severe"),
         F.when(_one_sided(), _first_in(F.col("mild"), lambda k: content.contains(k))).alias("mild"),
@@ -349,11 +355,19 @@ def hits(findings: DataFrame, prepared: DataFrame) -> DataFrame:
     )
 
 
-def _kinds(prepared: DataFrame) -> tuple[bool, bool]:
-    """Whether a rule asks about listed subjects, and whether one asks about a document's facts."""
-    kinds = {(r["rule_type"], r["metric"], r["list_source"]) for r in prepared.select("rule_type", "metric", "list_source").distinct().collect()}
-    by_subject = any(kind == "blacklist" and source == "subject_blacklist" for kind, _, source in kinds)
-    return by_subject, by_subject or any(kind == "presence" or (kind == "threshold" and metric == "amount") for kind, metric, _ in kinds)
+def _kinds(prepared: DataFrame) -> tuple[bool, bool, bool]:
+    """Whether a rule asks about listed subjects, one about a document's facts, and one about wording in clauses."""
+    kinds = {tuple(r) for r in prepared.select("rule_type", "metric", "list_source", _wording()).collect()}
+    by_subject = any(kind == "blacklist" and source == "subject_blacklist" for kind, _, source, _ in kinds)
+    by_document = by_subject or any(kind == "presence" or (kind == "threshold" and metric == "amount") for kind, metric, _, _ in kinds)
+    return by_subject, by_document, any(worded for *_, worded in kinds)
+
+
+def keys_read(prepared: DataFrame) -> set[str]:
+    """Metadata keys that the rules read; others need not be extracted for them."""
+    rows = prepared.select("required_keys", (F.col("rule_type") == "threshold") & (F.col("metric") == "amount")).collect()
+    parties = {"party_a_name", "party_b_name"} if _kinds(prepared)[0] else set()
+    return {key for keys, _ in rows for key in keys} | ({"amount"} if any(amount for _, amount in rows) else set()) | parties
 
 
 def reads_documents(prepared: DataFrame) -> bool:
@@ -370,7 +384,7 @@ def evaluate(
     ``docs`` is (doc_id, business_type), ``clauses`` carries business_type too.
     ``all_matches`` reports every clause a clause rule finds something in.
     """
-    by_subject, by_document = _kinds(prepared)
+    by_subject, by_document, _ = _kinds(prepared)
     answers = clause_answers(clauses, prepared)
     answers = answers.select("doc_id", "rule_id", F.struct(*[c for c in answers.columns if c not in ("doc_id", "rule_id")]).alias("a"))
     found = F.when(_of_clauses(), F.col("a.finding") if not all_matches else F.lit(None)).when(_one_sided(), _one_sided_finding())

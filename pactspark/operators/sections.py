@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactspark.functions.scope import indexes, let
-from pactspark.functions.text import classify, clause_number, clause_title
+from pactspark.functions.text import classify, clause_number, clause_title, strip
 from pactspark.operators.pages import assemble, lines_of, page_of
 from pactspark.operators.running import running_sum
 from pactspark.packs.fixed import CLAUSE_NO_PATTERNS, CLAUSE_TYPE_KEYWORDS
@@ -62,30 +62,32 @@ def sections_of_blocks(
     )
 
 
-def section_array(text: Column, patterns: Sequence[str] = CLAUSE_NO_PATTERNS, *, content: bool = True) -> Column:
-    """The clauses of one text, as an array, without leaving the row; ``content`` may be left out."""
+def section_array(text: Column, patterns: Sequence[str] = CLAUSE_NO_PATTERNS, *, content: bool = True, offsets: bool = True) -> Column:
+    """The clauses of one text, as an array, without leaving the row.
 
-    def with_numbers(lines: Column) -> Column:
-        return F.transform(lines, lambda x: F.struct(
-            x["text"].alias("text"), x["start"].alias("start"), x["stop"].alias("stop"),
-            clause_number(x["text"], patterns).alias("no"),
-        ))
+    ``content`` and ``offsets`` (char_start, char_end) may be left out where nobody reads
+    them: an array is made whole, so the optimizer cannot do that by itself.
+    """
 
-    def cut(lines: Column) -> Column:
-        opens = F.filter(indexes(F.size(lines)), lambda i: (i == 0) | F.get(lines, i)["no"].isNotNull())
-        return let(opens, lambda o: F.transform(o, lambda s, k: section(lines, o, s, k)))
+    def cut(lines: Column, numbers: Column) -> Column:
+        opens = F.filter(indexes(F.size(lines)), lambda i: (i == 0) | F.get(numbers, i).isNotNull())
+        return let(opens, lambda o: F.transform(o, lambda s, k: section(lines, numbers, o, s, k)))
 
-    def section(lines: Column, opens: Column, s: Column, k: Column) -> Column:
+    def section(lines: Column, numbers: Column, opens: Column, s: Column, k: Column) -> Column:
         stop = F.coalesce(F.get(opens, k + 1), F.size(lines))
-        head, tail = F.get(lines, s), F.get(lines, stop - 1)
-        joined = [F.array_join(F.transform(F.slice(lines, s + 1, stop - s), lambda x: x["text"]), "\n").alias("content")] if content else []
-        return F.struct(
-            k.alias("seq"), head["no"].alias("clause_no"),
-            clause_title(head["text"], head["no"]).alias("title"), *joined,
-            s.cast("bigint").alias("para_index"), head["start"].alias("char_start"), tail["stop"].alias("char_end"),
-        )
+        number, head = F.get(numbers, s), F.get(lines, s)
+        own = F.slice(lines, s + 1, stop - s)
+        given = [k.alias("seq"), number.alias("clause_no"), clause_title(head["text"] if offsets else head, number).alias("title")]
+        if content:
+            given.append(F.array_join(F.transform(own, lambda x: x["text"]) if offsets else own, "\n").alias("content"))
+        given.append(s.cast("bigint").alias("para_index"))
+        if offsets:
+            given += [head["start"].alias("char_start"), F.get(lines, stop - 1)["stop"].alias("char_end")]
+        return F.struct(*given)
 
-    return let(lines_of(text), lambda lines: let(with_numbers(lines), cut))
+    found = lines_of(text) if offsets else F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
+    return let(found, lambda lines: let(
+        F.transform(lines, lambda x: clause_number(x["text"] if offsets else x, patterns)), lambda numbers: cut(lines, numbers)))
 
 
 def sections_of_text(
@@ -93,12 +95,14 @@ def sections_of_text(
     patterns: Sequence[str] = CLAUSE_NO_PATTERNS,
     keyword_lists: Sequence[tuple[str, Sequence[str]]] = CLAUSE_TYPE_KEYWORDS,
     keep: Sequence[str] = (),
+    offsets: bool = True,
 ) -> DataFrame:
     """Clauses of documents that are one text each; needs no shuffle at all.
 
-    Takes (doc_id, text, …); ``keep`` names columns to carry along.
+    Takes (doc_id, text, …); ``keep`` names columns to carry along; without ``offsets``
+    there are no char_start and char_end, which cost about as much as all the rest.
     """
-    flat = docs.select("doc_id", *keep, F.inline(section_array(F.col("text"), patterns)))
+    flat = docs.select("doc_id", *keep, F.inline(section_array(F.col("text"), patterns, offsets=offsets)))
     return flat.withColumn("clause_type", classify(F.col("content"), keyword_lists))
 
 

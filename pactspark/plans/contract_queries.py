@@ -12,6 +12,7 @@ from pactspark.operators import metadata, pages, rule_audit, rules, sections
 from pactspark.packs import contracts, fixed
 from pactspark.plans.registry import query
 from pactspark.plans.standins import load
+from pactspark.session import materialise
 
 _CURRENCY = {"1-URGENT": "美元", "2-HIGH": "欧元", "3-MEDIUM": "人民币", "4-NOT SPECIFIED": "JPY", "5-LOW": ""}
 _DATE = """case o_orderstatus when 'F' then concat(cast(year(o_orderdate) as string), '年', cast(month(o_orderdate) as string), '月', cast(day(o_orderdate) as string), '日')
@@ -47,7 +48,8 @@ def contract_terms_extracted(spark, sf):
 
 
 def _cut(docs: DataFrame) -> DataFrame:
-    return sections.sections_of_text(docs, keep=["business_type"])
+    """The clauses, written once: rules and places read them. No offset is asked for."""
+    return materialise(sections.sections_of_text(docs, keep=["business_type"], offsets=False), "clauses")
 
 
 def _labor(spark: SparkSession, sf: str) -> DataFrame:

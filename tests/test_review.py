@@ -282,3 +282,20 @@ def test_fuzzy_compares_few_windows(monkeypatch):
     assert len(compared) <= 4
     twice = anchors.TextIndex(text + " " + text)
     assert twice.fuzzy(quote) == (70, 130)
+
+
+def test_clauses_without_offsets_are_the_same_clauses(spark):
+    texts = ["第一条 一\n  甲 \n\n第二条 二\n\t乙", "前言\n1.1、 x\n二、y", "", " \n ", None, "只有一行", "第三条"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = sections.sections_of_text(docs)
+    bare = sections.sections_of_text(docs, offsets=False)
+    assert sorted(set(whole.columns) - set(bare.columns)) == ["char_end", "char_start"]
+    assert sorted(map(repr, bare.collect())) == sorted(map(repr, whole.select(*bare.columns).collect()))
+
+
+def test_rules_that_ask_for_no_wording_make_no_clause_types(spark):
+    docs = spark.createDataFrame([(1, "labor", "第二条 试用期\n试用期工资为约定工资的 60%。")], "doc_id bigint, business_type string, text string")
+    prepared = rules.prepare(contracts.rules(spark), contracts.templates(spark)).filter("rule_code = 'PROBATION_PAY_LOW'")
+    answers = rules.clause_answers(sections.sections_of_text(docs, keep=["business_type"]), prepared)
+    assert "知识产权" not in answers._jdf.queryExecution().optimizedPlan().toString()
+    assert answers.first()["finding"]["clause_no"] == "第二条"
