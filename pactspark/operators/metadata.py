@@ -7,7 +7,7 @@ span follows from the length of the part before the value and no UDF is needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +74,13 @@ def nth_values(text: Column, keys: Sequence[str], pattern: str) -> list[Column]:
     return [nth(n, key) for n, key in enumerate(keys)]
 
 
-def contract_entries(text: Column) -> Column:
-    """All metadata of a Chinese contract as an array of structs."""
-    singles = [first_value(text, *p) for p in METADATA_PATTERNS]
-    codes = nth_values(text, ("party_a_credit_code", "party_b_credit_code"), CREDIT_CODE_PATTERN)
+CREDIT_CODES = ("party_a_credit_code", "party_b_credit_code")
+
+
+def contract_entries(text: Column, keys: Collection[str] | None = None) -> Column:
+    """All metadata of a Chinese contract, or those of ``keys``, as an array of structs."""
+    singles = [first_value(text, *p) for p in METADATA_PATTERNS if keys is None or p[0] in keys]
+    codes = nth_values(text, CREDIT_CODES, CREDIT_CODE_PATTERN) if keys is None or set(CREDIT_CODES) & set(keys) else []
     return F.array_compact(F.array(*singles, *codes))
 
 

@@ -85,7 +85,8 @@ def rules_presence_anchored(spark, sf):
     row = (1, 1, "TERM_NEEDED", "term needed", "amount_payment", "low", "presence", config, None, None, True, 0, [])
     prepared = rules.prepare(spark.createDataFrame([row], schemas.RULES), spark.createDataFrame([(1, "sales", "t", "", True)], schemas.TEMPLATES))
     cut = _cut(docs)
-    h = rules.evaluate(docs.select("doc_id", "business_type"), cut, metadata.extract(docs), contracts.blacklist(spark), prepared)
+    found = metadata.extract(docs, metadata.contract_entries(F.col("text"), rules.keys_read(prepared)))
+    h = rules.evaluate(docs.select("doc_id", "business_type"), cut, found, contracts.blacklist(spark), prepared)
     numbers = cut.select("doc_id", F.col("seq").alias("clause_index"), "clause_no")
     return h.join(numbers, ["doc_id", "clause_index"], "left").select("doc_id", "rule_code", "clause_no")
 

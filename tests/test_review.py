@@ -299,3 +299,13 @@ def test_rules_that_ask_for_no_wording_make_no_clause_types(spark):
     answers = rules.clause_answers(sections.sections_of_text(docs, keep=["business_type"]), prepared)
     assert "知识产权" not in answers._jdf.queryExecution().optimizedPlan().toString()
     assert answers.first()["finding"]["clause_no"] == "第二条"
+
+
+def test_rules_name_the_metadata_they_read(spark):
+    every = rules.prepare(contracts.rules(spark), contracts.templates(spark))
+    assert rules.keys_read(every.filter("rule_code = 'PROBATION_PAY_LOW'")) == set()
+    keys = rules.keys_read(every)
+    assert {"amount", "party_a_name", "party_b_name"} <= keys
+    d = spark.createDataFrame([("甲方：海岸公司\n合同期限：一年\n合同编号：A-100",)], "text string")
+    found = d.select(F.inline(metadata.contract_entries(F.col("text"), {"term"}))).collect()
+    assert [(r.meta_key, r.meta_value) for r in found] == [("term", "一年")]
