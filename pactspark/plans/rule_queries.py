@@ -18,8 +18,8 @@ ENABLED = ("en", "fr", "de")
 
 
 def clauses(spark: SparkSession, sf: str) -> DataFrame:
-    """The clause table, written once: every kind of rule reads it again."""
-    return materialise(base.clauses(spark, sf), "clauses")
+    """The clause table, written once: every kind of rule reads it again. No rule asks for offsets."""
+    return materialise(base.clauses(spark, sf, offsets=False), "clauses")
 
 
 def extracted(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,7 +39,7 @@ def all_hits(spark: SparkSession, sf: str, *codes: str) -> DataFrame:
     chosen = chosen.filter(F.col("rule_code").isin(*codes)) if codes else chosen
     # Written only where two branches of the plan read them.
     whole = rules.reads_documents(chosen)
-    cut, found = (clauses(spark, sf), extracted(spark, sf)) if whole else (base.clauses(spark, sf), base.extracted(spark, sf))
+    cut, found = (clauses(spark, sf), extracted(spark, sf)) if whole else (base.clauses(spark, sf, offsets=False), base.extracted(spark, sf))
     h = rules.evaluate(keys_of(spark, sf), cut, found, latin.blacklist(spark), chosen)
     return h.select("doc_id", "rule_code", "clause_index", "quote", F.col("evidence_detail").alias("detail"), "reason")
 
