@@ -378,8 +378,8 @@ def verdicts_parsed(spark, sf):
     return verdicts.parse(verdicts.salvage(r)).select("doc_id", "pos", "title", "risk_level", "category", "reason", "legal_basis", "need_review")
 
 
-def replayed(spark: SparkSession, sf: str) -> DataFrame:
-    c = clauses(spark, sf)
+def replayed(spark: SparkSession, sf: str, c: DataFrame | None = None) -> DataFrame:
+    c = clauses(spark, sf) if c is None else c
     answers_ = verdicts.replay(verdicts.prompts(c), latin.REPLAY)
     return verdicts.locate_clauses(verdicts.parse(verdicts.salvage(answers_)), c)
 
@@ -576,8 +576,9 @@ def risks_in_order(spark, sf):
 @query("hits_and_verdicts_paired")
 def hits_and_verdicts_paired(spark, sf):
     """Greedy pairing with title and quote similarity, for which SQL has no measure."""
-    h = rules.evaluate(keys_of(spark, sf), clauses(spark, sf), extracted(spark, sf), latin.blacklist(spark), prepared(spark))
-    m = merge.merge(keys_of(spark, sf), materialise(h, "hits"), materialise(replayed(spark, sf), "verdicts"))
+    c = clauses(spark, sf)
+    h = rules.evaluate(keys_of(spark, sf), c, extracted(spark, sf), latin.blacklist(spark), prepared(spark))
+    m = merge.merge(keys_of(spark, sf), materialise(h, "hits"), materialise(replayed(spark, sf, c), "verdicts"))
     return merge.outcome(m).select("doc_id", "n_risks", "rule_only", "llm_only", "both", "upgraded", "overall_risk", "conclusion")
 
 

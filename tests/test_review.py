@@ -309,3 +309,19 @@ def test_rules_name_the_metadata_they_read(spark):
     d = spark.createDataFrame([("甲方：海岸公司\n合同期限：一年\n合同编号：A-100",)], "text string")
     found = d.select(F.inline(metadata.contract_entries(F.col("text"), {"term"}))).collect()
     assert [(r.meta_key, r.meta_value) for r in found] == [("term", "一年")]
+
+
+def test_pairing_cuts_the_documents_once_and_without_offsets(spark, monkeypatch, tmp_path):
+    from pactspark.plans import registry, rule_queries
+
+    registry.load_all()
+    written = []
+
+    def noted(df, label):
+        written.append((label, "char_start" in df.columns))
+        return df
+
+    monkeypatch.setattr(rule_queries, "materialise", noted)
+    spark.createDataFrame([(1, "en", "As one\ntoken = x")], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    registry.QUERIES["hits_and_verdicts_paired"](spark, str(tmp_path))
+    assert [w for w in written if w[0] == "clauses"] == [("clauses", False)]
