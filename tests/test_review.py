@@ -325,3 +325,57 @@ def test_pairing_cuts_the_documents_once_and_without_offsets(spark, monkeypatch,
     spark.createDataFrame([(1, "en", "As one\ntoken = x")], "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     registry.QUERIES["hits_and_verdicts_paired"](spark, str(tmp_path))
     assert [w for w in written if w[0] == "clauses"] == [("clauses", False)]
+
+
+def _exchanges(df):
+    """The columns, with their types, of every exchange of a plan."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.inputPlan())
+            continue
+        if node.nodeName() == "Exchange":
+            found.append([f"{a.name()} {a.dataType().catalogString()}" for a in (node.output().apply(i) for i in range(node.output().size()))])
+        todo.extend(node.children().apply(i) for i in range(node.children().size()))
+    return found
+
+
+def test_a_report_shuffles_the_texts_of_a_risk_once(spark):
+    from pactspark.plans import table_queries
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanges = _exchanges(table_queries.bundles(spark, "/root/testdata/sf0.001"))
+        assert sum(any("suggestion" in column for column in columns) for columns in exchanges) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def _report_tables(spark):
+    make = spark.createDataFrame
+    risk = ("title", "risk_level", "category", "merged_by", "reason", "legal_basis", "suggestion", "suggestion_edited")
+    return {
+        "contract": make([(1, "C"), (2, "D")], "contract_id bigint, title string"),
+        "review_task": make([(1, "t", "t", 0), (2, "t", "t", 0)], "contract_id bigint, created_at string, updated_at string, version int"),
+        "risk_item": make([(n, 1, c, 9 - int(n[1:]), *(f"{k} {n}" if k != "risk_level" else level for k in risk), False, False) for n, c, level in (
+            ("r1", 7, "high"), ("r2", None, "low"), ("r3", 8, "medium"))],
+            "risk_id string, contract_id bigint, clause_id bigint, seq int, " + ", ".join(f"{k} string" for k in risk) + ", adopted boolean, unanchored boolean"),
+        "clause": make([(7, "7", "seven")], "clause_id bigint, clause_no string, title string"),
+        "anchor": make([("risk_item", "r1", 2, 5, "exact", "b"), ("risk_item", "r1", 1, 4, "exact", "a"), ("contract_metadata", "r3", 1, 1, "exact", "z")],
+                       "owner_type string, owner_id string, seq int, page_no int, anchor_level string, quote_text string"),
+        "risk_evidence": make([("e2", "r2", "llm", "y", "d", False), ("e1", "r2", "rule", "x", "d", False)],
+                              "evidence_id string, risk_id string, evidence_type string, title string, detail string, need_review boolean"),
+        "contract_metadata": make([(1, "k", "v")], "contract_id bigint, meta_key string, meta_value string"),
+        "parse_result": make([(1, 1, "ocr")], "contract_id bigint, attempt int, parse_method string"),
+    }
+
+
+def test_a_report_holds_all_that_hangs_on_its_risks(spark):
+    from pactspark.operators import reports
+
+    rows = {r["contract_id"]: r for r in reports.bundle(_report_tables(spark)).collect()}
+    assert rows[2]["risks"] == [] and rows[2]["meta"] == {} and rows[1]["meta"] == {"k": "v"}
+    shown = [(r["risk_id"], r["clause_no"], r["clause_title"], [a["quote_text"] for a in r["anchors"]], [e["title"] for e in r["evidences"]], r["reason"]) for r in rows[1]["risks"]]
+    assert shown == [("r3", None, None, [], [], "reason r3"), ("r2", None, None, [], ["x", "y"], "reason r2"), ("r1", "7", "seven", ["a", "b"], [], "reason r1")]
