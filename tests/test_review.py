@@ -379,3 +379,14 @@ def test_a_report_holds_all_that_hangs_on_its_risks(spark):
     assert rows[2]["risks"] == [] and rows[2]["meta"] == {} and rows[1]["meta"] == {"k": "v"}
     shown = [(r["risk_id"], r["clause_no"], r["clause_title"], [a["quote_text"] for a in r["anchors"]], [e["title"] for e in r["evidences"]], r["reason"]) for r in rows[1]["risks"]]
     assert shown == [("r3", None, None, [], [], "reason r3"), ("r2", None, None, [], ["x", "y"], "reason r2"), ("r1", "7", "seven", ["a", "b"], [], "reason r1")]
+
+
+def test_a_comment_joins_only_what_it_reads(spark):
+    from pactspark.operators import reports
+    from pactspark.plans import registry
+
+    registry.load_all()
+    rows = {r["contract_id"]: [x["title"] for x in r["risks"]] for r in reports.comment_bundle(_report_tables(spark)).collect()}
+    assert rows == {1: ["title r3", "title r1"], 2: []}
+    plan = registry.QUERIES["comments_built"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "quote" not in plan and "model view" not in plan and "content of part" not in plan
