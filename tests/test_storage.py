@@ -347,3 +347,34 @@ def test_grams_of_no_keyword_go_before_the_shuffle(spark, monkeypatch):
     assert sorted(tuple(r) for r in keyword_index.find(texts, words, ["id"]).collect()) == [(1, "apple"), (1, "p"), (1, "🙂 ")]
     assert kept["text-grams"].count() == 4  # appl, pple, p and the pair
     assert sorted(tuple(r) for r in keyword_index.places(texts, words, ["id"]).collect()) == [(1, "apple", 6), (1, "p", 7), (1, "🙂 ", 4)]
+
+
+def test_a_change_is_written_once_and_not_shuffled_for_its_layout(spark, tmp_path, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("written or shuffled once more")
+
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(60)], "k bigint, v string")
+    monkeypatch.setattr(type(rows), "repartition", refused)
+    monkeypatch.setattr(snapshots, "materialise", refused, raising=False)
+    store = snapshots.Store(spark, str(tmp_path / "s"))
+    t = store.begin()
+    t.create("a", rows, ["k"], 8)
+    t.create("b", rows, ["k"], 8)
+    t.create("c", rows, ["k"], 8)
+    t.commit()
+    before = store.manifest()
+    t = store.begin()
+    gone = t.delete("a", rows.where("k in (1, 2)"))
+    named = t.delete("b", rows.where("v in ('v1', 'nobody')"), ["v"])
+    changes = t.upsert("c", rows.where("k < 3").withColumn("v", F.when(F.col("k") == 1, F.lit("new")).otherwise(F.col("v"))))
+    t.commit()
+    assert rows_of(gone.rows.select("k", "action")) == [(1, "delete"), (2, "delete")]
+    assert rows_of(named.rows.select("k", "action")) == [(1, "delete")] and len(named.rewritten) == 1 and named.read == list(range(8))
+    assert rows_of(changes.rows.select("k", "action")) == [(1, "update")] and len(changes.rewritten) == 1
+    after = store.manifest()
+    for name, c, want in (("a", gone, 58), ("b", named, 59), ("c", changes, 60)):
+        assert {int(b) for b, f in after[name].folders.items() if f != before[name].folders[b]} == set(c.rewritten)
+        folder = next(f for f in after[name].folders.values() if f not in before[name].folders.values())
+        assert {p.name for p in (tmp_path / "s" / "data" / name / f"folder={folder}").glob("_bucket=*")} == {f"_bucket={n}" for b in c.rewritten for n in (b, -1 - b)}
+        assert store.read(name).count() == want
+    assert dict(rows_of(store.read("c")))[1] == "new"
