@@ -378,3 +378,23 @@ def test_a_change_is_written_once_and_not_shuffled_for_its_layout(spark, tmp_pat
         assert {p.name for p in (tmp_path / "s" / "data" / name / f"folder={folder}").glob("_bucket=*")} == {f"_bucket={n}" for b in c.rewritten for n in (b, -1 - b)}
         assert store.read(name).count() == want
     assert dict(rows_of(store.read("c")))[1] == "new"
+
+
+def test_a_review_that_replaces_another_is_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(key):
+        made.add(1)
+        return True
+
+    risks = spark.createDataFrame([], "contract_id long, risk_id string, title string, risk_level string, clause_index int, anchors array<struct<quote_text: string>>, evidences array<struct<title: string>>")
+    clauses = spark.createDataFrame([], "contract_id long, seq int, clause_id long")
+    metadata = spark.createDataFrame([(c, k, f"{c}{k}", None) for c in range(5) for k in "xy"], "contract_id long, meta_key string, meta_value string, anchor struct<quote_text: string>")
+    store = snapshots.Store(spark, str(tmp_path / "s"))
+    sinks.persist_review(store, sinks.review_rows(risks, clauses, metadata), metadata.select("contract_id").distinct(), 4)
+    again = sinks.review_rows(risks, clauses, metadata.where("meta_key = 'y'").withColumn("meta_value", F.lit("new")))
+    again["metadata"] = again["metadata"].where(seen.asNondeterministic()("meta_key"))
+    sinks.persist_review(store, again, metadata.select("contract_id").where("contract_id < 2").distinct())
+    assert rows_of(store.read("metadata")) == sorted([(c, "y", "new") for c in (0, 1)] + [(c, k, f"{c}{k}") for c in (2, 3, 4) for k in "xy"], key=repr)
+    assert made.value == 5
