@@ -2,13 +2,17 @@
 
 A table of settings is broadcast and every clause meets every rule; a table of millions of
 keywords can't be. Here a keyword meets only texts that hold its rarest gram: grams of
-``GRAM`` characters (the whole keyword where it is shorter) that some keyword has are counted
-over all texts, each keyword takes the gram that the fewest texts hold, texts and keywords are
-joined by it, and what meets is verified on the text itself, so that a hash of grams decides
-nothing. A keyword with a gram that no text holds is in no text and falls away before the join.
+``GRAM`` characters (the whole keyword where it is shorter, ``LONG`` characters where it has as
+many) that some keyword has are counted over all texts, each keyword takes the gram that the
+fewest texts hold, texts and keywords are joined by it, and what meets is verified on the text
+itself, so that a hash of grams decides nothing. A keyword with a gram that no text holds is in
+no text and falls away before the join. Long keywords have long grams because short ones of
+frequent words are in most texts, and what meets for nothing is searched to its end.
 
 Grams are made once, by numpy on the code points of a text, and those of no keyword go before
-anything is shuffled; what is left is written. Both sides of the join grow, so it is a shuffle;
+anything is shuffled: most where they are made, by a table of ``SLOTS`` bits that keywords set,
+of one size for any number of them, the others by a join. What is left is written. Both sides of
+the join by the rarest gram grow, so it is a shuffle;
 a gram that many texts hold is some keyword's rarest only where all its grams are frequent, and
 adaptive execution splits it.
 """
@@ -27,10 +31,29 @@ from pactspark.operators.rules import shown_list
 from pactspark.session import materialise
 
 GRAM = 4
+LONG = 8
+SLOTS = 1 << 20
+_TOP = 64 - SLOTS.bit_length() + 1
 
 
-def grams(sizes: list[int]) -> Callable[[Column], Column]:
-    """Hashes of the grams of these sizes that a text holds, each once."""
+def gram_size(keyword: Column) -> Column:
+    length = F.char_length(keyword)
+    return F.when(length >= LONG, F.lit(LONG)).otherwise(F.least(length, F.lit(GRAM)))
+
+
+def marks_of(hashes: DataFrame) -> np.ndarray:
+    """A bit for every value that the first bits of ``gram`` take: SLOTS bits, however many rows there are."""
+    slot = F.shiftrightunsigned("gram", _TOP)
+    words = hashes.where("gram is not null").groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), slot.bitwiseAND(63).cast("int"))).alias("bits"))
+    marks = np.zeros(SLOTS // 64, dtype=np.int64)
+    for row in words.collect():  # at most SLOTS / 64
+        marks[row.word] = row.bits
+    return marks.view(np.uint64)
+
+
+def grams(sizes: list[int], marks: np.ndarray | None = None) -> Callable[[Column], Column]:
+    """Hashes of the grams of these sizes that a text holds, each once; of ``marks``, those alone that it may hold."""
 
     def of(text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
@@ -42,7 +65,11 @@ def grams(sizes: list[int]) -> Callable[[Column], Column]:
             mixed = (mixed[: len(points) - n + 1] ^ points[n - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
             mixed ^= mixed >> np.uint64(29)
             if n in sizes:
-                parts.append(np.unique(mixed + np.uint64(n)))
+                made = mixed + np.uint64(n)
+                if marks is not None:
+                    slot = made >> np.uint64(_TOP)
+                    made = made[(marks[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                parts.append(np.unique(made))
         return np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, dtype=np.int64)
 
     @F.pandas_udf("array<bigint>")
@@ -71,9 +98,9 @@ def places(texts: DataFrame, keywords: DataFrame, key: list[str]) -> DataFrame:
 
 def _met(texts: DataFrame, keywords: DataFrame, key: list[str], own: list[str]) -> tuple[DataFrame, Column]:
     """Texts and keywords that share the keyword's rarest gram, and how they are joined to ``texts``."""
-    wanted = keywords.select("keyword", *own).where("keyword <> ''").distinct().withColumn("size", F.least(F.char_length("keyword"), F.lit(GRAM)))
+    wanted = keywords.select("keyword", *own).where("keyword <> ''").distinct().withColumn("size", gram_size(F.col("keyword")))
     wanted = materialise(wanted, "keywords")
-    sizes = [r.size for r in wanted.select("size").distinct().collect()]  # at most GRAM
+    sizes = [r.size for r in wanted.select("size").distinct().collect()]  # at most GRAM and LONG
     same = F.lit(True)
     for k in key:
         same = same & (F.col(k) == F.col(f"_{k}"))
@@ -84,7 +111,7 @@ def _met(texts: DataFrame, keywords: DataFrame, key: list[str], own: list[str])
         of = of.when(F.col("size") == n, F.col(f"g{n}"))
     made = wanted.withColumns({f"g{n}": grams([n])(F.col("keyword")) for n in sizes})
     each = materialise(made.select("keyword", *own, F.explode_outer(of).alias("gram")), "keyword-grams")
-    held = texts.where("content is not null").select(*key, *(c for c in own if c not in key), F.explode_outer(grams(sizes)(F.col("content"))).alias("gram"))
+    held = texts.where("content is not null").select(*key, *(c for c in own if c not in key), F.explode_outer(grams(sizes, marks_of(each))(F.col("content"))).alias("gram"))
     held = materialise(held.join(each.select("gram").distinct(), "gram", "left_semi"), "text-grams")
     counts = held.groupBy("gram").count()
     ranked = each.join(counts, "gram", "left")

@@ -5,6 +5,7 @@ import io
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -398,3 +399,25 @@ def test_a_review_that_replaces_another_is_made_once(spark, tmp_path):
     sinks.persist_review(store, again, metadata.select("contract_id").where("contract_id < 2").distinct())
     assert rows_of(store.read("metadata")) == sorted([(c, "y", "new") for c in (0, 1)] + [(c, k, f"{c}{k}") for c in (2, 3, 4) for k in "xy"], key=repr)
     assert made.value == 5
+
+
+def test_long_keywords_meet_only_texts_that_hold_long_pieces_of_them(spark):
+    word = "and the and"
+    pieces = "|".join(word[i : i + 7] for i in range(len(word)))  # every short gram of the keyword, in no order
+    texts = spark.createDataFrame([(1, pieces), (2, f"{pieces} {word}"), (3, "and the")], "id int, content string")
+    words = spark.createDataFrame([(word,), ("and the",)], "keyword string")
+    met, _ = keyword_index._met(texts, words, ["id"], [])
+    assert rows_of(met.where(F.col("keyword") == word).select("_id")) == [(2,)]
+    assert rows_of(keyword_index.find(texts, words, ["id"])) == [(1, "and the"), (2, word), (2, "and the"), (3, "and the")]
+
+
+def test_marks_are_of_one_size_and_lose_no_gram(spark):
+    made = spark.createDataFrame([(f"word {i} é🙂",) for i in range(500)], "t string")
+    hashes = made.select(F.explode(keyword_index.grams([1, 2, 4, 8])("t")).alias("gram"))
+    marks = keyword_index.marks_of(hashes)
+    assert marks.nbytes * 8 == keyword_index.SLOTS and 0 < int(np.bitwise_count(marks).sum()) <= hashes.distinct().count()
+    kept = made.select(F.explode(keyword_index.grams([1, 2, 4, 8], marks)("t")).alias("gram"))
+    assert kept.exceptAll(hashes).count() == 0 and hashes.exceptAll(kept).count() == 0
+    few = keyword_index.marks_of(hashes.limit(3))
+    assert made.select(F.explode(keyword_index.grams([1, 2, 4, 8], few)("t"))).count() < 3000
+    assert keyword_index.marks_of(hashes.limit(0)).sum() == 0
